@@ -43,6 +43,15 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), size=2048, end_id=0)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselark.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    found = toxicity.score(docs, toxicity.train(docs, labels, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselark.llm.topk import top_k
 
@@ -57,6 +66,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.byte_bpe(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselark.llm import pii
+
+    return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselark.llm import quality
 
@@ -66,11 +81,40 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselark.llm import pages
+
+    rows = table(spark, sf_dir, "pages")
+    return pages.extract(rows, pages.train(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_media_columns, op4_best_fit_packing, op6_exact_top_k, op7_byte_bpe, op9_quality)
-}
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup, op2_language_id, op3_media_columns, op4_best_fit_packing, op5_toxicity,
+        op6_exact_top_k, op7_byte_bpe, op8_personal_data, op9_quality, op10_html_text,
+    )
+}
+
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": rf"""
+        WITH RECURSIVE w AS MATERIALIZED (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g
+            FROM w),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        r AS (SELECT doc_id AS id, doc_id AS root FROM w UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+        m AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, w.doc_id = m.component_id AS kept
+        FROM w JOIN m ON m.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+    """,
     "op6_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e

@@ -66,27 +66,31 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint8)
 
 
-def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, stops, text index) of the runs of bytes other than space and 9-13.
-
-    UTF-8 never uses those bytes inside a longer character, so byte runs are
-    the runs of code points too.
-    """
-    n = len(data)
+def runs(member: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, stops, text index) of the runs of member bytes, none across two texts."""
+    n = len(member)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none
-    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
     edge = np.zeros(n + 1, bool)  # a text starts here
     edge[ends] = True
-    starts = word.copy()
-    starts[1:] &= ~word[:-1] | edge[1:n]
-    stops = word.copy()
-    stops[:-1] &= ~word[1:] | edge[1:n]
+    starts = member.copy()
+    starts[1:] &= ~member[:-1] | edge[1:n]
+    stops = member.copy()
+    stops[:-1] &= ~member[1:] | edge[1:n]
     starts = np.flatnonzero(starts)
     return starts, np.flatnonzero(stops) + 1, np.searchsorted(ends, starts, "right") - 1
 
 
+def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, stops, text index) of the runs of bytes other than space and 9-13.
+
+    UTF-8 never uses those bytes inside a longer character, so byte runs are
+    the runs of code points too.
+    """
+    return runs(~((data == 32) | ((data >= 9) & (data <= 13))), ends)
+
+
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
         size = max(n, STEP_BYTES)
