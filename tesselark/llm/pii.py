@@ -26,8 +26,8 @@ EXPRESSIONS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){13,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: A token that could be an identifier: it holds a digit or an at sign.
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: What could be an identifier: a token with a digit or an at sign, and the digit groups that go on from it.
+CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [(]?[0-9][0-9().-]*+)*+"
 #: Characters of context that are looked at on either side.
 CONTEXT = 64
 #: Rounds of scoring; evidence and confidence that a pattern needs.
@@ -106,8 +106,9 @@ def _words_beside(span: Column) -> Column:
 
 
 def _shape(token: Column) -> Column:
-    """Letters as a, digits as 9, repeats shortened: what an identifier looks like."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(token, r"\p{L}+", "a"), "[0-9]+", "9"), r"\s+", "_")
+    """What kind of identifier a token looks like: an address, a number of five digits or more, or a mixture."""
+    number = ~token.rlike(r"\p{L}") & (F.length(_digits(token)) >= 5)
+    return F.when(token.contains("@"), "address").when(number, "number").otherwise("mixture")
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -138,19 +139,23 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS, least_seeds: int = LE
     return scores.where(F.col("confidence") >= least_share)
 
 
+def _digest(text: Column) -> Column:
+    return F.xxhash64(text, F.length(text))
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """Spans of personal data in each whole text.
 
-    Returns id_col, base and spans: arrays of structs (kind, start, end) in
-    code points, end exclusive; spans holds the base ones and those that
-    trusted patterns add.  Base matches are leftmost and do not overlap within
+    Returns id_col, text_digest (tells texts of one id apart), base and spans:
+    arrays of structs (kind, start, end) in code points, end exclusive; spans
+    holds the base ones and those that trusted patterns add.  Base matches are leftmost and do not overlap within
     a kind; matches that fail their test are dropped.  A null text counts as
     empty.  Null ids and repeated rows stay; other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,m:string,before:string,after:string>>")
     candidates = F.when(F.col("text").rlike("[0-9@]"), _spans(F.col("text"), CANDIDATE, "")).otherwise(none)
-    rows = own.select("id", F.xxhash64("text", F.length("text")).alias("digest"), base_spans(F.col("text")).alias("base"), candidates.alias("candidates"))
+    rows = own.select("id", _digest(F.col("text")).alias("digest"), base_spans(F.col("text")).alias("base"), candidates.alias("candidates"))
     rows = cut(rows)
     some = rows.where("size(base) > 0 or size(candidates) > 0").dropDuplicates(["id", "digest"])
     seeds = some.select(F.explode("base").alias("s")).select(F.explode(_words_beside(F.col("s"))).alias("pattern"), F.col("s.m").alias("instance"), F.col("s.kind").alias("seed"))
@@ -170,7 +175,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = rows.join(added, F.col("id").eqNullSafe(F.col("other")) & (F.col("digest") == F.col("d")), "left")
     plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     nothing = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    return out.select(F.col("id").alias(id_col), plain.alias("base"), F.concat(plain, F.coalesce("added", nothing)).alias("spans"))
+    return out.select(F.col("id").alias(id_col), F.col("digest").alias("text_digest"), plain.alias("base"), F.concat(plain, F.coalesce("added", nothing)).alias("spans"))
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -184,8 +189,12 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of ``found`` (id_col unique there) replaced by <kind> in its text."""
-    spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("far"), s["kind"].alias("kind"))))
+    """``docs`` with every span of ``found`` replaced by <kind> in its text.
+
+    Overlapping spans leave the mark of the first.  Rows, their order of
+    columns and all other columns stay; texts without spans stay as they are.
+    """
+    spans = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("far"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     text = F.col(text_col)
 
@@ -195,6 +204,8 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
         return F.struct(F.when(inside, F.greatest(acc["at"], -s["far"])).otherwise(-s["far"]).alias("at"), F.when(inside, acc["out"]).otherwise(piece).alias("out"))
 
     new = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    joined = docs.join(found.where("size(spans) > 0").select(F.col(id_col).alias("__id"), "spans"), F.col(id_col) == F.col("__id"), "left")
-    columns = [F.when(F.col("spans").isNotNull(), new).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*columns)
+    marks = found.where("size(spans) > 0").select(F.col(id_col).alias("__id"), F.col("text_digest").alias("__digest"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__digest"])
+    possible = F.coalesce(text.rlike("[0-9@]"), F.lit(False))  # any span holds one of these
+    some = docs.where(possible).join(marks, F.col(id_col).eqNullSafe(F.col("__id")) & (_digest(text) == F.col("__digest")), "left")
+    some = some.select(*[F.when(F.col("__spans").isNotNull(), new).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return docs.where(~possible).unionByName(some)
