@@ -18,7 +18,9 @@ OPEN = 4096
 #: Tokens that one task packs, about; a task wastes less than one sequence.
 TASK_TOKENS = 16 << 20
 #: Distinct words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: Marks that may follow a word of letters; the tokenizer parts them from it.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
 
 
 class OpenBins:
@@ -77,10 +79,38 @@ class WordIds:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        """Remembers the ids of new words.
+
+        A word of letters with marks behind it is the letters' ids and the
+        marks'; new words of letters are encoded together, as one line.
+        """
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        cores = [w.rstrip(MARKS) for w in new]
+        split = [c.isalpha() for c in cores]
+        letters = [c for c in dict.fromkeys(c for c, s in zip(cores, split, strict=True) if s) if c not in known]
+        if letters:
+            line = self.tokenizer.encode(" ".join(letters), add_special_tokens=False)
+            at = np.array(line.word_ids, np.int64)
+            ids = np.array(line.ids, "<u4")
+            if len(at) and at[-1] + 1 == len(letters):
+                ends = np.append(np.flatnonzero(np.diff(at)) + 1, len(at)).tolist()
+                raw, first = ids.tobytes(), 0
+                for c, end in zip(letters, ends, strict=True):
+                    known[c] = raw[4 * first : 4 * end]
+                    first = end
+            else:  # a letter's lower case is no single letter
+                self._each(letters)
+        tails = [w[len(c) :] for w, c in zip(new, cores, strict=True)]
+        self._each([x for x in dict.fromkeys([t for t, s in zip(tails, split, strict=True) if s and t] + [w for w, s in zip(new, split, strict=True) if not s]) if x not in known])
+        for w, c, t, s in zip(new, cores, tails, split, strict=True):
+            if s and t:
+                known[w] = known[c] + known[t]
+
+    def _each(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
