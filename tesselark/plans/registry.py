@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from tesselark.plans import grids, tokens
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**grids.QUERIES, **tokens.QUERIES}
+SQL: dict[str, str] = {**grids.SQL, **tokens.SQL}
