@@ -16,7 +16,8 @@ def characters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A text's characters are counted where the text is read, so only counts move.
     """
     chars = F.split(F.col(text_col), "")
-    pairs = F.transform(chars, lambda c, i: F.struct(F.when(i == 0, F.lit("")).otherwise(F.get(chars, i - 1)).alias("p"), c.alias("c")))
+    # zipped, not indexed: a lambda would split the text again for every element
+    pairs = F.zip_with(F.concat(F.array(F.lit("")), chars), chars, lambda p, c: F.struct(p.alias("p"), c.alias("c")))
     rows = docs.select(F.explode(pairs).alias("r")).where("r.c <> ''")
     kind = F.when(F.col("r.p") == "", 0).when(F.col("r.p").isin(" ", "\n"), 1).when(F.col("r.p").rlike("^[a-z]$"), 2).when(F.col("r.p").rlike("^[A-Z]$"), 3).when(F.col("r.p").rlike("^[0-9]$"), 4).otherwise(5)
     return rows.select(kind.cast("long").alias("context"), F.ascii("r.c").cast("long").alias("value")).groupBy("context", "value").agg(F.count("*").alias("n"))

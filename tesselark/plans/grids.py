@@ -11,11 +11,11 @@ from tesselark.functions import pointwise as pw
 from tesselark.operators import blocks, prediction, stencils, transforms
 from tesselark.sources import planes
 
-EMB = "p AS (SELECT vec_id AS y, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS x, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"
-EVT = "e AS (SELECT event_id // 100 AS y, event_id % 100 AS x, CAST(value AS DOUBLE) AS value FROM events)"
+EMB = "p AS MATERIALIZED (SELECT vec_id AS y, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS x, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"
+EVT = "e AS MATERIALIZED (SELECT event_id // 100 AS y, event_id % 100 AS x, CAST(value AS DOUBLE) AS value FROM events)"
 INT = EVT + ", i AS (SELECT y, x, CAST(round(value * 100) AS BIGINT) AS value FROM e)"
 #: Extents of both planes, for the mirrored joins.
-SIZE = "s AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM {t})"
+SIZE = "s AS MATERIALIZED (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM {t})"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -44,14 +44,13 @@ def mirrored(at: str, n: str) -> str:
 
 
 def pulled(table: str, taps: list[tuple], names: str, edge: str) -> str:
-    """FROM clause that joins every target with the samples that its taps take."""
-    if edge == "mirror":
-        on = f"q.y = {mirrored('t.y + k.dy', 's.h')} AND q.x = {mirrored('t.x + k.dx', 's.w')}"
-    elif edge == "clamp":
-        on = "q.y = greatest(0, least(t.y + k.dy, s.h - 1)) AND q.x = greatest(0, least(t.x + k.dx, s.w - 1))"
-    else:
-        on = "q.y = t.y + k.dy AND q.x = t.x + k.dx"
-    return f"{table} t CROSS JOIN s CROSS JOIN {values_of(taps, names)} JOIN {table} q ON {on}"
+    """FROM clause of targets t with their taps k, joined with the sample q that each tap takes."""
+    y, x = {
+        "mirror": (mirrored("t.y + k.dy", "s.h"), mirrored("t.x + k.dx", "s.w")),
+        "clamp": ("greatest(0, least(t.y + k.dy, s.h - 1))", "greatest(0, least(t.x + k.dx, s.w - 1))"),
+        "drop": ("t.y + k.dy", "t.x + k.dx"),
+    }[edge]
+    return f"(SELECT t.*, k.*, {y} AS qy, {x} AS qx FROM {table} t CROSS JOIN s CROSS JOIN {values_of(taps, names)}) t JOIN {table} q ON q.y = t.qy AND q.x = t.qx"
 
 
 # ---- pointwise maps
@@ -175,7 +174,7 @@ def transform_max_mean_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _W5 = {0: 0.25, 1: 0.08, 2: 0.05, 4: 0.03, 5: 0.01, 8: 0.0075}
 _T5 = stencils.symmetric5(_W5)
-_CONV = f"{EMB}, {SIZE.format(t='p')}, c AS (SELECT t.y, t.x, sum(q.value * k.wt) AS value FROM {pulled('p', _T5, 'dy, dx, wt', 'mirror')} GROUP BY t.y, t.x)"
+_CONV = f"{EMB}, {SIZE.format(t='p')}, c AS MATERIALIZED (SELECT t.y, t.x, sum(q.value * t.wt) AS value FROM {pulled('p', _T5, 'dy, dx, wt', 'mirror')} GROUP BY t.y, t.x)"
 
 
 @query(f"WITH {_CONV} SELECT y, x, round(value, 6) + 0.0 AS value FROM c")
@@ -229,7 +228,7 @@ _R = len(_K) // 2
 
 
 def _pass(source: str, name: str, taps: list[tuple]) -> str:
-    return f"{name} AS (SELECT t.y, t.x, sum(q.value * k.wt) / sum(k.wt) AS value FROM {pulled(source, taps, 'dy, dx, wt', 'drop')} GROUP BY t.y, t.x)"
+    return f"{name} AS (SELECT t.y, t.x, sum(q.value * t.wt) / sum(t.wt) AS value FROM {pulled(source, taps, 'dy, dx, wt', 'drop')} GROUP BY t.y, t.x)"
 
 
 @query(f"WITH {EMB}, {SIZE.format(t='p')}, {_pass('p', 'a', [(0, d, k) for d, k in zip(range(-_R, _R + 1), _K, strict=True)])}, {_pass('a', 'b', [(d, 0, k) for d, k in zip(range(-_R, _R + 1), _K, strict=True)])} SELECT y, x, round(value, 6) + 0.0 AS value FROM b")
@@ -241,7 +240,7 @@ def gaussian_blur_renorm(spark: SparkSession, sf_dir: str) -> DataFrame:
 _G = [(dy, dx, (1.0, 0.115169525, 0.061248592)[abs(dy) + abs(dx)] / (1 + 4 * (0.115169525 + 0.061248592))) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 
 
-@query(f"WITH {EVT}, {SIZE.format(t='e')} SELECT t.y, t.x, round(sum(q.value * k.wt), 6) + 0.0 AS value FROM {pulled('e', _G, 'dy, dx, wt', 'mirror')} GROUP BY t.y, t.x")
+@query(f"WITH {EVT}, {SIZE.format(t='e')} SELECT t.y, t.x, round(sum(q.value * t.wt), 6) + 0.0 AS value FROM {pulled('e', _G, 'dy, dx, wt', 'mirror')} GROUP BY t.y, t.x")
 def smooth3_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = planes.event_plane(spark, sf_dir)
     return r6(stencils.gaborish(e, 0.115169525, 0.061248592, planes.extent(e)), "value")
@@ -277,7 +276,7 @@ _S9 = [(dy, dx, (1 - 4 * (stencils.SIDE + stencils.CORNER), stencils.SIDE, stenc
 
 
 @query(f"""
-    WITH {EVT}, {SIZE.format(t='e')}, g AS (SELECT t.y, t.x, t.value AS c, count(*) AS n, sum(q.value * k.wt) AS s, sum(q.value * q.value / 100 * k.wt) AS s2 FROM {pulled('e', _S9, 'dy, dx, wt', 'drop')} GROUP BY t.y, t.x, t.value),
+    WITH {EVT}, {SIZE.format(t='e')}, g AS (SELECT t.y, t.x, t.value AS c, count(*) AS n, sum(q.value * t.wt) AS s, sum(q.value * q.value / 100 * t.wt) AS s2 FROM {pulled('e', _S9, 'dy, dx, wt', 'drop')} GROUP BY t.y, t.x, t.value),
     f AS (SELECT *, c * c / 100 AS c2, greatest(0.0, 3 - 4 * greatest(0.5, abs((c - s) / 40.0), abs((c * c / 100 - s2) / 60.0))) AS factor FROM g)
     SELECT y, x, round(CASE WHEN n = 9 THEN (s - c) * factor + c ELSE c END, 6) + 0.0 AS c0, round(CASE WHEN n = 9 THEN (s2 - c2) * factor + c2 ELSE c2 END, 6) + 0.0 AS c1 FROM f
 """)
@@ -354,7 +353,7 @@ def weighted_predictor_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- transforms
 
 _B = [(k, i, math.sqrt((1 if k == 0 else 2) / 8) * math.cos(math.pi * k * (2 * i + 1) / 16)) for k in range(8) for i in range(8)]
-_DCT = f"{EMB}, b AS (SELECT * FROM {values_of(_B, 'f, i, w')}), n AS (SELECT max(y) + 1 AS h FROM p), g AS (SELECT unnest(range((h + 7) // 8 * 8)) AS gy, h FROM n), o AS (SELECT gy // 8 AS by, x // 8 AS bx, gy % 8 AS v, x % 8 AS u, value FROM g JOIN p ON p.y = least(gy, h - 1)), h AS (SELECT by, bx, v, b.f AS u, sum(value * w) AS value FROM o JOIN b ON o.u = b.i GROUP BY ALL), d AS (SELECT by, bx, u, b.f AS v, sum(value * w) AS value FROM h JOIN b ON h.v = b.i GROUP BY ALL)"
+_DCT = f"""{EMB}, b AS (SELECT * FROM {values_of(_B, 'f, i, w')}), n AS (SELECT max(y) + 1 AS h FROM p), g AS (SELECT unnest(range((h + 7) // 8 * 8)) AS gy, h FROM n), o AS (SELECT gy // 8 AS by, x // 8 AS bx, gy % 8 AS v, x % 8 AS u, value FROM g JOIN p ON p.y = least(gy, h - 1)), h AS (SELECT o."by", bx, v, b.f AS u, sum(value * w) AS value FROM o JOIN b ON o.u = b.i GROUP BY ALL), d AS (SELECT h."by", bx, u, b.f AS v, sum(value * w) AS value FROM h JOIN b ON h.v = b.i GROUP BY ALL)"""
 
 
 def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,18 +362,18 @@ def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.blocks(planes.padded(p, planes.extent(p), 8))
 
 
-@query(f"WITH {_DCT} SELECT by, bx, CAST(v AS INTEGER) AS v, CAST(u AS INTEGER) AS u, round(value, 6) + 0.0 AS value FROM d")
+@query(f"""WITH {_DCT} SELECT d."by", bx, CAST(v AS INTEGER) AS v, CAST(u AS INTEGER) AS u, round(value, 6) + 0.0 AS value FROM d""")
 def dct8_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(transforms.dct(_whole(spark, sf_dir)).select("by", "bx", "v", "u", "value"), "value")
 
 
-@query(f"WITH {_DCT} SELECT by, bx, CAST(v AS INTEGER) AS v, CAST(u AS INTEGER) AS u, round(value, 6) + 0.0 AS value FROM o")
+@query(f"""WITH {_DCT} SELECT o."by", bx, CAST(v AS INTEGER) AS v, CAST(u AS INTEGER) AS u, round(value, 6) + 0.0 AS value FROM o""")
 def dct8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(transforms.dct(transforms.dct(_whole(spark, sf_dir)), forward=False).select("by", "bx", "v", "u", "value"), "value")
 
 
 @query(f"""
-    WITH {_DCT}, s AS (SELECT by, bx, v, u, round(value, 9) / 0.05 AS c FROM d),
+    WITH {_DCT}, s AS (SELECT v, u, round(value, 9) / 0.05 AS c FROM d),
     q AS (SELECT *, CASE WHEN abs(c) < CASE WHEN v < 4 AND u < 4 THEN 0.56 WHEN v < 4 THEN 0.62 WHEN u < 4 THEN 0.62 ELSE 0.68 END THEN 0 ELSE CAST(round_even(c, 0) AS BIGINT) END AS level FROM s)
     SELECT CAST(v AS INTEGER) AS v, CAST(u AS INTEGER) AS u, CAST(sum(level) AS BIGINT) AS total, count(*) FILTER (level = 0) AS zeros FROM q GROUP BY v, u
 """)
