@@ -42,7 +42,10 @@ def _spans(text: Column, expression: str, kind: str) -> Column:
     """
     between = F.split(text, expression, -1)
     found = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
-    pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(between, i).alias("before"), F.get(between, i + 1).alias("after")))
+    # zipped, not indexed: a lambda would split the text again for every match
+    gaps = F.zip_with(between, F.slice(between, F.lit(2), F.size(between)), lambda a, b: F.struct(a.alias("before"), b.alias("after")))
+    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g["before"].alias("before"), g["after"].alias("after")))
+    pairs = F.filter(pairs, lambda x: x["m"].isNotNull())
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<kind:string,start:bigint,end:bigint,m:string,before:string,after:string>>").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
