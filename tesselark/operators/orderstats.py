@@ -80,8 +80,8 @@ def largest_remainder(counts: DataFrame, keys: list[str], total: int = 4096) ->
     For groups whose floors do not exceed the total; ties go to the smaller symbol.
     """
     w = Window.partitionBy(*keys)
-    s = counts.where("n > 0").withColumn("sum", F.sum("n").over(w))
-    s = s.withColumn("floor", F.greatest(F.lit(1).cast("long"), F.expr(f"(n * {total}) div sum"))).withColumn("rest", F.expr(f"(n * {total}) % sum"))
-    s = s.withColumn("missing", F.lit(total) - F.sum("floor").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("rest"), "symbol"))).withColumn("kinds", F.count("*").over(w))
-    more = F.expr("missing div kinds") + F.when(F.col("k") <= F.col("missing") % F.col("kinds"), 1).otherwise(0)
-    return s.where("missing >= 0").select(*keys, "symbol", "n", (F.col("floor") + more).alias("frequency"))
+    s = counts.where("n > 0").withColumn("__sum", F.sum("n").over(w))
+    s = s.withColumn("__floor", F.greatest(F.lit(1).cast("long"), F.expr(f"(n * {total}) div __sum"))).withColumn("__rest", F.expr(f"(n * {total}) % __sum"))
+    s = s.withColumn("__missing", F.lit(total) - F.sum("__floor").over(w)).withColumn("__k", F.row_number().over(w.orderBy(F.desc("__rest"), "symbol"))).withColumn("__kinds", F.count("*").over(w))
+    more = F.expr("__missing div __kinds") + F.when(F.col("__k") <= F.col("__missing") % F.col("__kinds"), 1).otherwise(0)
+    return s.where("__missing >= 0").select(*keys, "symbol", "n", (F.col("__floor") + more).alias("frequency"))

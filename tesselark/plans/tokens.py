@@ -217,8 +217,9 @@ def tile_newton_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {EMB}, d AS (SELECT y // 8 AS by, x // 8 AS bx, k.c AS candidate, sum(pow(value - round_even(value * k.s, 0) / k.s, 2)) * CASE WHEN k.c = 0 THEN 0.98 ELSE 1.0 END AS err FROM p CROSS JOIN (VALUES (0, 4.0), (1, 5.0), (2, 6.0)) AS k(c, s) GROUP BY ALL)
-    SELECT d.by, d.bx, CAST(arg_min(candidate, (round(err, 9), candidate)) AS INTEGER) AS candidate FROM d GROUP BY d.by, d.bx
+    WITH {EMB}, d AS (SELECT y // 8 AS "by", x // 8 AS bx, k.c AS candidate, sum(pow(value - round_even(value * k.s, 0) / k.s, 2)) AS err FROM p CROSS JOIN (VALUES (0, 4.0), (1, 5.0), (2, 6.0)) AS k(c, s) GROUP BY y // 8, x // 8, k.c),
+    f AS (SELECT "by", bx, candidate, round(err * CASE WHEN candidate = 0 THEN 0.98 ELSE 1.0 END, 9) AS err FROM d)
+    SELECT "by", bx, CAST(arg_min(candidate, (err, candidate)) AS INTEGER) AS candidate FROM f GROUP BY "by", bx
 """)
 def block_argmin_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of three quantisers, the one with the least block error."""

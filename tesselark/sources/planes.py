@@ -110,5 +110,5 @@ def read_images(spark: SparkSession, path: str, kind: str) -> DataFrame:
                 y, x, k = np.indices(image.shape)
                 yield pd.DataFrame({"path": np.repeat(name, h * w * c), "channel": k.ravel().astype(np.int32), "y": y.ravel(), "x": x.ravel(), "value": image.ravel().astype(np.float64)})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind[:2]}[!.]").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfm" if kind == "pfm" else "*.p[agpn]m").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, channel int, y long, x long, value double")
