@@ -48,19 +48,22 @@ def shannon_floor(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def shape_distances(counts: DataFrame, key: str) -> DataFrame:
-    """Normalised L1 distance times the smaller total, of every two histograms (few keys, joined by symbol).
+    """Normalised L1 distance times the smaller total, of every two histograms.
 
     sum |a - b| = sum a + sum b - 2 sum min(a, b), so only symbols that both
-    have meet in the join.
+    have meet in the join; histograms without a common symbol are 2 apart.  The
+    list of histograms (contexts, not data) is small enough for one row.
     """
     total = counts.groupBy(key).agg(F.sum("n").alias("total"))
     p = counts.join(total, key).select(F.col(key).alias("k"), "value", (F.col("n") / F.col("total")).alias("p"))
     a, b = p.alias("a"), p.alias("b")
     common = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.k") < F.col("b.k")))
     common = common.groupBy(F.col("a.k").alias("left"), F.col("b.k").alias("right")).agg(F.sum(F.least("a.p", "b.p")).alias("common"))
-    t = total.select(F.col(key).alias("k"), "total")
-    out = common.join(t.toDF("left", "tl"), "left").join(t.toDF("right", "tr"), "right")
-    return out.select("left", "right", ((2 - 2 * F.col("common")) * F.least("tl", "tr")).alias("distance"))
+    every = total.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), "total"))).alias("all"))
+    pairs = every.select("all", F.posexplode("all").alias("i", "l")).select("i", "l", F.posexplode("all").alias("j", "r")).where("i < j")
+    pairs = pairs.select(F.col("l.k").alias("left"), F.col("r.k").alias("right"), F.least("l.total", "r.total").alias("least"))
+    out = pairs.join(common, ["left", "right"], "left")
+    return out.select("left", "right", ((2 - 2 * F.coalesce("common", F.lit(0.0))) * F.col("least")).alias("distance"))
 
 
 def code_lengths(counts: list[int], most: int = 15) -> list[int]:
