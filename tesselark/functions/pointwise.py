@@ -152,3 +152,22 @@ def inverse_rct(a: Column, b: Column, c: Column, kind: int) -> tuple[Column, Col
     for to, v in ((p % 3, a), ((p + 1 + p // 3) % 3, b), ((p + 2 - p // 3) % 3, c)):
         out[to] = v
     return tuple(out)
+
+
+# Fixed values of the opponent colour space: mixing matrix, its inverse, bias.
+OPSIN = ((0.30, 0.622, 0.078), (0.23, 0.692, 0.078), (0.24342268924547819, 0.20476744424496821, 0.55180986650955360))
+OPSIN_INVERSE = ((11.031566901960783, -9.866943921568629, -0.16462299647058826), (-3.254147380392157, 4.418770392156863, -0.16462299647058826), (-3.6588512862745097, 2.7129230470588235, 1.9459282392156863))
+OPSIN_BIAS = 0.0037930732552754493
+
+
+def linear_to_opsin(r: Column, g: Column, b: Column, intensity: float = 255.0) -> tuple[Column, Column, Column]:
+    """Opponent channels (x, y, b) of linear light: mix, add the bias, cube root, difference and mean."""
+    scale, root = intensity / 255.0, OPSIN_BIAS ** (1 / 3)
+    p, q, s = (F.cbrt(F.greatest(F.lit(0.0), r * (scale * m[0]) + g * (scale * m[1]) + b * (scale * m[2]) + OPSIN_BIAS)) - root for m in OPSIN)
+    return 0.5 * (p - q), 0.5 * (p + q), s
+
+
+def opsin_to_linear(x: Column, y: Column, b: Column, intensity: float = 255.0) -> tuple[Column, Column, Column]:
+    scale, root = 255.0 / intensity, OPSIN_BIAS ** (1 / 3)
+    p, q, s = (c * c * c - OPSIN_BIAS for c in (y + x + root, y - x + root, b + root))
+    return tuple(p * (scale * m[0]) + q * (scale * m[1]) + s * (scale * m[2]) for m in OPSIN_INVERSE)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -55,11 +55,22 @@ def zero_count_order(zeros: DataFrame, pinned: int = 1) -> DataFrame:
     return zeros.select("pos", "zeros", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1).cast("long").alias("rank"))
 
 
-def natural_order(width: int, height: int) -> Column:
-    """Sort key of diagonal scan order for cells (y, x) of a shape: diagonal, then direction."""
-    scale_x, scale_y = max(width, height) // width, max(width, height) // height
-    d = F.col("x") * scale_x + F.col("y") * scale_y
-    return F.struct(d.alias("d"), F.when(d % 2 == 0, -F.col("y") * scale_y).otherwise(F.col("y") * scale_y).alias("k"), F.col("x"))
+def natural_order(spark: SparkSession, blocks_wide: int, blocks_high: int) -> DataFrame:
+    """(y, x, rank) of the coefficients of a transform of 8x8 blocks, wider than high or square.
+
+    The lowest frequencies (one for each block) come first, in raster order;
+    the others by diagonal of the shape stretched to a square, and along it
+    from alternating ends.  A table of the shape's size, not of the data's.
+    """
+    stretch, w = blocks_wide // blocks_high, 8 * blocks_wide
+    cells = spark.range(w * 8 * blocks_high).select(F.expr(f"id div {w}").alias("y"), (F.col("id") % w).alias("x"))
+    tall = F.col("y") * stretch
+    diagonal = F.col("x") + tall
+    # the first half runs with x on even diagonals; the half beyond counts diagonals from the far corner
+    along = F.when(diagonal < w, F.when(diagonal % 2 == 0, F.col("x")).otherwise(tall)).otherwise(F.when((2 * w - 2 - diagonal) % 2 == 0, F.col("x")).otherwise(tall))
+    low = (F.col("x") < blocks_wide) & (F.col("y") < blocks_high)
+    key = F.struct(F.when(low, 0).otherwise(1).alias("part"), F.when(low, F.col("y")).otherwise(diagonal).alias("a"), F.when(low, F.col("x")).otherwise(along).alias("b"))
+    return cells.select("y", "x", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1).cast("long").alias("rank"))
 
 
 def lehmer(permutation: DataFrame) -> DataFrame:

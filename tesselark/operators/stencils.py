@@ -127,6 +127,51 @@ def smooth_dc(planes: DataFrame, steps: dict[str, float], size: tuple[int, int])
     return g.select("y", "x", *[F.when(F.col("n") == 9, (F.col(f"{c}_s") - F.col(f"{c}_c")) * factor + F.col(f"{c}_c")).otherwise(F.col(f"{c}_c")).alias(c) for c in names])
 
 
+#: Sixteen lines through a sample: the two steps (dx, dy) of one half; the other half mirrors it (fixed values).
+LINES = (
+    ((4, 0), (2, 0)), ((0, 4), (0, 2)), ((3, 3), (2, 2)), ((-3, 3), (-2, 2)), ((-1, 4), (-1, 2)), ((1, 4), (1, 2)), ((4, 1), (2, 1)), ((4, -1), (2, -1)),
+    ((2, 3), (1, 2)), ((-2, 3), (-1, 2)), ((3, 2), (2, 1)), ((-3, 2), (-2, 1)), ((4, -2), (2, -1)), ((4, 2), (2, 1)), ((2, 4), (1, 2)), ((-2, 4), (-1, 2)),
+)
+
+
+def line_taps() -> list[tuple]:
+    return [(s * dy, s * dx, k) for k, half in enumerate(LINES) for dx, dy in half for s in (1, -1)] + [(0, 0, k) for k in range(len(LINES))]
+
+
+def line_energy(plane: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """Sum over sixteen lines of the squared sum along the line; nothing beyond the edges."""
+    sums = neighbours(plane, line_taps(), size, "drop").groupBy("y", "x", "t0").agg(F.sum("value").alias("s"))
+    return sums.groupBy("y", "x").agg(F.sum(F.col("s") * F.col("s")).alias("value"))
+
+
+#: Samples within two steps of a sample, and its direct neighbours.
+DIAMOND = [(dy, dx) for dy in range(-2, 3) for dx in range(-2, 3) if abs(dy) + abs(dx) <= 2]
+PLUS = [(0, 0), (-1, 0), (0, -1), (1, 0), (0, 1)]
+CHANNEL_SCALE, EDGE_SCALE, SIGMA_SCALE, LEAST_SIGMA = (40.0, 5.0, 3.5), 2 / 3, 1.65, -1.1715728752538099 / 0.3  # fixed values
+
+
+def edge_preserving(planes: DataFrame, sigma: Column, size: tuple[int, int]) -> DataFrame:
+    """Mean of a sample and its four neighbours, weighted by how alike their surroundings are.
+
+    ``planes`` has y, x, c0, c1, c2; ``sigma`` is the (negative) inverse sigma
+    of a sample's 8x8 block, an expression of by and bx.  Samples of blocks
+    below the least value stay.  Edges are mirrored.
+    """
+    n = neighbours(planes.select("y", "x", F.struct("c0", "c1", "c2").alias("value")), [(dy, dx, i) for i, (dy, dx) in enumerate(DIAMOND)], size, "mirror")
+    g = n.groupBy("y", "x").agg(*[F.max(F.when(F.col("t0") == i, F.col("value"))).alias(f"p{i}") for i in range(len(DIAMOND))])
+    at = {d: f"p{i}" for i, d in enumerate(DIAMOND)}
+    border = (F.col("y") % 8).isin(0, 7) | (F.col("x") % 8).isin(0, 7)
+    g = g.withColumn("by", F.expr("y div 8")).withColumn("bx", F.expr("x div 8")).withColumn("raw", sigma)
+    scaled = F.col("raw") * SIGMA_SCALE * F.when(border, EDGE_SCALE).otherwise(1.0)
+    weights = []
+    for d in PLUS[1:]:
+        sad = sum((F.abs(F.col(f"{at[o]}.c{c}") - F.col(f"{at[(d[0] + o[0], d[1] + o[1])]}.c{c}")) * CHANNEL_SCALE[c] for c in range(3) for o in PLUS), F.lit(0.0))
+        weights.append(F.greatest(F.lit(0.0), sad * scaled + 1.0))
+    g = g.select("y", "x", "raw", *[F.col(at[d]).alias(f"n{i}") for i, d in enumerate(PLUS)], *[w.alias(f"w{i}") for i, w in enumerate(weights, 1)])
+    total = 1.0 + sum((F.col(f"w{i}") for i in range(1, 5)), F.lit(0.0))
+    return g.select("y", "x", *[F.when(F.col("raw") < LEAST_SIGMA, F.col(f"n0.c{c}")).otherwise((F.col(f"n0.c{c}") + sum((F.col(f"w{i}") * F.col(f"n{i}.c{c}") for i in range(1, 5)), F.lit(0.0))) / total).alias(f"c{c}") for c in range(3)])
+
+
 def subsample(plane: DataFrame, by: int = 2) -> DataFrame:
     """Means of ``by`` x ``by`` cells (those that exist at the edge)."""
     return plane.groupBy(F.expr(f"y div {by}").alias("y"), F.expr(f"x div {by}").alias("x")).agg(F.avg("value").alias("value"))

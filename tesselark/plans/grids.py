@@ -306,6 +306,60 @@ def weighted_l2_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(pair.groupBy(*blocks.cell(8)).agg(F.sum(0.7 * d * d).alias("l2")), "l2")
 
 
+_L = stencils.line_taps()
+
+
+@query(f"""
+    WITH {EVT}, {SIZE.format(t='e')}, l AS (SELECT t.y, t.x, t.line, sum(q.value) AS v FROM {pulled('e', _L, 'dy, dx, line', 'drop')} GROUP BY t.y, t.x, t.line)
+    SELECT y, x, round(sum(v * v), 4) + 0.0 AS value FROM l GROUP BY y, x
+""")
+def line_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = planes.event_plane(spark, sf_dir)
+    return stencils.line_energy(e, planes.extent(e)).withColumn("value", F.round("value", 4) + 0.0)
+
+
+_D = [(dy, dx, i) for i, (dy, dx) in enumerate(stencils.DIAMOND)]
+_AT = {d: i for i, d in enumerate(stencils.DIAMOND)}
+
+
+def _weight_sql(d: tuple[int, int]) -> str:
+    sad = " + ".join(f"abs(p{_AT[o]}c{c} - p{_AT[(d[0] + o[0], d[1] + o[1])]}c{c}) * {stencils.CHANNEL_SCALE[c]}::DOUBLE" for c in range(3) for o in stencils.PLUS)
+    return f"greatest(0.0, ({sad}) * sigma * 1.65::DOUBLE * CASE WHEN y % 8 IN (0, 7) OR x % 8 IN (0, 7) THEN {stencils.EDGE_SCALE!r} ELSE 1.0 END + 1.0)"
+
+
+@query(f"""
+    WITH {EVT}, {SIZE.format(t='e')}, e3 AS MATERIALIZED (SELECT y, x, value / 1000 AS c0, value / 500 AS c1, (value % 7) / 10 AS c2 FROM e),
+    n AS (SELECT t.y, t.x, {', '.join(f'max(q.c{c}) FILTER (t.i = {i}) AS p{i}c{c}' for i in range(len(_D)) for c in range(3))} FROM {pulled('e3', _D, 'dy, dx, i', 'mirror')} GROUP BY t.y, t.x),
+    g AS (SELECT *, CASE WHEN (y // 8 + x // 8) % 5 = 4 THEN -5.0 ELSE -0.02::DOUBLE * (1 + (y // 8 + x // 8) % 5) END AS sigma FROM n),
+    w AS (SELECT *, {', '.join(f'{_weight_sql(d)} AS w{i}' for i, d in enumerate(stencils.PLUS[1:], 1))} FROM g)
+    SELECT y, x, {', '.join(f'round(CASE WHEN sigma < {stencils.LEAST_SIGMA!r} THEN p{_AT[(0, 0)]}c{c} ELSE (p{_AT[(0, 0)]}c{c} + ' + ' + '.join(f'w{i} * p{_AT[d]}c{c}' for i, d in enumerate(stencils.PLUS[1:], 1)) + f') / (1.0 + w1 + w2 + w3 + w4) END, 6) + 0.0 AS c{c}' for c in range(3))} FROM w
+""")
+def edge_preserving_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = planes.event_plane(spark, sf_dir)
+    three = e.select("y", "x", (F.col("value") / 1000).alias("c0"), (F.col("value") / 500).alias("c1"), ((F.col("value") % 7) / 10).alias("c2"))
+    block = (F.col("by") + F.col("bx")) % 5
+    sigma = F.when(block == 4, -5.0).otherwise(-0.02 * (1 + block))
+    return r6(stencils.edge_preserving(three, sigma, planes.extent(e)), "c0", "c1", "c2")
+
+
+_O = [" + ".join(f"{m!r} * {c}" for m, c in zip(row, "rgb", strict=True)) + f" + {pw.OPSIN_BIAS!r}" for row in pw.OPSIN]
+
+
+@query(f"""
+    WITH u AS (SELECT event_id, value / 500 AS r, (event_id % 256) / 255.0::DOUBLE AS g, (user_id % 64) / 63.0::DOUBLE AS b FROM events),
+    m AS (SELECT event_id, r, g, b, cbrt({_O[0]}) - {pw.OPSIN_BIAS ** (1 / 3)!r} AS p, cbrt({_O[1]}) - {pw.OPSIN_BIAS ** (1 / 3)!r} AS q, cbrt({_O[2]}) - {pw.OPSIN_BIAS ** (1 / 3)!r} AS s FROM u)
+    SELECT event_id, round(0.5 * (p - q), 6) + 0.0 AS ox, round(0.5 * (p + q), 6) + 0.0 AS oy, round(s, 6) + 0.0 AS ob, round(r, 5) + 0.0 AS r, round(g, 5) + 0.0 AS g, round(b, 5) + 0.0 AS b FROM m
+""")
+def opponent_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opponent channels and the linear light that they give back."""
+    e = planes.table(spark, sf_dir, "events").select("event_id", (F.col("value") / 500).alias("r"), ((F.col("event_id") % 256) / 255.0).alias("g"), ((F.col("user_id") % 64) / 63.0).alias("b"))
+    x, y, s = pw.linear_to_opsin(F.col("r"), F.col("g"), F.col("b"))
+    back = pw.opsin_to_linear(F.col("ox"), F.col("oy"), F.col("ob"))
+    o = e.select("event_id", x.alias("ox"), y.alias("oy"), s.alias("ob")).select("*", *[c.alias(n) for c, n in zip(back, "rgb", strict=True)])
+    o = r6(o, "ox", "oy", "ob")
+    return o.withColumns({c: F.round(F.col(c), 5) + 0.0 for c in "rgb"})
+
+
 # ---- prediction
 
 _CAUSAL = f"""{INT}, u AS (SELECT *, lag(value) OVER c AS up, lag(value, 2) OVER c AS up2 FROM i WINDOW c AS (PARTITION BY x ORDER BY y)),

@@ -170,3 +170,19 @@ def test_running_counts_of_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("populations").collect())) == [(0, 1, 3), (1, 2, 1), (1, 3, 1)]
+
+
+def test_natural_order_is_the_zigzag(spark):
+    """Walks the diagonals of the stretched square as written down for images."""
+    for wide, high in ((1, 1), (2, 1), (2, 2), (4, 2)):
+        w, stretch = 8 * wide, wide // high
+        low = [(y, x) for y in range(high) for x in range(wide)]
+        want, seen = list(low), set(low)
+        for d in range(2 * w - 1):
+            cells = [(d - x, x) for x in range(max(0, d - w + 1), min(d, w - 1) + 1)]
+            flip = d % 2 != 0 if d < w else (2 * w - 2 - d) % 2 != 0
+            for y, x in (cells[::-1] if flip else cells):
+                if y % stretch == 0 and (y // stretch, x) not in seen:
+                    want.append((y // stretch, x))
+        got = [(r.y, r.x) for r in orderstats.natural_order(spark, wide, high).orderBy("rank").collect()]
+        assert got == want
