@@ -9,8 +9,6 @@ reads all blocks of a batch in step, one coefficient of each at a time.
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +11,14 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed once and kept in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names; only where it names none (a
-    single machine, as in tests) a temporary one is set.
+    The folder is the one the session names; only where it names none and runs
+    on a single machine, as in tests, a temporary one is set.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tesselark-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -29,13 +30,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of the value as text, modulo ``n``."""
     return F.crc32(column.cast("string").cast("binary")) % n
-
-
-def small_tasks(df: DataFrame) -> int:
-    """A partition count that follows the session's shuffle setting."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def single_threaded() -> None:
-    """Numeric libraries in a task use the task's core only."""
-    os.environ.setdefault("OMP_NUM_THREADS", "1")
