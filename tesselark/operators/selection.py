@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tesselark.functions.pointwise import hybrid_uint, quantize_multiplier
+from tesselark.functions.pointwise import error_multiplier, hybrid_uint, quantize_multiplier
 
 COLOR_FACTOR, RIDGE = 84.0, 1e-9  # fixed values
 
@@ -57,6 +58,23 @@ def argmin(candidates: DataFrame, keys: list[str], bias: float = 1.0) -> DataFra
     return candidates.groupBy(*keys).agg(F.min_by("candidate", F.struct(e, F.col("candidate"))).alias("candidate"))
 
 
+def error_feedback(values: DataFrame, keys: list[str], limit: float, start: float, rounds: int = 5) -> DataFrame:
+    """Quantiser step of each block after a fixed number of updates, and its greatest feasible one.
+
+    In each round a block's step is divided by a multiplier of its greatest
+    error (in units of ``limit``): below a half of the limit the step grows, at
+    most twofold, above it shrinks.  All rounds are windows over the same keys:
+    one shuffle, and no driver action between them.
+    """
+    w = Window.partitionBy(*keys)
+    s = values.select(*keys, "value", F.lit(float(start)).alias("step"), F.lit(None).cast("double").alias("best"))
+    for _ in range(rounds):
+        error = F.max(F.abs(F.col("value") - F.rint(F.col("value") / F.col("step")) * F.col("step")) / F.lit(limit)).over(w)
+        s = s.withColumn("e", error).withColumn("best", F.when(F.col("e") <= 1, F.greatest(F.coalesce("best", F.lit(0.0)), F.col("step"))).otherwise(F.col("best")))
+        s = s.withColumn("step", F.col("step") / F.greatest(error_multiplier(F.col("e")), F.lit(0.5))).drop("e")
+    return s.groupBy(*keys).agg(F.max("step").alias("step"), F.max("best").alias("best"))
+
+
 def division(square: Column, vertical: Column, horizontal: Column) -> Column:
     """Square only if strictly cheapest; else vertical if strictly cheaper than horizontal."""
     return F.when((square < vertical) & (square < horizontal), "square").when(vertical < horizontal, "vertical").otherwise("horizontal")

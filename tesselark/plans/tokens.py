@@ -62,6 +62,28 @@ def zero_count_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderstats.zero_count_order(blocks.zero_counts(p, ["pos"]), pinned=4)
 
 
+@query("""
+    WITH c AS (SELECT i // 32 AS y, i % 32 AS x FROM (SELECT unnest(range(512)) AS i)),
+    d AS (SELECT y, x, x + 2 * y AS d, x < 4 AND y < 2 AS low FROM c),
+    k AS (SELECT *, CASE WHEN (CASE WHEN d < 32 THEN d ELSE 62 - d END) % 2 = 0 THEN x ELSE 2 * y END AS along FROM d)
+    SELECT y, x, row_number() OVER (ORDER BY low DESC, CASE WHEN low THEN y ELSE d END, CASE WHEN low THEN x ELSE along END) - 1 AS rank FROM k
+""")
+def natural_scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan order of a transform four blocks wide and two high."""
+    return orderstats.natural_order(spark, 4, 2)
+
+
+@query("""
+    WITH s AS (SELECT event_type, user_id, count(*) AS size, count(*) % 2 AS custom FROM events GROUP BY ALL)
+    SELECT event_type, arg_min(user_id, (size, custom, user_id)) AS user_id, min(size) AS size FROM s GROUP BY event_type
+""")
+def preferred_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each group the candidate of least size, then without a custom order, then the first."""
+    s = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("size"))
+    key = F.struct("size", F.col("size") % 2, "user_id")
+    return s.groupBy("event_type").agg(F.min_by("user_id", key).alias("user_id"), F.min("size").alias("size"))
+
+
 @query("""
     WITH c AS (SELECT p_brand, p_size AS symbol, count(*) AS n FROM part GROUP BY ALL),
     s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY p_brand) AS BIGINT) AS total FROM c),
@@ -265,6 +287,20 @@ def decision_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.best_split(s, ["a", "b"], ["c0", "c1"])
 
 
+def _feedback_sql() -> str:
+    parts = ['r0 AS (SELECT y // 8 AS "by", x // 8 AS bx, value, 0.5::DOUBLE AS step, NULL::DOUBLE AS best FROM p)']
+    for i in range(5):
+        parts.append(f'e{i} AS (SELECT *, max(abs(value - round_even(value / step, 0) * step) / 0.1::DOUBLE) OVER (PARTITION BY "by", bx) AS e FROM r{i})')
+        parts.append(f'r{i + 1} AS (SELECT "by", bx, value, step / greatest(CASE WHEN e < 0.5 THEN e * 2 WHEN e > 1 THEN e ELSE 1.0 END, 0.5) AS step, CASE WHEN e <= 1 THEN greatest(coalesce(best, 0.0), step) ELSE best END AS best FROM e{i})')
+    return f'WITH {EMB}, {", ".join(parts)} SELECT "by", bx, round(max(step), 6) + 0.0 AS step, round(max(best), 6) + 0.0 AS best FROM r5 GROUP BY "by", bx'
+
+
+@query(_feedback_sql())
+def error_feedback_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = planes.embedding_plane(spark, sf_dir).select(*blocks.cell(8), "value")
+    return r6(selection.error_feedback(p, ["by", "bx"], 0.1, 0.5), "step", "best")
+
+
 @query()
 def target_size_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quantiser step whose tokens take nearest below 60 % of the finest one's bits; a job for each probe."""
