@@ -88,11 +88,17 @@ def lehmer(permutation: DataFrame) -> DataFrame:
 def largest_remainder(counts: DataFrame, keys: list[str], total: int = 4096) -> DataFrame:
     """Scales counts (symbol, n) of each group to ``total``: floors of at least 1, then one more in order of remainder.
 
-    For groups whose floors do not exceed the total; ties go to the smaller symbol.
+    Where the floors exceed the total, the largest frequencies give up the
+    excess, each down to 1 before the next one does.  Ties go to the smaller
+    symbol.  A group of more symbols than ``total`` can't be scaled and is an error.
     """
     w = Window.partitionBy(*keys)
     s = counts.where("n > 0").withColumn("__sum", F.sum("n").over(w))
     s = s.withColumn("__floor", F.greatest(F.lit(1).cast("long"), F.expr(f"(n * {total}) div __sum"))).withColumn("__rest", F.expr(f"(n * {total}) % __sum"))
     s = s.withColumn("__missing", F.lit(total) - F.sum("__floor").over(w)).withColumn("__k", F.row_number().over(w.orderBy(F.desc("__rest"), "symbol"))).withColumn("__kinds", F.count("*").over(w))
+    larger = w.orderBy(F.desc("__floor"), "symbol").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = s.withColumn("__spare", F.sum(F.col("__floor") - 1).over(larger))
     more = F.expr("__missing div __kinds") + F.when(F.col("__k") <= F.col("__missing") % F.col("__kinds"), 1).otherwise(0)
-    return s.where("__missing >= 0").select(*keys, "symbol", "n", (F.col("__floor") + more).alias("frequency"))
+    less = F.greatest(F.lit(0), F.least(F.col("__floor") - 1, F.col("__floor") - 1 - F.col("__missing") - F.col("__spare")))
+    frequency = F.when(F.col("__kinds") > total, F.raise_error(F.lit(f"a group has more than {total} symbols"))).when(F.col("__missing") >= 0, F.col("__floor") + more).otherwise(F.col("__floor") - less)
+    return s.select(*keys, "symbol", "n", frequency.alias("frequency"))

@@ -186,3 +186,23 @@ def test_natural_order_is_the_zigzag(spark):
                     want.append((y // stretch, x))
         got = [(r.y, r.x) for r in orderstats.natural_order(spark, wide, high).orderBy("rank").collect()]
         assert got == want
+
+
+def test_remainders_of_skewed_counts_take_the_excess_from_the_largest(spark):
+    groups = {"a": [100000] + [1] * 49, "b": [10000] + [1] * 9, "c": [5000, 5000] + [1] * 20, "d": [3] + [1] * 4}
+    groups["e"] = [10**6] + [1] * 4094 + [2]
+    rows = [(k, i, n) for k, counts in groups.items() for i, n in enumerate(counts)]
+    got = {k: [0] * len(v) for k, v in groups.items()}
+    for r in orderstats.largest_remainder(spark.createDataFrame(rows, "k string, symbol int, n long"), ["k"]).collect():
+        got[r.k][r.symbol] = r.frequency
+    for k, counts in groups.items():
+        want = [max(1, n * 4096 // sum(counts)) for n in counts]
+        rest = sorted(range(len(counts)), key=lambda i: (-(counts[i] * 4096 % sum(counts)), i))
+        for i in range(4096 - sum(want)):
+            want[rest[i % len(rest)]] += 1
+        while sum(want) > 4096:
+            i = max(range(len(want)), key=lambda i: (want[i], -i))
+            want[i] -= min(sum(want) - 4096, want[i] - 1)
+        assert got[k] == want, k
+    with pytest.raises(Exception, match="more than 4096 symbols"):
+        orderstats.largest_remainder(spark.createDataFrame([("k", i, 1) for i in range(4097)], "k string, symbol int, n long"), ["k"]).collect()
