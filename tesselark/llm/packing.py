@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 from tesselark.llm import text as tx
 from tesselark.llm.shared import cut
 
-#: Sequences that a task holds open at a time.
-OPEN = 4096
-#: Tokens that one task packs, about; a task wastes less than one sequence.
+#: Tokens that one task packs, about.
 TASK_TOKENS = 16 << 20
 #: Distinct words whose ids a worker remembers before it starts afresh.
 REMEMBERED = 800_000
@@ -23,6 +21,15 @@ REMEMBERED = 800_000
 MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
 
 
+def most_open(size: int, task_tokens: int = TASK_TOKENS) -> int:
+    """As many sequences of ``size`` as a task can need to hold open.
+
+    Two sequences together hold more than ``size`` tokens, or the second would
+    not have been opened; an eighth more allows for what a hash deals unevenly.
+    """
+    return 2 * (task_tokens + task_tokens // 8) // size + 1
+
+
 class OpenBins:
     """At most ``most`` open bins of ``size``, keyed by their free space.
 
@@ -164,15 +171,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def pack(pieces: DataFrame, by: list[str], size: int = 2048, open_bins: int = OPEN, task_tokens: int = TASK_TOKENS) -> DataFrame:
+def pack(pieces: DataFrame, by: list[str], size: int = 2048, open_bins: int | None = None, task_tokens: int = TASK_TOKENS) -> DataFrame:
     """Places pieces (column length, 1 to ``size``) into sequences of ``size``.
 
     Adds sequence_id and offset (from 0, without gaps).  Pieces are dealt to
     tasks by a hash of the columns ``by``, which should tell pieces apart, so
     no key can gather rows.  A task takes its pieces longest first and puts
-    each into the fullest open sequence that has room.  An empty input gives no
-    rows; repeated rows are placed one by one.
+    each into the fullest open sequence that has room.  It holds ``open_bins``
+    sequences open, or as many as it can need.  An empty input gives no rows;
+    repeated rows are placed one by one.
     """
+    most = most_open(size, task_tokens) if open_bins is None else open_bins
     pieces = cut(pieces)
     total = pieces.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, -(-total // task_tokens))
@@ -182,7 +191,7 @@ def pack(pieces: DataFrame, by: list[str], size: int = 2048, open_bins: int = OP
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        bins = OpenBins(size, open_bins)
+        bins = OpenBins(size, most)
         for batch in batches:
             put = np.array([bins.put(n) for n in batch.column("length").to_pylist()], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + put[:, 0]), pa.array(put[:, 1])], [*batch.schema.names, "sequence_id", "offset"])
@@ -191,7 +200,7 @@ def pack(pieces: DataFrame, by: list[str], size: int = 2048, open_bins: int = OP
     return dealt.mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, open_bins: int = OPEN) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, open_bins: int | None = None) -> DataFrame:
     """Tokenizes, cuts and packs whole texts; see :func:`token_pieces` and :func:`pack`.
 
     Returns id_col, piece, start, length, ids_crc32, sequence_id and offset.

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tesselark.llm import bpe, media, packing
 
@@ -174,3 +175,11 @@ def test_bins_never_overflow_on_random_items():
             assert load.get(b, 0) == offset
             load[b] = offset + n
             assert load[b] <= 64 and bins.open <= most
+
+
+def test_many_long_pieces_leave_their_space_to_short_ones(spark):
+    """More half-full sequences than 4,096 come before the first short piece."""
+    long, short = 6000, 12000
+    pieces = spark.range(long + short).select(F.col("id"), F.when(F.col("id") < long, 1200).otherwise(400).cast("long").alias("length"))
+    got = packing.pack(pieces, ["id"]).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert len(got) == long and all(r.n == 2000 for r in got)
