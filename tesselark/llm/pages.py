@@ -26,6 +26,8 @@ from tesselark.llm import text as tx
 
 #: Pages in the training sample, and pages drawn up.
 SAMPLE, DRAWN = 160, 320
+#: Words whose vectors are looked up at a time.
+TOGETHER = 1 << 20
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, HIDDEN, NUMBERS = 1024, 512, 12, 6, 14, 7
 
 _MARKUP = re.compile(
@@ -218,7 +220,8 @@ def drawn(count: int, words: list[str], seed: int = 11) -> list[tuple[list[Block
 def vectors(pages: list[list[Block]]) -> dict[str, np.ndarray]:
     """Hashed path words, hashed text words and densities of the blocks of some pages, end to end."""
     blocks = [b for p in pages for b in p]
-    path = [[zlib.crc32(w.encode()) % PATH_BUCKETS for w in b.path[-40:]] or [0] for b in blocks]
+    bucket = {w: zlib.crc32(w.encode()) % PATH_BUCKETS for w in {w for b in blocks for w in b.path}}
+    path = [np.array([bucket[w] for w in b.path] or [0], np.int16) for b in blocks]
     texts = tx.texts_of(pa.array([b.text for b in blocks], pa.string()))
     data, ends = tx.bytes_of(texts)
     low = tx.lowered(data)
@@ -234,13 +237,21 @@ def vectors(pages: list[list[Block]]) -> dict[str, np.ndarray]:
     place = np.concatenate([np.linspace(0, 1, len(p)) for p in pages]) if blocks else np.zeros(0)
     numbers = np.stack([np.log1p(count) / 4, np.array([b.linked for b in blocks]), rate((data == 46) | (data == 44)) * 10, rate((data >= 65) & (data <= 90)) * 5, place, (count <= 2) * 1.0, np.ones(len(blocks))], 1)
     lengths = np.array([len(x) for x in path], np.int64)
-    return {"path": np.array([x for y in path for x in y], np.int64), "path_n": lengths, "word": words, "word_n": count, "numbers": numbers.astype(nets.F32)}
+    return {"path": np.concatenate(path) if path else np.zeros(0, np.int16), "path_n": lengths, "word": words, "word_n": count, "numbers": numbers.astype(nets.F32)}
 
 
 def _mean(table: np.ndarray, index: np.ndarray, count: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[index], 0, dtype=np.float64)])
     ends = np.cumsum(count)
-    return ((sums[ends] - sums[ends - count]) / np.maximum(count, 1)[:, None]).astype(nets.F32)
+    out = np.zeros((len(count), table.shape[1]), nets.F32)
+    i = 0
+    while i < len(count):  # so many rows at a time that the looked-up vectors stay small; a long row is one step
+        first = int(ends[i] - count[i])
+        j = max(i + 1, int(np.searchsorted(ends, first + TOGETHER, "right")))
+        sums = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[index[first : ends[j - 1]]], 0, dtype=np.float64)])
+        stop = ends[i:j] - first
+        out[i:j] = (sums[stop] - sums[stop - count[i:j]]) / np.maximum(count[i:j], 1)[:, None]
+        i = j
+    return out
 
 
 class Labeller:

@@ -180,3 +180,22 @@ def test_labeller_on_unseen_layouts():
     test = pages.drawn(100, words, seed=99)
     pairs = [(bool(y), z) for (b, labels), found in zip(test, net.label([b for b, _ in test])) for y, z in zip(labels, found)]
     assert np.mean([a == b for a, b in pairs]) > 0.98
+
+
+def test_labeller_sees_the_whole_path_of_a_block(monkeypatch):
+    """The container that tells comments from the article stands more than 40 words above its blocks."""
+    inner = "".join(f'<div class="wrap outer inner level{i}">' for i in range(15))
+    text = "plain words that could stand anywhere on a page, and more of them in a row."
+    found = [pages.blocks_of(f'<body><{tag}>{inner}<p>{text}</p>{"</div>" * 15}</{tag}></body>')[0] for tag in ("article", "footer")]
+    assert len(found[0].path) > 60 and found[0].path[-40:] == found[1].path[-40:]
+    assert [pages.marked([b]) for b in found] == [[1], [0]]
+    v = pages.vectors([[b] for b in found])
+    assert v["path_n"].tolist() == [len(b.path) for b in found]
+    assert pages.zlib.crc32(b"<footer") % pages.PATH_BUCKETS in v["path"][len(found[0].path) :].tolist()
+    table = np.random.default_rng(7).normal(size=(pages.PATH_BUCKETS, 3))
+    whole = pages._mean(table, v["path"], v["path_n"])
+    assert not np.allclose(whole[0], whole[1])
+    monkeypatch.setattr(pages, "TOGETHER", 2)
+    assert np.allclose(pages._mean(table, v["path"], v["path_n"]), whole)
+    net = pages.fit([([b], pages.marked([b])) for b in found], steps=240, batch=8)
+    assert [bool(x[0]) for x in net.label([[b] for b in found])] == [True, False]
