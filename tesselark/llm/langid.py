@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tesselark.llm import nets
 from tesselark.llm import text as tx
@@ -140,13 +141,14 @@ class ByteGru:
 def fit(texts: list[str], languages: list[str], seed: int = 5, steps: int = 160, batch: int = 160) -> ByteGru:
     """Trains on windows of whole texts (at most WINDOWS_EACH of one text, spread over it)."""
     names = sorted(set(languages))
+    place = {n: i for i, n in enumerate(names)}
     net, rng = ByteGru.fresh(names), np.random.default_rng(seed)
     rows: list[tuple[bytes, int]] = []
     for t, lang in zip(texts, languages, strict=True):
         raw = t.encode()
         starts = range(0, len(raw), WINDOW)
         for at in (starts if len(starts) <= WINDOWS_EACH else sorted(rng.choice(len(starts), WINDOWS_EACH, False) * WINDOW)):
-            rows.append((raw[at : at + WINDOW], names.index(lang)))
+            rows.append((raw[at : at + WINDOW], place[lang]))
     if not rows:
         return net
     data = np.frombuffer(b"".join(r for r, _ in rows), np.uint8)
@@ -164,13 +166,12 @@ def fit(texts: list[str], languages: list[str], seed: int = 5, steps: int = 160,
 def sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, each: int = TEXTS_EACH) -> list:
     """At most ``each`` texts of each language, by a hash of their ids (a bounded sample).
 
-    The ids are chosen without reading a text; the texts are then looked up.
+    Every language takes part.  The ids are chosen without reading a text; the
+    texts are then looked up.
     """
-    ids = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, lang_col)
-    names = [r[0] for r in ids.select(lang_col).distinct().orderBy(lang_col).limit(64).collect()]
-    chosen: list = []
-    for name in names:
-        chosen += [r[0] for r in ids.where(F.col(lang_col) == name).orderBy(F.xxhash64(id_col), id_col).limit(each).collect()]
+    ids = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    chosen = [r[0] for r in ids.withColumn("rank", rank).where(F.col("rank") <= each).select("id").collect()]
     if not chosen:
         return []
     rows = docs.where(F.col(id_col).isin(chosen) & usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())

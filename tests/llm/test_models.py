@@ -1,5 +1,6 @@
 """Networks, trees and searches: held-out accuracy, brute force, and odd rows."""
 
+import math
 import random
 
 import numpy as np
@@ -199,3 +200,12 @@ def test_labeller_sees_the_whole_path_of_a_block(monkeypatch):
     assert np.allclose(pages._mean(table, v["path"], v["path_n"]), whole)
     net = pages.fit([([b], pages.marked([b])) for b in found], steps=240, batch=8)
     assert [bool(x[0]) for x in net.label([[b] for b in found])] == [True, False]
+
+
+def test_every_language_is_learned(spark):
+    """Seventy values sort before the last one."""
+    names = [f"a{i:02}" for i in range(70)] + ["zz"]
+    docs = spark.createDataFrame([(100 * k + i, f"text {i} in language {name}", name) for k, name in enumerate(names) for i in range(3)], "doc_id long, text string, lang string")
+    rows = langid.sample(docs, F.lit(True), "doc_id", "text", "lang", 2)
+    assert sorted(r.lang for r in rows) == sorted(names * 2)
+    assert langid.fit([r.text for r in rows], [r.lang for r in rows], steps=1).languages == names
