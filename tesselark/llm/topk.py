@@ -22,10 +22,15 @@ BLOCK, QUERIES = 8192, 512
 
 
 def scaled(vector: Column, factor: int = 256) -> Column:
-    """floor(factor * x) of every component as long; null if the vector is null or a component is null or not finite."""
+    """floor(factor * x) of every component as long; null if the vector is null or a component is null or not finite.
+
+    A finite component whose product does not fit a long is an error.
+    """
     x = F.transform(vector, lambda v: v.cast("double"))
-    good = vector.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float(1 << 40)))
-    return F.when(good, F.transform(x, lambda v: F.floor(v * factor).cast("long")))
+    good = vector.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    fits = lambda v: (v * factor >= -float(1 << 63)) & (v * factor < float(1 << 63))
+    wide = F.raise_error(F.lit(f"a component times {factor} does not fit a long")).cast("long")
+    return F.when(good, F.transform(x, lambda v: F.when(fits(v), F.floor(v * factor).cast("long")).otherwise(wide)))
 
 
 def threshold_top(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -38,7 +43,9 @@ def threshold_top(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, que
     order = np.argsort(vectors, 0, kind="stable") if n else np.zeros((0, d), np.int64)
     sorted_values = np.take_along_axis(vectors, order, 0)
     # sums below 2**53 are exact in double precision; else in Python-sized steps of int64
-    largest = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, d)
+    largest = max(1, d)
+    for a in (vectors, queries):
+        largest *= max(int(a.max(initial=0)), -int(a.min(initial=0)))
     exact = np.float64 if largest < 2**53 else (np.int64 if largest < 2**63 else object)
     table, asked = vectors.astype(exact), queries.astype(exact)
     found = []
@@ -65,7 +72,10 @@ def threshold_top(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, que
             if len(best) >= k:
                 at, scores = at[scores >= best[-1]], scores[scores >= best[-1]]
             all_ids, all_scores = np.concatenate([best_ids, ids[at]]), np.concatenate([best, scores])
-            top = np.lexsort((all_ids, -all_scores))[:k]
+            if exact is object:
+                top = np.array(sorted(range(len(all_ids)), key=lambda i: (-all_scores[i], all_ids[i]))[:k], np.int64)
+            else:
+                top = np.lexsort((all_ids, -all_scores))[:k]
             best_ids, best = all_ids[top], all_scores[top]
             depth, step = to, step * 2
             if depth < n and len(best) >= k:
@@ -80,7 +90,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     """The k highest integer inner products of each query row with all other rows.
 
     Components become floor(factor * x).  Rows whose id or vector is null, or
-    whose vector holds a null or non-finite component, take no part; vectors of
+    whose vector holds a null or non-finite component, take no part; a component
+    or a score among the best that does not fit a long is an error.  Vectors of
     different lengths are compared within their length only.  Rows that share
     an id are one another's own row.  Returns query_id, rank (from 1), id_col
     and score; ties go to the smaller id; a query with fewer candidates returns

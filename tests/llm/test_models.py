@@ -209,3 +209,23 @@ def test_every_language_is_learned(spark):
     rows = langid.sample(docs, F.lit(True), "doc_id", "text", "lang", 2)
     assert sorted(r.lang for r in rows) == sorted(names * 2)
     assert langid.fit([r.text for r in rows], [r.lang for r in rows], steps=1).languages == names
+
+
+def test_top_k_keeps_large_finite_vectors(spark):
+    big = float(1 << 41)
+    rows = [(0, [1.0, 2.0]), (1, [big, -1.0]), (2, [3.0, big * 4]), (3, [-big * 1024, 0.5]), (4, [0.25, 0.5]), (5, [float("inf"), 0.0]), (6, [float("nan"), 0.0]), (7, [2.0, 2.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = {0, 4, 7}
+    good = {i: [math.floor(256 * x) for x in v] for i, v in rows if all(map(math.isfinite, v))}
+    want = []
+    for q in asked:
+        best = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q)[:4]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    got = topk.top_k(docs, F.col("vec_id").isin(*asked), k=4)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    for wide in ([1e300, 1.0], [float(1 << 55), 1.0]):
+        with pytest.raises(Exception, match="does not fit a long"):
+            topk.top_k(spark.createDataFrame([(0, wide), (1, [1.0, 1.0])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
+    huge = spark.createDataFrame([(0, [big * 4096, 1.0]), (1, [big * 4096, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="[Ii]nt too|[Oo]verflow|too large"):
+        topk.top_k(huge, F.lit(True)).collect()
