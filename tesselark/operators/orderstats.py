@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesselark.operators.running import running
+
 
 def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The element of index n div 2 of each group's sorted values.
 
     Counts of distinct values come first, so a group is as long as its distinct
-    values, and the running count finds the median without gathering rows.
+    values, and the running count, spread over tasks, finds the median without
+    gathering rows.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys)
-    run = counts.select(*keys, value, F.sum("c").over(w.orderBy(value)).alias("upto"), F.sum("c").over(w).alias("n"))
+    run = running(counts, keys, [value], "c").select(*keys, value, (F.col("__before") + F.col("c")).alias("upto"), F.col("__total").alias("n"))
     return run.where(F.col("upto") > F.expr("n div 2")).groupBy(*keys).agg(F.min(value).alias("median"), F.max("n").alias("n"))
 
 
@@ -76,13 +78,20 @@ def natural_order(spark: SparkSession, blocks_wide: int, blocks_high: int) -> Da
 def lehmer(permutation: DataFrame) -> DataFrame:
     """For each place of a permutation (grp, pos, value): how many smaller values come later.
 
-    A smaller value before a place is a smaller value not after it, so the
-    count is value - (smaller before): an ordered count that a join by group
-    and bucket of places would spread; groups here are bounded orders.
+    A merge count: two places of a group part at one bit of their positions, the
+    highest that differs.  At each bit, among the places that agree above it, a
+    place with 0 counts those with 1 and a smaller value: a running sum by
+    value, spread over tasks.  A group costs as many rows a place as its
+    positions have bits, and no place meets all others.
     """
-    a, b = permutation.alias("a"), permutation.alias("b")
-    later = (F.col("a.grp") == F.col("b.grp")) & (F.col("b.pos") > F.col("a.pos")) & (F.col("b.value") < F.col("a.value"))
-    return a.join(b, later, "left").groupBy(F.col("a.grp").alias("grp"), F.col("a.pos").alias("pos")).agg(F.count("b.pos").alias("code"))
+    ends = permutation.groupBy("grp").agg(F.min("pos").alias("__least"), F.max("pos").alias("__most"))
+    p = permutation.select("grp", "pos", "value").join(ends, "grp", "left").withColumn("__p", F.col("pos") - F.col("__least"))
+    bits = F.sequence(F.lit(0), F.length(F.bin(F.col("__most") - F.col("__least"))) - 1)
+    p = p.withColumn("__level", F.explode(F.coalesce(bits, F.array(F.lit(0)))))
+    p = p.withColumn("__node", F.expr("shiftright(__p, __level + 1)")).withColumn("__bit", F.expr("shiftright(__p, __level) & 1"))
+    # of equal values the place with 0 comes first
+    run = running(p.select("grp", "pos", "value", "__level", "__node", "__bit"), ["grp", "__level", "__node"], ["value", "__bit"], "__bit")
+    return run.groupBy("grp", "pos").agg(F.sum(F.when(F.col("__bit") == 0, F.col("__before")).otherwise(0)).alias("code"))
 
 
 def largest_remainder(counts: DataFrame, keys: list[str], total: int = 4096) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tesselark.functions.pointwise import bit_width, pack_signed
+from tesselark.operators.running import ranks, running
 from tesselark.operators.stencils import causal
 
 
@@ -69,13 +70,12 @@ def run_lengths(rows: DataFrame, order: str, value: str, keys: list[str]) -> Dat
 
 def offsets(counts: DataFrame, keys: list[str], order: str, n: str) -> DataFrame:
     """Exclusive running sums of ``n`` within each group: where each item's output starts."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumn("offset", F.sum(n).over(w) - F.col(n))
+    return running(counts, keys, [order], n).select(*counts.columns, F.col("__before").alias("offset"))
 
 
 def stable_rank(rows: DataFrame, family: str, order: str) -> DataFrame:
     """Position of each row among its family, in raster order (a stable counting sort's scatter)."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(family).orderBy(order)).cast("long") - 1)
+    return ranks(rows, [family], [order], "rank")
 
 
 def coefficient_tokens(blocks: DataFrame) -> DataFrame:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tesselark.functions import pointwise as pw
-from tesselark.operators import blocks, histograms, orderstats, prediction, selection
+from tesselark.operators import blocks, histograms, orderstats, prediction, running, selection
 from tesselark.plans.grids import EMB, r6
 from tesselark.sources import planes
 from tesselark.sources.planes import table
@@ -102,9 +101,9 @@ def largest_remainder_4096(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def lehmer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permutation of each user's events by value; a user's events are the order's length."""
-    w = Window.partitionBy("user_id")
-    e = table(spark, sf_dir, "events")
-    p = e.select(F.col("user_id").alias("grp"), (F.row_number().over(w.orderBy("event_id")) - 1).cast("long").alias("pos"), (F.row_number().over(w.orderBy("value", "event_id")) - 1).cast("long").alias("value"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("grp"), "event_id", "value")
+    e = running.ranks(running.ranks(e, ["grp"], ["event_id"], "pos"), ["grp"], ["value", "event_id"], "place")
+    p = e.select("grp", "pos", F.col("place").alias("value"))
     return orderstats.lehmer(p)
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselark.functions import pointwise as pw
-from tesselark.operators import histograms, orderstats, prediction, selection, stencils, transforms
+from tesselark.operators import histograms, orderstats, prediction, running, selection, stencils, transforms
 from tesselark.sources import planes
 from tesselark.streaming import populations
 
@@ -206,3 +206,37 @@ def test_remainders_of_skewed_counts_take_the_excess_from_the_largest(spark):
         assert got[k] == want, k
     with pytest.raises(Exception, match="more than 4096 symbols"):
         orderstats.largest_remainder(spark.createDataFrame([("k", i, 1) for i in range(4097)], "k string, symbol int, n long"), ["k"]).collect()
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Small tables keep their ranges apart."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_one_hot_group_is_ranked_and_counted_in_parts(spark, many_parts):
+    rng = np.random.default_rng(8)
+    sizes = {0: 3000, 1: 1, 2: 7}
+    rows = [(g, i, int(v)) for g, n in sizes.items() for i, v in enumerate(rng.permutation(n))]
+    df = spark.createDataFrame(rows, "grp long, pos long, value long")
+    ranked = running.running(df.withColumn("one", F.lit(1)), ["grp"], ["value"], "one").collect()
+    assert len(ranked) == len(rows) and all(r["__before"] == r.value and r["__total"] == sizes[r.grp] for r in ranked)
+    codes = orderstats.lehmer(df)
+    value = {g: [v for k, _, v in rows if k == g] for g in sizes}
+    assert {(r.grp, r.pos): r.code for r in codes.collect()} == {(g, i): sum(w < v for w in value[g][i + 1 :]) for g in sizes for i, v in enumerate(value[g])}
+    kept = running._kept
+    held = []
+    try:
+        running._kept = lambda df: held.append(kept(df)) or held[-1]
+        prediction.stable_rank(df.where("grp = 0"), "grp", "pos").collect()
+        prediction.offsets(df.where("grp = 0"), ["grp"], "pos", "value").collect()
+        orderstats.upper_median(df.where("grp = 0"), ["grp"], "value").collect()
+    finally:
+        running._kept = kept
+    for h in held:
+        most = h.groupBy("grp", "__part").count().agg(F.max("count")).first()[0]
+        assert most < 1500
