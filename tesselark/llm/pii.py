@@ -38,7 +38,9 @@ def _spans(text: Column, expression: str, kind: str) -> Column:
     """Matches as structs (kind, start, end, match, before, after); starts and ends count code points.
 
     The text between the matches gives their places, so this takes one pass of
-    splitting and one of extracting.
+    splitting and one of extracting.  before and after are up to CONTEXT
+    characters of the text around a match, other matches included; where before
+    is cut inside a word, that word is left out.
     """
     between = F.split(text, expression, -1)
     found = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
@@ -46,15 +48,25 @@ def _spans(text: Column, expression: str, kind: str) -> Column:
     gaps = F.zip_with(between, F.slice(between, F.lit(2), F.size(between)), lambda a, b: F.struct(a.alias("before"), b.alias("after")))
     pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g["before"].alias("before"), g["after"].alias("after")))
     pairs = F.filter(pairs, lambda x: x["m"].isNotNull())
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<kind:string,start:bigint,end:bigint,m:string,before:string,after:string>>").alias("spans"))
+    spans = "array<struct<kind:string,start:bigint,end:bigint,m:string,before:string,after:string>>"
+    empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(spans).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["before"])
         end = start + F.length(x["m"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("m"), F.right(x["before"], F.lit(CONTEXT)).alias("before"), F.left(x["after"], F.lit(CONTEXT)).alias("after"))
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
+        # one character more than the context tells a word that is cut from one that begins there
+        left = F.right(F.concat(acc["tail"], F.right(x["before"], F.lit(CONTEXT + 1))), F.lit(CONTEXT + 1))
+        before = F.when(F.length(left) > CONTEXT, F.regexp_replace(left, r"^\S+\s", " ")).otherwise(left)
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("m"), before.alias("before"), F.left(x["after"], F.lit(CONTEXT)).alias("after"))
+        return F.struct(end.alias("at"), F.right(F.concat(left, F.right(x["m"], F.lit(CONTEXT + 1))), F.lit(CONTEXT + 1)).alias("tail"), F.array_append(acc["spans"], span).alias("spans"))
 
-    return F.aggregate(pairs, empty, step, lambda acc: acc["spans"])
+    def back(acc: Column, x: Column) -> Column:
+        after = F.left(F.concat(x["after"], acc["head"]), F.lit(CONTEXT))
+        span = F.struct(*[x[c].alias(c) for c in ("kind", "start", "end", "m", "before")], after.alias("after"))
+        return F.struct(F.left(F.concat(F.left(x["m"], F.lit(CONTEXT)), after), F.lit(CONTEXT)).alias("head"), F.array_append(acc["spans"], span).alias("spans"))
+
+    last = F.struct(F.lit("").alias("head"), F.array().cast(spans).alias("spans"))
+    return F.aggregate(pairs, empty, step, lambda acc: F.aggregate(F.reverse(acc["spans"]), last, back, lambda b: F.reverse(b["spans"])))
 
 
 def _digits(text: Column) -> Column:
@@ -100,7 +112,7 @@ def _in_order(spans: Column) -> Column:
 
 def _words_beside(span: Column) -> Column:
     """Patterns of a span: the two words before it, the word before and after it (lower case)."""
-    before = F.filter(F.split(F.lower(F.regexp_replace(span["before"], r"^\S+\s|[,;:!?\"'()\[\]]", " ")), r"\s+"), lambda w: w != "")
+    before = F.filter(F.split(F.lower(F.regexp_replace(span["before"], r"[,;:!?\"'()\[\]]", " ")), r"\s+"), lambda w: w != "")
     after = F.filter(F.split(F.lower(F.regexp_replace(span["after"], r"[,;:!?\"'()\[\]]", " ")), r"\s+"), lambda w: w != "")
     one, two, nxt = F.try_element_at(before, F.lit(-1)), F.try_element_at(before, F.lit(-2)), F.try_element_at(after, F.lit(1))
     two_words = F.when(two.isNotNull(), F.concat(F.lit("<< "), two, F.lit(" "), one))

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tesselark.llm import pii
 
@@ -99,3 +100,22 @@ def test_redaction_keeps_the_rest_of_the_text(spark):
 @pytest.mark.parametrize("kind", KINDS)
 def test_expressions_have_no_capturing_groups(kind):
     assert re.search(r"(?<!\\)\((?!\?)", re.sub(r"\[[^\]]*\]", "", pii.EXPRESSIONS[kind])) is None
+
+
+def test_context_is_the_text_around_a_match(spark):
+    texts = ["Phone: 0171-5551234 thanks", "call 1 at 2 or 3", "x9 me@a.bc 1.2.3.4 b7", "word " * 30 + "room 12 b3 " + "more " * 30, "z" * 90 + " 55 end"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in docs.select("text", pii._spans(F.col("text"), pii.CANDIDATE, "").alias("s")).collect():
+        assert r.s
+        for s in r.s:
+            left = r.text[max(0, s.start - pii.CONTEXT - 1) : s.start]
+            want = re.sub(r"^\S+\s", " ", left) if len(left) > pii.CONTEXT else left
+            assert (s.before, s.after, s.m) == (want, r.text[s.end : s.end + pii.CONTEXT], r.text[s.start : s.end])
+
+
+def test_identifiers_near_the_start_and_beside_others_are_found(spark):
+    seeds = [f"Phone: +1 443 555 57{i:02} thanks" for i in range(12)] + [f"see b7 dial +1 443 666 57{i:02} now" for i in range(12)]
+    texts = [*seeds, "Phone: 0171-5551234 thanks", "see b7 dial 0171-5559876 now", "c3 dial 0171-5550000 now"]
+    found = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in found.collect()}
+    assert got[24] == [("phone", 7, 19)] and got[25] == [("phone", 12, 24)] and got[26] == [("phone", 8, 20)]
