@@ -310,5 +310,5 @@ def target_size_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         return int(p.agg(F.sum(1 + pw.bit_width(token))).first()[0] or 0)
 
     finest = probe(0.01)
-    step, size, probes = selection.search_size(probe, finest * 6 // 10, 0.01, 1.0, 8)
+    step, size, probes = selection.search_size(probe, finest * 6 // 10, 0.01, 1.0)
     return spark.createDataFrame([(float(step), int(size), int(finest), int(probes))], "step double, bits long, finest long, probes int")

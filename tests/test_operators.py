@@ -240,3 +240,10 @@ def test_one_hot_group_is_ranked_and_counted_in_parts(spark, many_parts):
     for h in held:
         most = h.groupBy("grp", "__part").count().agg(F.max("count")).first()[0]
         assert most < 1500
+
+
+def test_target_size_search_takes_all_its_probes(spark, sf_dir):
+    from tesselark.plans import tokens
+
+    r = tokens.target_size_search(spark, sf_dir).first()
+    assert r.probes == 12 and 0.6 * r.finest - r.bits >= 0
