@@ -93,7 +93,7 @@ def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, STEP_BYTES)
+        size = max(n, STEP_BYTES + 1)
         with np.errstate(over="ignore"):
             up = np.full(size, _PRIME, np.uint64)
             up[0] = 1
@@ -103,17 +103,45 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def _sums_of_spans(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The polynomial of each span's bytes, from one prefix sum."""
+    up, down = _powers_to(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    return (sums[stops] - sums[starts]) * down[starts]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans from one prefix sum of a polynomial."""
-    n = len(data)
+    """64-bit hashes of byte spans.
+
+    Bytes are taken up to STEP_BYTES at a time, so the memory beside the result
+    is bounded however long a text or a span is.
+    """
+    out = np.zeros(len(starts), np.uint64)
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers_to(n + 1)
+        return out
+    half = STEP_BYTES // 2
     with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
-        h = (sums[stops] - sums[starts]) * down[starts]
-        return mix64(h + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        if len(data) <= STEP_BYTES:
+            out = _sums_of_spans(data, starts, stops)
+        else:
+            long = stops - starts > half
+            for k in np.flatnonzero(long).tolist():
+                power = 1
+                for at in range(int(starts[k]), int(stops[k]), half):
+                    piece = data[at : min(at + half, int(stops[k]))]
+                    out[k] += _sums_of_spans(piece, np.array([0]), np.array([len(piece)]))[0] * np.uint64(power)
+                    power = power * pow(_PRIME, half, 1 << 64) % (1 << 64)
+            order = np.flatnonzero(~long)
+            order = order[np.argsort(starts[order], kind="stable")]
+            i = 0
+            while i < len(order):
+                first = int(starts[order[i]])
+                j = int(np.searchsorted(starts[order], first + half, "right"))
+                part = order[i:j]
+                out[part] = _sums_of_spans(data[first : int(stops[part].max())], starts[part] - first, stops[part] - first)
+                i = j
+        return mix64(out + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def word_hash(word: str) -> int:
