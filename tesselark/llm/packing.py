@@ -15,8 +15,8 @@ from tesselark.llm.shared import cut
 
 #: Tokens that one task packs, about.
 TASK_TOKENS = 16 << 20
-#: Distinct words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 800_000
+#: Distinct words whose ids a worker remembers before it starts afresh, and bytes of words and ids.
+REMEMBERED, REMEMBERED_BYTES = 800_000, 64 << 20
 #: Marks that may follow a word of letters; the tokenizer parts them from it.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
 
@@ -70,7 +70,10 @@ class OpenBins:
 
 
 class WordIds:
-    """Ids of texts by a tokenizers file that never joins words across white space."""
+    """Ids of texts by a tokenizers file that never joins words across white space.
+
+    A text that holds one of the file's added tokens goes to the tokenizer whole.
+    """
 
     def __init__(self, definition: str):
         import os
@@ -80,10 +83,11 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         # str.split() also parts at U+001C-U+001F, which the tokenizer doesn't
-        self.odd = re.compile("[\x1c-\x1f]")
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join(["[\x1c-\x1f]", *added]))
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, words: list[str]) -> None:
         """Remembers the ids of new words.
@@ -92,8 +96,9 @@ class WordIds:
         marks'; new words of letters are encoded together, as one line.
         """
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED or self.held > REMEMBERED_BYTES:
             known.clear()
+            self.held = 0
         new = [w for w in dict.fromkeys(words) if w not in known]
         cores = [w.rstrip(MARKS) for w in new]
         split = [c.isalpha() for c in cores]
@@ -115,6 +120,7 @@ class WordIds:
         for w, c, t, s in zip(new, cores, tails, split, strict=True):
             if s and t:
                 known[w] = known[c] + known[t]
+        self.held += sum(len(w) + len(known[w]) for w in new)
 
     def _each(self, words: list[str]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
@@ -138,7 +144,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     ``tokenizer`` is the path of a tokenizers definition whose pre-tokeniser
     parts at white space.  Only texts longer than ``size`` are cut.  Returns
     id_col, piece, start, length, ids_crc32 and, if asked, the ids themselves.
-    A null or empty text is one piece that holds ``end_id`` alone.
+    A null or empty text is one piece that holds ``end_id`` alone.  A text is
+    encoded whole, however long; null ids and repeated rows stay, an empty
+    table gives no rows, other columns are ignored.
     """
     with open(tokenizer, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -175,17 +183,18 @@ def pack(pieces: DataFrame, by: list[str], size: int = 2048, open_bins: int | No
     """Places pieces (column length, 1 to ``size``) into sequences of ``size``.
 
     Adds sequence_id and offset (from 0, without gaps).  Pieces are dealt to
-    tasks by a hash of the columns ``by``, which should tell pieces apart, so
-    no key can gather rows.  A task takes its pieces longest first and puts
-    each into the fullest open sequence that has room.  It holds ``open_bins``
-    sequences open, or as many as it can need.  An empty input gives no rows;
-    repeated rows are placed one by one.
+    tasks by a hash of their place in the written table, so no key or group of
+    equal rows can gather.  A task takes its pieces longest first, those of one
+    length by the columns ``by``, and puts each into the fullest open sequence
+    that has room.  It holds ``open_bins`` sequences open, or as many as it can
+    need.  An empty input gives no rows; repeated rows are placed one by one.
     """
     most = most_open(size, task_tokens) if open_bins is None else open_bins
     pieces = cut(pieces)
     total = pieces.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, -(-total // task_tokens))
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -194,9 +203,9 @@ def pack(pieces: DataFrame, by: list[str], size: int = 2048, open_bins: int | No
         bins = OpenBins(size, most)
         for batch in batches:
             put = np.array([bins.put(n) for n in batch.column("length").to_pylist()], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + put[:, 0]), pa.array(put[:, 1])], [*batch.schema.names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 2], pa.array(base + put[:, 0]), pa.array(put[:, 1])], names)
 
-    dealt = pieces.repartition(tasks, *by).sortWithinPartitions(F.desc("length"), *by)
+    dealt = pieces.withColumn("__place", F.monotonically_increasing_id()).repartition(tasks, "__place").sortWithinPartitions(F.desc("length"), *by, "__place")
     return dealt.mapInArrow(run, schema)
 
 

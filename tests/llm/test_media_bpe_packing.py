@@ -109,10 +109,32 @@ def test_bpe_on_documents(spark, sf_dir):
 
 
 def test_word_ids_match_the_library():
-    w = packing.WordIds(open(public_tokenizers.path("word_bpe_49k.json")).read())
-    odd = ["İstanbul, Ä̈ é don't! it's word's", "'’s a.b.c 12,5 ΣΑΣ.", "<|endoftext|> x<|startoftext|>y", "\x1c a\x1db   c d", "İ", "...", "á. éx", "x" * 300]
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    w, want = packing.WordIds(open(path).read()), Tokenizer.from_file(path)
+    assert np.frombuffer(w.encode("a <|endoftext|> b"), "<u4").tolist() == [320, 49407, 321]
+    odd = ["İstanbul, Ä̈ é don't! it's word's", "'’s a.b.c 12,5 ΣΑΣ.", "<|endoftext|> x<|startoftext|>y", "<|ENDOFTEXT|> <|endoftext", "a<|endoftext|>b\x1fc", "\x1c a\x1db   c d", "İ", "...", "á. éx", "x" * 300]
     for t in odd + [t or "" for t in TEXTS]:
-        assert np.frombuffer(w.encode(t), "<u4").tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(w.encode(t), "<u4").tolist() == want.encode(t, add_special_tokens=False).ids
+
+
+def test_memory_of_words_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 10_000)
+    w = packing.WordIds(open(public_tokenizers.path("word_bpe_49k.json")).read())
+    for i in range(40):
+        w.encode("x" * 3000 + str(i))
+    assert sum(len(k) + len(v) for k, v in w.known.items()) < 40_000
+
+
+def test_equal_rows_are_dealt_over_tasks(spark):
+    pieces = spark.createDataFrame([(None, 0, 0, 1, 7)] * 4000, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(pieces, ["doc_id"], size=100, task_tokens=1000).collect()
+    per = {}
+    for r in got:
+        per[r.sequence_id >> 40] = per.get(r.sequence_id >> 40, 0) + 1
+    assert len(got) == 4000 and len(per) == 4 and max(per.values()) < 1200
+    check_packing(got, 100)
 
 
 def check_packing(pieces, size):
@@ -131,7 +153,7 @@ def check_packing(pieces, size):
 
 def test_packing_places_every_token_once(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
-    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    rows = [(i, t) for i, t in enumerate([*TEXTS, "end <|endoftext|> <|startoftext|>of"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     pieces = packing.pack_documents(docs, path).collect()
     by_doc, by_bin = check_packing(pieces, 2048)
