@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tesselark.llm import text as tx
 
-#: Distinct pre-tokens whose ids a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Distinct pre-tokens whose ids a worker remembers before it starts afresh, and bytes of them and their ids.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 64 << 20
 
 
 def read_ranks(lines: bytes) -> list[bytes]:
@@ -79,13 +79,15 @@ class ByteBpe:
         self.find = regex.compile(pattern).findall
         self.to = {b: c for b, c in enumerate(byte_characters())}
         self.known: dict[str, bytes] = {}
+        self.held = 0
         sizes = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
         self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
         self.bytes = np.frombuffer(b"".join(vocabulary), np.uint8)
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.known.clear()
+            self.held = 0
         new = [p for p in dict.fromkeys(pieces) if p not in self.known]
         raw = [p.encode() for p in new]
         split = [i for i, r in enumerate(raw) if r not in self.whole]
@@ -95,6 +97,7 @@ class ByteBpe:
             ids[i] = [x - 1 for x in got]
         for p, i in zip(new, ids, strict=True):
             self.known[p] = np.array(i, "<i4").tobytes()
+            self.held += len(p) + len(self.known[p])
 
     def encode(self, text: str) -> np.ndarray:
         pieces = self.find(text)
@@ -119,7 +122,8 @@ def byte_bpe(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
     tasks (its size does not depend on the data).  Each match of ``pattern`` is
     encoded by itself; characters outside every match are left out.  Returns
     id_col, ids array<int> and decoded binary.  A null text counts as empty: no
-    ids, no bytes.  Null ids and repeated rows stay; other columns are ignored.
+    ids, no bytes.  A text is encoded whole, however long.  Null ids and repeated
+    rows stay; an empty table gives no rows; other columns are ignored.
     """
     with open(vocabulary, "rb") as f:
         ranks = f.read()
