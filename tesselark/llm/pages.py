@@ -24,90 +24,198 @@ from pyspark.sql import functions as F
 from tesselark.llm import nets
 from tesselark.llm import text as tx
 
-#: Pages in the training sample, and pages drawn up.
-SAMPLE, DRAWN = 160, 320
+#: Pages in the training sample, pages drawn up, words that fill those, and most blocks of a page to train on.
+SAMPLE, DRAWN, WORDS, TRAINED_BLOCKS = 160, 320, 20_000, 400
 #: Words whose vectors are looked up at a time.
 TOGETHER = 1 << 20
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, HIDDEN, NUMBERS = 1024, 512, 12, 6, 14, 7
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-z][^>]*>|<[!?][^>]*>",
-    re.S | re.I,
-)
+_TAG = re.compile(r"<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.I)
+_NAME = re.compile(r"<(/?)([a-z][^\s/>]*)", re.I)
+_PLAIN = re.compile(r"[^>\"']*")
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style")}
 _NAMES = re.compile(r"""(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
-#: An element of the first kind ends open elements of the second when it starts.
+#: Elements whose own words are no text of the page; a block that starts in one ends it, as none can stand inside.
+_SILENT = frozenset("svg select textarea iframe".split())
+#: An element of the first kind ends open elements of the second when it starts, unless one of the third lies between.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_LISTS, _BOXES = ("ul", "ol", "table", "dl"), ("article", "section", "div", "td", "li", "blockquote")
+_BLOCKS = frozenset("address article aside blockquote dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
 _SPACE = re.compile(r"\s+")
 
 
+class Node:
+    """An open element: its tag and names as path words, and the element around it."""
+
+    __slots__ = ("count", "depth", "number", "parent", "words")
+
+    def __init__(self, words: tuple[str, ...], parent: Node | None):
+        self.words, self.parent, self.number = words, parent, -1
+        self.depth = parent.depth + 1 if parent else 0
+        self.count = len(words) + (parent.count if parent else 0)
+
+
 class Block:
-    """Text of a leaf block, its tag path and how much of it is links."""
+    """Text of a leaf block, the element it stands in and how much of it is links."""
+
+    __slots__ = ("linked", "node", "text")
+
+    def __init__(self, text: str, node: Node, linked: float):
+        self.text, self.node, self.linked = text, node, linked
 
-    __slots__ = ("linked", "path", "text")
+    @property
+    def path(self) -> tuple[str, ...]:
+        """All words from the page's root down to the block."""
+        found, node = [], self.node
+        while node:
+            found.append(node.words)
+            node = node.parent
+        return tuple(w for words in reversed(found) for w in words)
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: float):
-        self.text, self.path, self.linked = text, path, linked
+
+class _Tags:
+    """The tags of a page in order: (start, end, closes, name or None for what is no element, attributes).
+
+    A tag ends at the first > outside quotes, or, where a quote never closes, at
+    the first > of all.  Places from which no end was found are remembered, so
+    the page is read a bounded number of times.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.dead, self.broken = page, set(), False
+
+    def _end(self, at: int) -> int:
+        """The place of the > that ends a tag; -1 without any."""
+        page, here, seen = self.page, at, []
+        while here not in self.dead:
+            seen.append(here)
+            here = _PLAIN.match(page, here).end()
+            if here == len(page):
+                break
+            if page[here] == ">":
+                return here
+            here = page.find(page[here], here + 1) + 1
+            if not here:
+                break
+        self.dead.update(seen)
+        return page.find(">", at)
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str | None, str]]:
+        page, at = self.page, 0
+        while (at := page.find("<", at)) >= 0:
+            m = None if self.broken else _TAG.match(page, at)
+            if m:
+                closes, name, rest, end = m.group(1), m.group(2), m.group(3), m.end()
+            elif named := _NAME.match(page, at):
+                self.broken = True  # from here on the patient way, which a broken tag can't slow down
+                end = self._end(named.end()) + 1
+                if not end:  # the page ends inside the tag
+                    yield at, len(page), False, None, ""
+                    return
+                closes, name, rest = named.group(1), named.group(2), page[named.end() : end - 1]
+            elif page.startswith("<!--", at):
+                empty = next((x for x in ("<!-->", "<!--->") if page.startswith(x, at)), None)
+                last = None if empty else _COMMENT_END.search(page, at + 4)
+                end = at + len(empty) if empty else (last.end() if last else len(page))
+                yield at, end, False, None, ""
+                at = end
+                continue
+            elif page.startswith(("<!", "<?", "</"), at):
+                end = (page.find(">", at) + 1) or len(page)
+                yield at, end, False, None, ""
+                at = end
+                continue
+            else:
+                at += 1
+                continue
+            name = name.lower()
+            if name in _RAW_END and not closes:
+                last = None if rest.rstrip().endswith("/") else _RAW_END[name].search(page, end)
+                if last:
+                    stop = page.find(">", last.end()) + 1
+                    end = stop or len(page)
+                elif not rest.rstrip().endswith("/"):
+                    end = len(page)
+                name = None
+            yield at, end, bool(closes), name, rest
+            at = end
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks in page order; scripts, styles and comments are no text."""
+    """Leaf blocks in page order; scripts, styles, comments, drawings and form fields are no text.
+
+    Work and memory grow with the page's length, however deep its elements lie.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Node]] = []
+    places: dict[str, list[int]] = {}  # of each tag the places in the stack
+    root = Node((), None)
     parts: list[str] = []
-    state = {"path": (), "links": 0, "linked": 0}
+    where, linked, silent = None, 0, 0
 
     def flush() -> None:
+        nonlocal where, linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            found.append(Block(text, state["path"], min(1.0, state["linked"] / len(text))))
+            found.append(Block(text, where or root, min(1.0, linked / len(text))))
         parts.clear()
-        state["path"], state["linked"] = (), 0
+        where, linked = None, 0
 
     def say(raw: str) -> None:
-        if raw and not raw.isspace():
-            if not state["path"]:
-                state["path"] = tuple(w for _, words in stack for w in words)
-            if any(tag == "a" for tag, _ in stack):
-                state["linked"] += len(raw.strip())
-        if raw:
-            parts.append(raw)
+        nonlocal where, linked
+        if not raw or silent:
+            return
+        if not raw.isspace():
+            where = where or (stack[-1][1] if stack else root)
+            if places.get("a"):
+                linked += len(raw.strip())
+        parts.append(raw)
+
+    def last(tags: tuple[str, ...]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def close_from(i: int) -> None:
+        nonlocal silent
+        while len(stack) > i:
+            tag = stack.pop()[0]
+            places[tag].pop()
+            silent -= tag in _SILENT
 
     at = 0
-    for m in _MARKUP.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        tag = m.group(3)
+    for start, end, closes, tag, rest in _Tags(page):
+        say(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if tag not in _INLINE:
+        first_silent = min(places[t][0] for t in _SILENT if places.get(t)) if silent else len(stack)
+        goes_out = tag in _BLOCKS or (closes and bool(places.get(tag)) and places[tag][-1] < first_silent)
+        if tag not in _INLINE and tag not in _SILENT and (goes_out or not silent):
             flush()
-        if m.group(2):
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+        if closes:
+            if places.get(tag):
+                close_from(places[tag][-1])
             continue
+        if tag in _BLOCKS:
+            close_from(first_silent)
         if tag in _VOID:
             if tag in ("br", "hr"):
-                parts.append(" ")
+                say(" ")
             continue
         if tag not in _INLINE:  # a block ends an open paragraph
-            closed = max((i for i, (t, _) in enumerate(stack) if t == "p"), default=None)
-            if closed is not None and not any(t in ("article", "section", "div", "td", "li", "blockquote") for t, _ in stack[closed + 1 :]):
-                del stack[closed:]
+            if (i := last(("p",))) > last(_BOXES):
+                close_from(i)
             for other in _ENDS.get(tag, ()):
-                i = max((i for i, (t, _) in enumerate(stack) if t == other), default=None)
-                if i is not None and not any(t in ("ul", "ol", "table", "dl") for t, _ in stack[i + 1 :]):
-                    del stack[i:]
-        if not m.group(4).rstrip().endswith("/"):
-            names = " ".join(next(filter(None, g), "") for g in _NAMES.findall(m.group(4))).lower()
-            stack.append((tag, ("<" + tag, *_PART.findall(names))))
+                if (i := last((other,))) > last(_LISTS):
+                    close_from(i)
+        if not rest.rstrip().endswith("/"):
+            names = " ".join(next(filter(None, g), "") for g in _NAMES.findall(rest)).lower()
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, Node(("<" + tag, *_PART.findall(names)), stack[-1][1] if stack else root)))
+            silent += tag in _SILENT
     say(page[at:])
     flush()
     return found
@@ -218,10 +326,29 @@ def drawn(count: int, words: list[str], seed: int = 11) -> list[tuple[list[Block
 
 
 def vectors(pages: list[list[Block]]) -> dict[str, np.ndarray]:
-    """Hashed path words, hashed text words and densities of the blocks of some pages, end to end."""
+    """Elements with hashed path words, hashed text words and densities of the blocks of some pages, end to end.
+
+    An element's words are kept once, however many blocks stand in it.
+    """
     blocks = [b for p in pages for b in p]
-    bucket = {w: zlib.crc32(w.encode()) % PATH_BUCKETS for w in {w for b in blocks for w in b.path}}
-    path = [np.array([bucket[w] for w in b.path] or [0], np.int16) for b in blocks]
+    nodes: list[Node] = []
+    for b in blocks:
+        chain, node = [], b.node
+        while node and node.number < 0:
+            chain.append(node)
+            node = node.parent
+        for node in reversed(chain):
+            node.number = len(nodes)
+            nodes.append(node)
+    at = np.array([b.node.number for b in blocks], np.int64)
+    parent = np.array([n.parent.number if n.parent else -1 for n in nodes], np.int64)
+    depth = np.array([n.depth for n in nodes], np.int64)
+    order = np.argsort(depth, kind="stable")
+    levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)[1:]
+    for n in nodes:
+        n.number = -1
+    bucket = {w: zlib.crc32(w.encode()) % PATH_BUCKETS for w in {w for n in nodes for w in n.words}}
+    own = np.array([bucket[w] for n in nodes for w in n.words], np.int16)
     texts = tx.texts_of(pa.array([b.text for b in blocks], pa.string()))
     data, ends = tx.bytes_of(texts)
     low = tx.lowered(data)
@@ -236,24 +363,48 @@ def vectors(pages: list[list[Block]]) -> dict[str, np.ndarray]:
 
     place = np.concatenate([np.linspace(0, 1, len(p)) for p in pages]) if blocks else np.zeros(0)
     numbers = np.stack([np.log1p(count) / 4, np.array([b.linked for b in blocks]), rate((data == 46) | (data == 44)) * 10, rate((data >= 65) & (data <= 90)) * 5, place, (count <= 2) * 1.0, np.ones(len(blocks))], 1)
-    lengths = np.array([len(x) for x in path], np.int64)
-    return {"path": np.concatenate(path) if path else np.zeros(0, np.int16), "path_n": lengths, "word": words, "word_n": count, "numbers": numbers.astype(nets.F32)}
+    tree = {"path": own, "own_n": np.array([len(n.words) for n in nodes], np.int64), "parent": parent, "levels": levels, "at": at, "path_n": np.array([b.node.count for b in blocks], np.int64)}
+    return tree | {"word": words, "word_n": count, "numbers": numbers.astype(nets.F32)}
 
 
-def _mean(table: np.ndarray, index: np.ndarray, count: np.ndarray) -> np.ndarray:
+def _sums(table: np.ndarray, index: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of each row the sum of its ``count`` looked-up vectors."""
     ends = np.cumsum(count)
-    out = np.zeros((len(count), table.shape[1]), nets.F32)
+    out = np.zeros((len(count), table.shape[1]))
     i = 0
     while i < len(count):  # so many rows at a time that the looked-up vectors stay small; a long row is one step
         first = int(ends[i] - count[i])
         j = max(i + 1, int(np.searchsorted(ends, first + TOGETHER, "right")))
         sums = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[index[first : ends[j - 1]]], 0, dtype=np.float64)])
         stop = ends[i:j] - first
-        out[i:j] = (sums[stop] - sums[stop - count[i:j]]) / np.maximum(count[i:j], 1)[:, None]
+        out[i:j] = sums[stop] - sums[stop - count[i:j]]
         i = j
     return out
 
 
+def _mean(sums: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return (sums / np.maximum(count, 1)[:, None]).astype(nets.F32)
+
+
+def path_means(table: np.ndarray, v: dict) -> np.ndarray:
+    """The mean vector of all path words of each block: sums run down the tree of elements, level by level."""
+    sums = _sums(table, v["path"], v["own_n"])
+    for level in v["levels"]:
+        sums[level] += sums[v["parent"][level]]
+    return _mean(sums[v["at"]], v["path_n"])
+
+
+def path_gradient(v: dict, d: np.ndarray) -> np.ndarray:
+    """The gradient of the path table from that of :func:`path_means`: the way back up."""
+    sums = np.zeros((len(v["own_n"]), d.shape[1]))
+    np.add.at(sums, v["at"], d / np.maximum(v["path_n"], 1)[:, None])
+    for level in reversed(v["levels"]):
+        np.add.at(sums, v["parent"][level], sums[level])
+    g = np.zeros((PATH_BUCKETS, d.shape[1]), nets.F32)
+    np.add.at(g, v["path"], np.repeat(sums, v["own_n"], 0))
+    return g
+
+
 class Labeller:
     """Embeddings, both LSTM directions and the output layer."""
 
@@ -272,7 +423,7 @@ class Labeller:
         return cls({k: v.astype(nets.F32) for k, v in p.items()})
 
     def _inputs(self, v: dict[str, np.ndarray]) -> np.ndarray:
-        return np.concatenate([_mean(self.p["path"], v["path"], v["path_n"]), _mean(self.p["word"], v["word"], v["word_n"]), v["numbers"]], 1)
+        return np.concatenate([path_means(self.p["path"], v), _mean(_sums(self.p["word"], v["word"], v["word_n"]), v["word_n"]), v["numbers"]], 1)
 
     def run(self, x: np.ndarray, sizes: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
         """Logit of every block; pages of different lengths share a batch under a mask."""
@@ -313,7 +464,7 @@ class Labeller:
 def fit(examples: list[tuple[list[Block], list[int]]], steps: int = 240, batch: int = 24, seed: int = 2) -> Labeller:
     """Backpropagation through the blocks of whole pages."""
     net, rng = Labeller.fresh(seed), np.random.default_rng(seed)
-    examples = [e for e in examples if e[0] and len(e[0]) <= 400]
+    examples = [e for e in examples if e[0]]
     optimiser = nets.Adam(net.p, 0.02)
     for step in range(steps if examples else 0):
         part = [examples[i] for i in rng.integers(0, len(examples), batch)]
@@ -334,31 +485,38 @@ def fit(examples: list[tuple[list[Block], list[int]]], steps: int = 240, batch:
             flat = d_in[c["step"], c["page"]]
             g[k + "w"] = x.T @ flat
             dx = dx + flat @ net.p[k + "w"].T
-        for name, at, to in (("path", 0, PATH_DIM), ("word", PATH_DIM, PATH_DIM + WORD_DIM)):
-            g[name] = np.zeros_like(net.p[name])
-            n = v[name + "_n"]
-            np.add.at(g[name], v[name], np.repeat(dx[:, at:to] / np.maximum(n, 1)[:, None], n, 0))
+        g["path"], g["word"], n = path_gradient(v, dx[:, :PATH_DIM]), np.zeros_like(net.p["word"]), v["word_n"]
+        np.add.at(g["word"], v["word"], np.repeat(dx[:, PATH_DIM : PATH_DIM + WORD_DIM] / np.maximum(n, 1)[:, None], n, 0))
         optimiser.step(g, max(0.05, 1 - step / steps))
     return net
 
 
-def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", each: int = SAMPLE, made_up: int = DRAWN) -> Labeller:
-    """A labeller fitted on at most ``each`` pages, chosen by a hash of their ids, and ``made_up`` drawn ones."""
-    ids = [r[0] for r in pages.where(F.col(id_col).isNotNull()).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(each).collect()]
-    rows = pages.where(F.col(id_col).isin(ids) & F.col(html_col).isNotNull()).select(id_col, html_col).dropDuplicates([id_col]).orderBy(id_col).collect() if ids else []
-    real = [blocks_of(r[1]) for r in rows]
-    words = sorted({w for p in real for b in p for w in b.text.split()})[:20000] or ["word", "other", "third"]
-    return fit([(b, marked(b)) for b in real] + drawn(made_up, words))
+def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", each: int = SAMPLE, made_up: int = DRAWN, words: int = WORDS, most_blocks: int = TRAINED_BLOCKS) -> Labeller:
+    """A labeller fitted on at most ``each`` pages, chosen by a hash of their ids, and ``made_up`` drawn ones.
+
+    Of pages that share an id the one with the least hash counts; pages of more
+    than ``most_blocks`` blocks are not trained on.  The drawn pages are filled
+    with at most ``words`` words of the sample, chosen by a hash.
+    """
+    ids = [r[0] for r in pages.where(F.col(id_col).isNotNull() & F.col(html_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(each).collect()]
+    own = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    rows = own.where(F.col("id").isin(ids)).groupBy("id").agg(F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("html")).orderBy("id").collect() if ids else []
+    real = [b for b in (blocks_of(r[1]) for r in rows) if len(b) <= most_blocks]
+    filling = sorted({w for p in real for b in p for w in b.text.split()}, key=lambda w: (zlib.crc32(w.encode()), w))[:words] or ["word", "other", "third"]
+    return fit([(b, marked(b)) for b in real] + drawn(made_up, filling))
 
 
 def extract(pages: DataFrame, net: Labeller, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns ``keep``, text (article blocks joined by two newlines) and n_chars of each page.
 
-    Reads the whole html; null counts as empty.  Character references are
-    decoded, white space inside a block becomes one space.  A page without
-    article blocks has the empty text.  Repeated rows and null columns stay;
-    other columns are ignored.
+    Reads the whole html, in time that grows with its length, however deep or
+    broken it is; null counts as empty.  Character references are decoded, white
+    space inside a block becomes one space.  A page without article blocks has
+    the empty text.  Repeated rows and null columns stay; an empty table gives
+    no rows; other columns are ignored.  ``keep`` may not hold text or n_chars.
     """
+    if {"text", "n_chars"} & set(keep) or len(set(keep)) < len(keep):
+        raise ValueError("keep must name different columns, other than text and n_chars")
     own = pages.select(*keep, F.col(html_col).alias("__html"))
     sent = pages.sparkSession.sparkContext.broadcast(net.p)
 

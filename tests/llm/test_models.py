@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pyspark.sql.functions as F
@@ -162,6 +163,70 @@ PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script><styl
 <section class="comments"><p>Nice one, I liked it.</p></section><footer>(c) 2020</footer>"""
 
 
+def article_of(page):
+    """The article by the standard library's parser: what stands in an article element, but for its adverts."""
+    from html.parser import HTMLParser
+
+    inline = "a abbr b br code em i img q small span strong sub sup u wbr".split()
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.parts, self.article, self.boxes = [], [], 0, []
+
+        def flush(self):
+            text = " ".join("".join(self.parts).split())
+            if text:
+                self.blocks.append(text)
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.parts.append(" ")
+            if tag not in inline:
+                self.flush()
+            self.article += tag == "article"
+            if tag in ("div", "aside", "section", "nav", "footer", "form"):
+                self.boxes.append(tag != "div" or bool({"ad", "promo", "related", "share"} & set((dict(attrs).get("class") or "").split())))
+
+        def handle_endtag(self, tag):
+            if tag not in inline:
+                self.flush()
+            self.article -= tag == "article"
+            if tag in ("div", "aside", "section", "nav", "footer", "form") and self.boxes:
+                self.boxes.pop()
+
+        def handle_data(self, data):
+            if self.article and not any(self.boxes) and self.cdata_elem is None:
+                self.parts.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    reader.flush()
+    return "\n\n".join(reader.blocks)
+
+
+def test_elements_without_an_end_lose_no_other_text():
+    def texts(page):
+        return [b.text for b in pages.blocks_of(page)]
+
+    for odd in ("<svg/>", "<svg>", "<select>", "<select><option>o", "<textarea>", "<iframe src=x>", "<iframe/>", "<noscript>", "<template>", "<script src=x />", "<script>x<y</script >", "<!-->", "<style/>", "<br/>", "<a b='>\">", "<p class=\"x>y\">"):
+        assert texts(f"<article><p>a</p>{odd}<p>b</p><p>c</article><p>d")[-3:] == ["b", "c", "d"], odd
+    assert texts("<article><p>a</p><noscript><p>n</p></noscript><svg><title>t</title></svg></article>") == ["a", "n"]
+    assert texts("<p>a<svg><text>t</text></svg> b <select><option>o</select>c") == ["a b c"]
+    assert texts("<table><tr><td>a<svg>b</td><td>c</table>") == ["a", "c"]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "x", "<div class='a b'>x" * 50_000, '<a x="' * 100_000, '<a x="\'>' * 100_000, "<p><b>t" * 50_000, "<svg><p>x" * 50_000, "<b><i>x</b>" * 50_000, "<script>" * 50_000], ids=range(8))
+def test_deep_and_broken_pages_take_linear_time(page):
+    began = time.time()
+    blocks = pages.blocks_of(page)
+    v = pages.vectors([blocks])
+    pages.path_means(np.ones((pages.PATH_BUCKETS, 2)), v)
+    assert time.time() - began < 15 and len(v["own_n"]) <= 100_001
+
+
 def test_main_text_of_pages(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
     net = pages.train(rows)
@@ -170,8 +235,9 @@ def test_main_text_of_pages(spark, sf_dir):
     assert got[1].text == "A & B\n\nFirst part goes on éé.\n\nSecond bold part, and more words in it.\n\nThird part of the text is here, with a few words."
     assert got[1].n_chars == len(got[1].text)
     assert got[2].text == "" and got[None].text == "" and pages.extract(more, net).count() == 5
-    want = {r.page_id: "\n\n".join(b.text for b, y in zip(bs, pages.marked(bs)) if y) for r in rows.collect() for bs in [pages.blocks_of(r.html)]}
-    assert {r.page_id: r.text for r in pages.extract(rows, net).collect()} == want
+    assert {r.page_id: r.text for r in pages.extract(rows, net).collect()} == {r.page_id: article_of(r.html) for r in rows.collect()}
+    with pytest.raises(ValueError):
+        pages.extract(more, net, keep=("page_id", "text"))
     assert pages.extract(rows.where("false"), net).count() == 0
 
 
@@ -192,12 +258,14 @@ def test_labeller_sees_the_whole_path_of_a_block(monkeypatch):
     assert [pages.marked([b]) for b in found] == [[1], [0]]
     v = pages.vectors([[b] for b in found])
     assert v["path_n"].tolist() == [len(b.path) for b in found]
-    assert pages.zlib.crc32(b"<footer") % pages.PATH_BUCKETS in v["path"][len(found[0].path) :].tolist()
     table = np.random.default_rng(7).normal(size=(pages.PATH_BUCKETS, 3))
-    whole = pages._mean(table, v["path"], v["path_n"])
-    assert not np.allclose(whole[0], whole[1])
+    whole = pages.path_means(table, v)
+    for b, got in zip(found, whole):
+        assert np.allclose(got, np.mean([table[pages.zlib.crc32(w.encode()) % pages.PATH_BUCKETS] for w in b.path], 0), atol=1e-6)
     monkeypatch.setattr(pages, "TOGETHER", 2)
-    assert np.allclose(pages._mean(table, v["path"], v["path_n"]), whole)
+    assert np.allclose(pages.path_means(table, v), whole)
+    d = np.random.default_rng(8).normal(size=whole.shape)  # the gradient is the transpose of the means
+    assert np.isclose((pages.path_gradient(v, d) * table).sum(), (whole * d).sum(), rtol=1e-4)
     net = pages.fit([([b], pages.marked([b])) for b in found], steps=240, batch=8)
     assert [bool(x[0]) for x in net.label([[b] for b in found])] == [True, False]
 
