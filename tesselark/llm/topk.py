@@ -1,9 +1,10 @@
 """Exact top-k inner products by Fagin's threshold algorithm over per-dimension lists.
 
-Candidates are dealt into blocks.  A block sorts its vectors once along every
-dimension.  A query walks the lists from the end its component favours, scores
-the vectors it meets, and stops when the sum of what the lists can still offer
-is below its k-th score so far: no vector left can then be among the best.
+Candidates are dealt into blocks and queries into groups; a task has one of
+each.  It sorts its block's vectors once along every dimension, and the queries
+stream past the lists.  A query walks them from the end its component favours,
+scores the vectors it meets, and stops when the sum of what the lists can still
+offer is below its k-th score so far: no vector left can then be among the best.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Vectors in a block of candidates, and queries in a block of queries.
-BLOCK, QUERIES = 8192, 512
+from tesselark.llm.shared import Tables
+
+#: Vectors in a block of candidates, queries in a group, and queries answered at a time.
+BLOCK, QUERIES, TOGETHER = 8192, 16384, 512
 
 
 def scaled(vector: Column, factor: int = 256) -> Column:
@@ -33,15 +36,24 @@ def scaled(vector: Column, factor: int = 256) -> Column:
     return F.when(good, F.transform(x, lambda v: F.when(fits(v), F.floor(v * factor).cast("long")).otherwise(wide)))
 
 
-def threshold_top(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+class Lists:
+    """A block's vectors, sorted along every dimension."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        n, d = vectors.shape
+        self.vectors, self.ids = vectors, ids
+        self.order = np.argsort(vectors, 0, kind="stable") if n else np.zeros((0, d), np.int64)
+        self.values = np.take_along_axis(vectors, self.order, 0)
+
+
+def threshold_top(lists: Lists, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the (ids, scores) of its k best in this block, ties to smaller ids.
 
     A vector is not a candidate of a query with its own id.  Depth doubles from
     a first step; newly met vectors are scored together.
     """
+    vectors, ids, order, sorted_values = lists.vectors, lists.ids, lists.order, lists.values
     n, d = vectors.shape
-    order = np.argsort(vectors, 0, kind="stable") if n else np.zeros((0, d), np.int64)
-    sorted_values = np.take_along_axis(vectors, order, 0)
     # sums below 2**53 are exact in double precision; else in Python-sized steps of int64
     largest = max(1, d)
     for a in (vectors, queries):
@@ -95,35 +107,50 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     different lengths are compared within their length only.  Rows that share
     an id are one another's own row.  Returns query_id, rank (from 1), id_col
     and score; ties go to the smaller id; a query with fewer candidates returns
-    them all.  Repeated query ids return one answer.
+    them all.  Of query rows that share an id the one with the least vector asks
+    (the shorter first), and gets one answer.  An empty table gives no rows;
+    other columns are ignored.
+
+    A block of candidates has about ``block`` rows, dealt by their place in the
+    written table, so no id can gather; it is copied once for ``queries`` queries.
     """
-    own = rows.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), factor).alias("v"), is_query.alias("asked"))
-    own = own.where("id is not null and v is not null").withColumn("d", F.size("v"))
-    count = own.agg(F.count("*").alias("n"), F.coalesce(F.count_if("asked"), F.lit(0)).alias("q")).first()
+    tables = Tables(rows.sparkSession)
+    own = rows.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), factor).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
+    own, _ = tables.write(own.where("id is not null and v is not null"))
+    count = own.agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("asked"), F.col("id"))).alias("q")).first()
     blocks, parts = max(1, -(-count["n"] // block)), max(1, -(-count["q"] // queries))
-    pack = F.struct("id", "v")
-    # a block's rows are bounded by a hash dealt over ceil(n / block) blocks
-    candidates = own.groupBy("d", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(pack).alias("rows"))
-    asked = own.where("asked").dropDuplicates(["id", "d"])
-    asked = asked.groupBy("d", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).alias("part")).agg(F.collect_list(pack).alias("queries"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = asked.join(candidates, ["d", "block"]).select("rows", "queries")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
+    candidates = own.select(F.size("v").alias("d"), place.alias("block"), every(parts).alias("part"), F.lit(False).alias("asks"), "id", "v")
+    asked = own.where("asked").groupBy("id").agg(F.min(F.struct(F.size("v").alias("d"), "v")).alias("q"))
+    asked = asked.select("q.d", every(blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.lit(True).alias("asks"), "id", "q.v")
+    key = ["d", "block", "part"]
+    dealt = candidates.unionByName(asked).repartition(*key).sortWithinPartitions(*key, "asks", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def matrix(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-            s = cell.values
-            ids = s.field("id").to_numpy(zero_copy_only=False)
-            return ids, s.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-
+        now, held, lists = None, [], None
         for batch in batches:
-            for r in range(batch.num_rows):
-                ids, v = matrix(batch.column(0)[r])
-                query_ids, q = matrix(batch.column(1)[r])
-                found = threshold_top(v, ids, q, query_ids, k)
-                frame = pd.DataFrame({"query_id": np.repeat(query_ids, [len(i) for i, _ in found]), "id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found]).astype(np.int64)})
-                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
-
-    part = pairs.mapInArrow(run, "query_id long, id long, score long")
+            marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*key, "asks")], 1)
+            ids = batch.column("id").to_numpy()
+            edges = np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1
+            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(ids)], strict=True):
+                *own_key, asks = marks[i].tolist()
+                if own_key != now:
+                    now, held, lists = own_key, [], None
+                v = batch.column("v").slice(i, j - i).flatten().to_numpy(zero_copy_only=False).reshape(j - i, own_key[0])
+                if not asks:
+                    held.append((v, ids[i:j]))
+                    continue
+                if not held:
+                    continue
+                lists = lists or Lists(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+                for a in range(0, j - i, TOGETHER):
+                    query_ids = ids[i + a : min(j, i + a + TOGETHER)]
+                    found = threshold_top(lists, v[a : a + TOGETHER], query_ids, k)
+                    frame = pd.DataFrame({"query_id": np.repeat(query_ids, [len(x) for x, _ in found]), "id": np.concatenate([x for x, _ in found]), "score": np.concatenate([s for _, s in found]).astype(np.int64)})
+                    yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+    found = dealt.mapInArrow(run, "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    best = part.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+    best = found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -149,11 +149,22 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(few.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_lengths(spark):
+    rows = [(50, [2.0, 1.0]), (50, [1.0, 3.0]), (50, [9.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [5.0]), (3, [])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, topk.top_k(frame, F.col("vec_id") == 50).collect()))
+    assert got == [(50, 1, 2, 2304 * 1280)]
+    got = sorted(map(tuple, topk.top_k(frame.where("size(embedding) = 2"), F.col("vec_id") == 50).collect()))
+    assert got == [(50, 1, 1, 4 * 65536), (50, 2, 1, 4 * 65536)]
+    many = spark.createDataFrame([(7, [float(i % 3)]) for i in range(3000)] + [(50, [1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(many, F.col("vec_id") == 50, k=2, block=100).collect()] == [(50, n, 7, 2 * 65536) for n in (1, 2)]
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(0)
     v = rng.integers(-3, 3, (5000, 3))
     v[7] = 100
-    found = topk.threshold_top(v, np.arange(5000), np.array([[1, 1, 1]]), np.array([-1]), 1)
+    found = topk.threshold_top(topk.Lists(v, np.arange(5000)), np.array([[1, 1, 1]]), np.array([-1]), 1)
     assert found[0][0].tolist() == [7] and found[0][1].tolist() == [300]
 
 
