@@ -30,10 +30,53 @@ EXPRESSIONS = {
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [(]?[0-9][0-9().-]*+)*+"
 #: Characters of context that are looked at on either side.
 CONTEXT = 64
+#: Results that are collected in one array before it is put to the others, and characters in a piece of a text.
+PIECE, PIECE_CHARACTERS = 128, 4096
 #: Rounds of scoring; evidence and confidence that a pattern needs.
 ROUNDS, LEAST_SEEDS, LEAST_SHARE = 3, 5, 0.8
 
 
+def scanned(items: Column, state: dict[str, Column], step, kind: str) -> Column:
+    """What ``step`` makes of each item, in order; it gets the state before and returns the state after and a ``kind``.
+
+    Results are collected in pieces of PIECE, as appending copies an array: the
+    work grows with the number of items, not with its square.
+    """
+    names = list(state)
+
+    def with_done(values, done: Column) -> Column:
+        return F.struct(*[values[n].alias(n) for n in names], done.alias("done"))
+
+    def one(acc: Column, item: Column) -> Column:
+        after, made = step(acc, item)
+        return with_done(after, F.array_append(acc["done"], made))
+
+    def piece(acc: Column, part: Column) -> Column:
+        empty = with_done(acc, F.array().cast(f"array<{kind}>"))
+        return F.aggregate(part, empty, one, lambda r: with_done(r, F.array_append(acc["done"], r["done"])))
+
+    def whole(bound: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(bound) - 1) / PIECE)).cast("int"))
+        start = with_done(state, F.array().cast(f"array<array<{kind}>>"))
+        return F.aggregate(places, start, lambda acc, k: piece(acc, F.slice(bound, k * PIECE + 1, F.lit(PIECE))), lambda acc: F.flatten(acc["done"]))
+
+    return bind(items, whole)
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, as a lambda computes what it takes from outside at each call."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _first(text: Column) -> Column:
+    return F.substring(text, 1, CONTEXT)
+
+
+def _last(text: Column) -> Column:
+    """One character more than the context: it tells a word that is cut from one that begins there."""
+    return F.substring(text, -(CONTEXT + 1), CONTEXT + 1)
+
+
 def _spans(text: Column, expression: str, kind: str) -> Column:
     """Matches as structs (kind, start, end, match, before, after); starts and ends count code points.
 
@@ -48,25 +91,23 @@ def _spans(text: Column, expression: str, kind: str) -> Column:
     gaps = F.zip_with(between, F.slice(between, F.lit(2), F.size(between)), lambda a, b: F.struct(a.alias("before"), b.alias("after")))
     pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g["before"].alias("before"), g["after"].alias("after")))
     pairs = F.filter(pairs, lambda x: x["m"].isNotNull())
-    spans = "array<struct<kind:string,start:bigint,end:bigint,m:string,before:string,after:string>>"
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(spans).alias("spans"))
+    span_kind = "struct<kind:string,start:bigint,end:bigint,m:string,before:string,after:string>"
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
         start = acc["at"] + F.length(x["before"])
         end = start + F.length(x["m"])
-        # one character more than the context tells a word that is cut from one that begins there
-        left = F.right(F.concat(acc["tail"], F.right(x["before"], F.lit(CONTEXT + 1))), F.lit(CONTEXT + 1))
+        left = _last(F.concat(acc["tail"], _last(x["before"])))
         before = F.when(F.length(left) > CONTEXT, F.regexp_replace(left, r"^\S+\s", " ")).otherwise(left)
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("m"), before.alias("before"), F.left(x["after"], F.lit(CONTEXT)).alias("after"))
-        return F.struct(end.alias("at"), F.right(F.concat(left, F.right(x["m"], F.lit(CONTEXT + 1))), F.lit(CONTEXT + 1)).alias("tail"), F.array_append(acc["spans"], span).alias("spans"))
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("m"), before.alias("before"), _first(x["after"]).alias("after"))
+        return {"at": end, "tail": _last(F.concat(left, _last(x["m"])))}, span
 
-    def back(acc: Column, x: Column) -> Column:
-        after = F.left(F.concat(x["after"], acc["head"]), F.lit(CONTEXT))
+    def back(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        after = _first(F.concat(x["after"], acc["head"]))
         span = F.struct(*[x[c].alias(c) for c in ("kind", "start", "end", "m", "before")], after.alias("after"))
-        return F.struct(F.left(F.concat(F.left(x["m"], F.lit(CONTEXT)), after), F.lit(CONTEXT)).alias("head"), F.array_append(acc["spans"], span).alias("spans"))
+        return {"head": _first(F.concat(_first(x["m"]), after))}, span
 
-    last = F.struct(F.lit("").alias("head"), F.array().cast(spans).alias("spans"))
-    return F.aggregate(pairs, empty, step, lambda acc: F.aggregate(F.reverse(acc["spans"]), last, back, lambda b: F.reverse(b["spans"])))
+    forth = scanned(pairs, {"at": F.lit(0).cast("long"), "tail": F.lit("")}, step, span_kind)
+    return F.reverse(scanned(F.reverse(forth), {"head": F.lit("")}, back, span_kind))
 
 
 def _digits(text: Column) -> Column:
@@ -110,6 +151,28 @@ def _in_order(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.array_distinct(keyed)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _apart(candidates: Column, base: Column) -> Column:
+    """The candidates that overlap no base span: one scan with the furthest end before, one back with the next start."""
+    none = F.lit(None).cast("struct<kind:string,start:bigint,end:bigint,m:string,before:string,after:string>")
+    marks = F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("rank"), b["end"].alias("end"), none.alias("span")))
+    own = F.transform(candidates, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("rank"), s["end"].alias("end"), s.alias("span")))
+    kind = "struct<start:bigint,end:bigint,span:struct<kind:string,start:bigint,end:bigint,m:string,before:string,after:string>,hit:boolean>"
+
+    def seen(x: Column, hit: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["span"].alias("span"), hit.alias("hit"))
+
+    def forth(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        return {"reach": F.when(x["span"].isNull(), F.greatest(acc["reach"], x["end"])).otherwise(acc["reach"])}, seen(x, acc["reach"] > x["start"])
+
+    def back(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        return {"next": F.when(x["span"].isNull(), x["start"]).otherwise(acc["next"])}, seen(x, x["hit"] | (acc["next"] < x["end"]))
+
+    ahead = scanned(F.array_sort(F.concat(marks, own)), {"reach": F.lit(0).cast("long")}, forth, kind)
+    both = scanned(F.reverse(ahead), {"next": F.lit((1 << 63) - 1)}, back, kind)
+    left = F.transform(F.filter(both, lambda x: x["span"].isNotNull() & ~x["hit"]), lambda x: x["span"])
+    return F.when((F.size(base) == 0) | (F.size(candidates) == 0), candidates).otherwise(F.reverse(left))
+
+
 def _words_beside(span: Column) -> Column:
     """Patterns of a span: the two words before it, the word before and after it (lower case)."""
     before = F.filter(F.split(F.lower(F.regexp_replace(span["before"], r"[,;:!?\"'()\[\]]", " ")), r"\s+"), lambda w: w != "")
@@ -133,8 +196,10 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS, least_seeds: int = LE
     In each round a pattern's confidence for a kind is the belief in its
     instances over their number, and an unseen instance is believed as far as
     its best pattern, if it looks like a seed of that kind.  Instances are
-    counted once, however often they occur.
+    counted once, however often they occur.  There must be one round at least.
     """
+    if rounds < 1:
+        raise ValueError("scoring takes one round at least")
     edges = cut(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.min("shape").alias("shape")))
     size = edges.groupBy("pattern").agg(F.count("*").alias("instances"))
     seeds = edges.where("seed is not null")
@@ -163,9 +228,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Returns id_col, text_digest (tells texts of one id apart), base and spans:
     arrays of structs (kind, start, end) in code points, end exclusive; spans
-    holds the base ones and those that trusted patterns add.  Base matches are leftmost and do not overlap within
-    a kind; matches that fail their test are dropped.  A null text counts as
-    empty.  Null ids and repeated rows stay; other columns are ignored.
+    holds the base ones and those that trusted patterns add.  Base matches are
+    leftmost and do not overlap within a kind; matches that fail their test are
+    dropped.  A null text counts as empty.  A text is read whole, in time that
+    grows with its length and the number of its matches.  Null ids and repeated
+    rows stay; an empty table gives no rows; other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,m:string,before:string,after:string>>")
@@ -175,8 +242,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     some = rows.where("size(base) > 0 or size(candidates) > 0").dropDuplicates(["id", "digest"])
     seeds = some.select(F.explode("base").alias("s")).select(F.explode(_words_beside(F.col("s"))).alias("pattern"), F.col("s.m").alias("instance"), F.col("s.kind").alias("seed"))
     core = r"^[\"'(\[<]+|[\"')\]>.,;:!?]+$"
-    free = some.select("id", "digest", "base", F.explode("candidates").alias("s"))
-    free = free.where(~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start"))))
+    free = some.select("id", "digest", F.explode(_apart(F.col("candidates"), F.col("base"))).alias("s"))
     free = free.select("id", "digest", "s", F.regexp_replace("s.m", core, "").alias("instance"), F.explode(_words_beside(F.col("s"))).alias("pattern"))
     edges = seeds.unionByName(free.select("pattern", "instance", F.lit(None).cast("string").alias("seed"))).withColumn("shape", _shape(F.col("instance")))
     trusted = score_patterns(edges, rounds, least_seeds, least_share)
@@ -203,24 +269,48 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *counts, F.sha2(_in_order(F.col("base")), 256).alias("base_sha256"), _in_order(F.col("spans")).alias("spans"))
 
 
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` up to ``end`` of a text in pieces; only the pieces that are touched are read."""
+    size = PIECE_CHARACTERS
+    first, last = F.floor(start / size).cast("int"), F.floor(end / size).cast("int")
+    piece = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+    within = F.substring(piece(first), (start % size + 1).cast("int"), (end - start).cast("int"))
+    between = F.array_join(F.slice(pieces, first + 2, F.greatest(F.lit(0), last - first - 1)), "")
+    over = F.concat(F.substring(piece(first), (start % size + 1).cast("int"), F.lit(size)), between, F.substring(piece(last), F.lit(1), (end % size).cast("int")))
+    return F.when(first == last, within).otherwise(over)
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with each span (start, end, kind) replaced by <kind>; overlapping spans leave the mark of the first."""
+    spans = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("far"), s["kind"].alias("kind"))))
+    zero = F.lit(0).cast("long")
+
+    def of(pieces: Column) -> Column:
+        def step(acc: Column, s: Column) -> tuple[dict[str, Column], Column]:
+            new = F.concat(_cut(pieces, acc["at"], s["start"]), F.lit("<"), s["kind"], F.lit(">"))
+            return {"at": F.greatest(acc["at"], -s["far"])}, F.when(s["start"] < acc["at"], F.lit("")).otherwise(new)
+
+        last = F.coalesce(F.array_max(F.transform(spans, lambda s: -s["far"])), zero)
+        return F.concat(F.array_join(scanned(spans, {"at": zero}, step, "string"), ""), _cut(pieces, last, F.length(text).cast("long")))
+
+    return bind(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE_CHARACTERS}}}"), F.lit(0)), of)
+
+
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span of ``found`` replaced by <kind> in its text.
 
     Overlapping spans leave the mark of the first.  Rows, their order of
-    columns and all other columns stay; texts without spans stay as they are.
+    columns and all other columns stay, whatever their names; null texts and
+    texts without spans stay as they are.  Rows with a null id are masked like
+    others, repeated rows one by one; an empty table gives no rows.  The work on
+    a text grows with its length and the number of its spans.
     """
-    spans = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("far"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     text = F.col(text_col)
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">"))
-        inside = s["start"] < acc["at"]
-        return F.struct(F.when(inside, F.greatest(acc["at"], -s["far"])).otherwise(-s["far"]).alias("at"), F.when(inside, acc["out"]).otherwise(piece).alias("out"))
-
-    new = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    marks = found.where("size(spans) > 0").select(F.col(id_col).alias("__id"), F.col("text_digest").alias("__digest"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__digest"])
+    spare = "_" * (1 + max(map(len, docs.columns)))  # longer than any name of the table
+    other, digest, spans = (spare + n for n in ("id", "digest", "spans"))
+    marks = found.where("size(spans) > 0").select(F.col(id_col).alias(other), F.col("text_digest").alias(digest), F.col("spans").alias(spans)).dropDuplicates([other, digest])
     possible = F.coalesce(text.rlike("[0-9@]"), F.lit(False))  # any span holds one of these
-    some = docs.where(possible).join(marks, F.col(id_col).eqNullSafe(F.col("__id")) & (_digest(text) == F.col("__digest")), "left")
-    some = some.select(*[F.when(F.col("__spans").isNotNull(), new).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    some = docs.where(possible).join(marks, F.col(id_col).eqNullSafe(F.col(other)) & (_digest(text) == F.col(digest)), "left")
+    new = F.when(F.col(spans).isNotNull(), masked(text, F.col(spans))).otherwise(text)
+    some = some.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
     return docs.where(~possible).unionByName(some)

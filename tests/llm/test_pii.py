@@ -1,7 +1,10 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tesselark.llm import pii
@@ -97,6 +100,58 @@ def test_redaction_keeps_the_rest_of_the_text(spark):
     assert got[1].lang == "en"
 
 
+def test_candidates_that_overlap_base_spans_go(spark):
+    rng = random.Random(4)
+    kind = "array<struct<kind:string,start:bigint,end:bigint,m:string,before:string,after:string>>"
+    rows = []
+    for i in range(60):
+        at, spans = 0, []
+        for _ in range(rng.choice((0, 3, 1500 if i == 0 else 20))):
+            at += rng.randint(0, 5)
+            spans.append(("", at, at + rng.randint(1, 6), "m", "", ""))
+            at = spans[-1][2]
+        rows.append((i, spans, [("email", a, a + rng.randint(1, 9), "m", "", "") for a in rng.choices(range(max(1, at)), k=rng.choice((0, 2, 9)))]))
+    docs = spark.createDataFrame(rows, f"i int, c {kind}, b {kind}")
+    for r in docs.select("*", pii._apart(F.col("c"), F.col("b")).alias("left")).collect():
+        assert r.left == [s for s in r.c if not any(b.start < s.end and b.end > s.start for b in r.b)]
+
+
+def test_masks_across_pieces_of_a_text(spark):
+    rng = random.Random(2)
+    words = ["a@b.c", "\U0001f600", "10.0.0.1", "é", "word", "+1 (443) 555-5793", "x" * 3000]
+    texts = [" ".join(rng.choices(words, k=n)) for n in (1, 40, 900, 5000)] + ["y" * 4096 + " a@b.c", "y" * 4090 + " a@b.c" + "z" * 4096, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "null id a@b.c")], "doc_id long, text string")
+    found = pii.find_personal_data(docs)
+    spans = {r.doc_id: sorted((s.start, -s.end, s.kind) for s in r.spans) for r in found.collect()}
+    for r in pii.redact(docs, found).collect():
+        text, out, at = texts[r.doc_id] if r.doc_id is not None else "null id a@b.c", [], 0
+        for start, end, kind in spans[r.doc_id]:
+            if start >= at:
+                out += [text[at:start], f"<{kind}>"]
+            at = max(at, -end)
+        assert r.text == "".join(out) + text[at:]
+
+
+def test_redaction_of_empty_tables_repeats_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a@b.c", 5, "s"), (1, "a@b.c", 5, "s"), (None, "a@b.c", 6, None)], "doc_id long, text string, __id long, `_a spans` string")
+    got = pii.redact(docs, pii.find_personal_data(docs))
+    assert got.columns == docs.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, [Row(doc_id=1, text="<email>", __id=5, **{"_a spans": "s"})] * 2 + [Row(doc_id=None, text="<email>", __id=6, **{"_a spans": None})]))
+    assert pii.redact(docs.where("false"), pii.find_personal_data(docs.where("false"))).count() == 0
+    with pytest.raises(ValueError):
+        pii.score_patterns(docs, rounds=0)
+
+
+def test_a_text_with_very_many_matches_takes_linear_time(spark):
+    text = "mail u1@b.c or 10.0.0.1, " * 10_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    found = pii.find_personal_data(docs)
+    assert found.selectExpr("size(base) as n").first().n == 20_000
+    assert pii.redact(docs, found).first().text == "mail <email> or <ip>, " * 10_000
+    assert time.time() - began < 120
+
+
 @pytest.mark.parametrize("kind", KINDS)
 def test_expressions_have_no_capturing_groups(kind):
     assert re.search(r"(?<!\\)\((?!\?)", re.sub(r"\[[^\]]*\]", "", pii.EXPRESSIONS[kind])) is None
