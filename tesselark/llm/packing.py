@@ -84,8 +84,8 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_str(definition)
         # str.split() also parts at U+001C-U+001F, which the tokenizer doesn't
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join(["[\x1c-\x1f]", *added]))
+        self.odd = re.compile("[\x1c-\x1f]")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -129,7 +129,7 @@ class WordIds:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit values."""
         words = text.split()
-        if self.odd.search(text):
+        if self.odd.search(text) or any(t in text for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         try:
             return b"".join(map(self.known.__getitem__, words))
