@@ -25,6 +25,8 @@ UNDETERMINED = "und"
 WINDOW, TOGETHER, HIDDEN = 96, 1024, 8
 #: Bounds of the sample: texts of each language, windows of each text.
 TEXTS_EACH, WINDOWS_EACH = 400, 12
+#: Chosen ids that are sent to every task, at most; more are looked up by a shuffle.
+BROADCAST_IDS = 100_000
 
 
 def windows_of(data: np.ndarray, ends: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,15 +169,20 @@ def sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col
     """At most ``each`` texts of each language, by a hash of their ids (a bounded sample).
 
     Every language takes part.  The ids are chosen without reading a text; the
-    texts are then looked up.
+    texts are then looked up.  Of rows that share an id the one with the least
+    hash of text and language counts, so the sample does not depend on the
+    order of rows.
     """
-    ids = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    ids = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = [r[0] for r in ids.withColumn("rank", rank).where(F.col("rank") <= each).select("id").collect()]
+    chosen = ids.withColumn("rank", rank).where(F.col("rank") <= each).select("id").distinct().collect()
     if not chosen:
         return []
-    rows = docs.where(F.col(id_col).isin(chosen) & usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    return rows.select(id_col, text_col, lang_col).dropDuplicates([id_col]).orderBy(id_col).collect()
+    named = docs.sparkSession.createDataFrame(chosen, f"id {dict(ids.dtypes)['id']}")
+    rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = rows.join(F.broadcast(named) if len(chosen) <= BROADCAST_IDS else named, "id")
+    least = F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text", "lang"), "text", "lang")).alias("r")
+    return rows.groupBy("id").agg(least).select(F.col("id").alias(id_col), F.col("r.text").alias(text_col), F.col("r.lang").alias(lang_col)).orderBy(id_col).collect()
 
 
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = TEXTS_EACH) -> ByteGru:
@@ -189,7 +196,9 @@ def label(docs: DataFrame, net: ByteGru, id_col: str = "doc_id", text_col: str =
 
     lang_pred is ``und`` (score 0) when the text is null, empty or has no
     letter, or when the network knows no language.  Ties go to the language
-    that sorts first.  Null ids and repeated rows stay; other columns are ignored.
+    that sorts first.  A text is read whole, a few megabytes of windows at a
+    time.  Null ids and repeated rows stay; an empty table gives no rows; other
+    columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     sent = docs.sparkSession.sparkContext.broadcast((net.languages, net.p))

@@ -168,7 +168,11 @@ def fit(texts: list[str], labels: list[int], seed: int = 3, steps: int = 220, ba
 
 
 def labelled(docs: DataFrame, labels: DataFrame, usable: Column, label: str, each: int, id_col: str = "doc_id", text_col: str = "text") -> list:
-    """At most ``each`` texts of each label 0 and 1, by a hash of their ids (a bounded sample): (id, text, label)."""
+    """At most ``each`` texts of each label 0 and 1, by a hash of their ids (a bounded sample): (id, text, label).
+
+    Of rows that share an id the one with the least hash of text and label
+    counts, so the sample does not depend on the order of rows.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label).cast("int").alias("y"))
     ids = docs.where(usable & F.col(id_col).isNotNull()).select(id_col).join(known, id_col).distinct()
     chosen: list = []
@@ -177,7 +181,9 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, label: str, eac
     if not chosen:
         return []
     texts = docs.where(F.col(id_col).isin(chosen) & usable & F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(known.where(F.col(id_col).isin(chosen))), id_col).dropDuplicates([id_col]).select(id_col, "text", "y").orderBy(id_col).collect()
+    named = known.where(F.col(id_col).isin(chosen)).distinct()  # at most two rows of an id: its labels are 0 and 1
+    least = F.min_by(F.struct("text", "y"), F.struct(F.xxhash64("text", "y"), "text", "y")).alias("r")
+    return texts.join(F.broadcast(named), id_col).groupBy(id_col).agg(least).select(id_col, "r.text", "r.y").orderBy(id_col).collect()
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, each: int = TEXTS_EACH, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> ByteConv:
@@ -189,8 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, each: int = TEXTS_
 def score(docs: DataFrame, net: ByteConv, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id_col, score (0 to 1) and predicted (1 from ``threshold`` on) of each whole text.
 
-    A null text counts as empty, and an empty one is scored like any other.
-    Null ids and repeated rows stay; other columns are ignored.
+    A null text counts as empty, and an empty one is scored like any other; a
+    text is read whole, however long.  Null ids and repeated rows stay; an empty
+    table gives no rows; other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(net.p)

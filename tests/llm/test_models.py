@@ -149,6 +149,29 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(few.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_samples_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(i % 20, f"text {i} of many", ("aa", "bb")[i % 3 == 0]) for i in range(200)]
+    marks = [(i, i % 2) for i in range(20)] + [(3, 0), (3, 1), (4, None)]
+    found = []
+    for seed in (1, 2):
+        docs = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "doc_id long, text string, lang string").repartition(seed + 1)
+        labels = spark.createDataFrame(random.Random(seed).sample(marks, len(marks)), "doc_id long, quality int").repartition(seed)
+        found.append((langid.sample(docs, F.lit(True), "doc_id", "text", "lang", 7), quality.labelled(docs, labels, F.lit(True), "quality", 6)))
+    assert found[0] == found[1] and len(found[0][0]) > 7
+
+
+def test_document_scores_are_pooled_over_all_positions():
+    """Windows and chunks by themselves, one at a time, give a document's scores."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (1, 95, 96, 97, 700)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    net = langid.ByteGru.fresh(["a", "b", "c"])
+    for text, got in zip(texts, net.texts(data, ends)):
+        parts = [net.positions(np.frombuffer(text[i : i + langid.WINDOW], np.uint8)[:, None])[:, 0] for i in range(0, len(text), langid.WINDOW)]
+        assert np.allclose(np.concatenate(parts).mean(0), got, atol=1e-5)
+
+
 def test_top_k_of_repeated_ids_and_lengths(spark):
     rows = [(50, [2.0, 1.0]), (50, [1.0, 3.0]), (50, [9.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [5.0]), (3, [])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
