@@ -125,33 +125,41 @@ def srgb_to_linear(byte: Column) -> Column:
     return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
 
 
+def _half(v: Column) -> Column:
+    return F.shiftright(v, 1)
+
+
+#: The reversible transforms as lifting steps (channel, sign, what of the others is added), then the order of the channels that come out.
+_SECOND = {0: [], 1: [(1, -1, lambda s: s[0])], 2: [(1, -1, lambda s: _half(s[0] + s[2]))]}
+_THIRD = {0: [], 1: [(2, -1, lambda s: s[0])]}
+_LIFTING = {2 * second + third: (_SECOND[second] + _THIRD[third], (0, 1, 2)) for second in _SECOND for third in _THIRD}
+_LIFTING[6] = ([(0, -1, lambda s: s[2]), (2, 1, lambda s: _half(s[0])), (1, -1, lambda s: s[2]), (2, 1, lambda s: _half(s[1]))], (2, 0, 1))
+
+
+def _permutation(p: int) -> tuple[int, int, int]:
+    """Which channels come first, second and third: three rotations, then three with the last two swapped."""
+    turn, swapped = p % 3, p // 3
+    rest = [(turn + 1) % 3, (turn + 2) % 3]
+    return (turn, *(rest[::-1] if swapped else rest))
+
+
 def forward_rct(a: Column, b: Column, c: Column, kind: int) -> tuple[Column, Column, Column]:
     """Reversible integer colour transform: ``kind`` is 7 * permutation + transform (0 to 6)."""
-    p, t = divmod(kind, 7)
-    s = (a, b, c)
-    a, b, c = s[p % 3], s[(p + 1 + p // 3) % 3], s[(p + 2 - p // 3) % 3]
-    if t == 6:  # luma and two differences
-        co = a - c
-        mid = c + F.shiftright(co, 1)
-        cg = b - mid
-        return mid + F.shiftright(cg, 1), co, cg
-    second = {0: b, 1: b - a, 2: b - F.shiftright(a + c, 1)}[t // 2]
-    return a, second, c - a if t & 1 else c
+    steps, order = _LIFTING[kind % 7]
+    s = [(a, b, c)[i] for i in _permutation(kind // 7)]
+    for at, sign, amount in steps:
+        s[at] = s[at] + sign * amount(s)
+    return tuple(s[i] for i in order)
 
 
 def inverse_rct(a: Column, b: Column, c: Column, kind: int) -> tuple[Column, Column, Column]:
-    p, t = divmod(kind, 7)
-    if t == 6:
-        mid = a - F.shiftright(c, 1)
-        blue = mid - F.shiftright(b, 1)
-        a, b, c = blue + b, c + mid, blue
-    else:
-        c = c + a if t & 1 else c
-        b = {0: b, 1: b + a, 2: b + F.shiftright(a + c, 1)}[t // 2]
-    out: list = [None] * 3
-    for to, v in ((p % 3, a), ((p + 1 + p // 3) % 3, b), ((p + 2 - p // 3) % 3, c)):
-        out[to] = v
-    return tuple(out)
+    """The same steps from the last to the first, each with the other sign."""
+    steps, order = _LIFTING[kind % 7]
+    s = [(a, b, c)[order.index(i)] for i in range(3)]
+    for at, sign, amount in reversed(steps):
+        s[at] = s[at] - sign * amount(s)
+    places = _permutation(kind // 7)
+    return tuple(s[places.index(i)] for i in range(3))
 
 
 # Fixed values of the opponent colour space: mixing matrix, its inverse, bias.

@@ -3,29 +3,37 @@
 from __future__ import annotations
 
 import heapq
+from bisect import insort
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesselark.operators.running import checkpointed
+
+
+#: Classes of the character before, from 1 on: white space, small letters, capitals, digits, others (0 is a text's start).
+CLASSES = (r"[ \n]", "[a-z]", "[A-Z]", "[0-9]", r"[^ \na-zA-Z0-9]")
+
 
 def characters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts as token streams: (context, value, n) with context the class of the character before.
 
-    A text's characters are counted where the text is read, so only counts move.
+    The characters behind each class are taken out by one expression a class, in
+    the task that reads the text, and counted there, so only counts move.
     """
-    chars = F.split(F.col(text_col), "")
-    # zipped, not indexed: a lambda would split the text again for every element
-    pairs = F.zip_with(F.concat(F.array(F.lit("")), chars), chars, lambda p, c: F.struct(p.alias("p"), c.alias("c")))
-    rows = docs.select(F.explode(pairs).alias("r")).where("r.c <> ''")
-    kind = F.when(F.col("r.p") == "", 0).when(F.col("r.p").isin(" ", "\n"), 1).when(F.col("r.p").rlike("^[a-z]$"), 2).when(F.col("r.p").rlike("^[A-Z]$"), 3).when(F.col("r.p").rlike("^[0-9]$"), 4).otherwise(5)
-    return rows.select(kind.cast("long").alias("context"), F.ascii("r.c").cast("long").alias("value")).groupBy("context", "value").agg(F.count("*").alias("n"))
+    text = F.col(text_col)
+    streams = [F.when(F.length(text) > 0, F.array(F.substring(text, 1, 1)))]
+    streams += [F.regexp_extract_all(text, F.lit(f"(?s)(?<={c})."), F.lit(0)) for c in CLASSES]
+    rows = docs.select(F.inline(F.array(*[F.struct(F.lit(k).cast("long").alias("context"), c.alias("c")) for k, c in enumerate(streams)])))
+    counts = rows.select("context", F.explode("c").alias("c")).groupBy("context", "c").agg(F.count("*").alias("n"))
+    return counts.groupBy("context", F.ascii("c").cast("long").alias("value")).agg(F.sum("n").alias("n"))
 
 
 def clustered(counts: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Counts of (cluster, value) under a context map (one row for each context; broadcast)."""
-    return counts.join(F.broadcast(mapping), "context").groupBy("cluster", "value").agg(F.sum("n").alias("n"))
+    """Counts of (cluster, value) under a context map (one row for each context); Spark broadcasts it if it is small."""
+    return counts.join(mapping, "context").groupBy("cluster", "value").agg(F.sum("n").alias("n"))
 
 
 def shannon(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,15 +44,9 @@ def shannon(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def shannon_floor(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """The same bound in whole bits, by integer arithmetic that only rounds down (24 fraction bits)."""
-    w = Window.partitionBy(*keys)
-    c = counts.withColumn("total", F.sum("n").over(w))
-    c = c.withColumn("i", F.length(F.bin("total")) - F.length(F.bin("n"))).withColumn("s", F.expr("shiftleft(n, i)"))
-    c = c.withColumn("i", F.expr("if(s > total, i - 1, i)")).withColumn("s", F.expr("if(s > total, shiftright(s, 1), s)"))
-    c = c.withColumn("z", F.expr("shiftleft(total - s, 24) div (total + s)")).withColumn("z2", F.expr("shiftright(z * z, 24)"))
-    c = c.withColumn("p3", F.expr("shiftright(z * z2, 24)")).withColumn("p5", F.expr("shiftright(p3 * z2, 24)")).withColumn("p7", F.expr("shiftright(p5 * z2, 24)")).withColumn("p9", F.expr("shiftright(p7 * z2, 24)"))
-    c = c.withColumn("f", F.expr("(z + p3 div 3 + p5 div 5 + p7 div 7 + p9 div 9) * 288539 div 100000"))
-    return c.groupBy(*keys).agg(F.expr("shiftright(sum(n * (shiftleft(cast(i as bigint), 24) + f)), 24)").alias("bits"))
+    """The same bound in whole bits, rounded down (from six places, as sums depend on their order)."""
+    s = shannon(counts, keys)
+    return s.select(*keys, F.floor(F.round("bits", 6)).cast("long").alias("bits"))
 
 
 def shape_distances(counts: DataFrame, key: str) -> DataFrame:
@@ -114,39 +116,61 @@ def prefix_costs(counts: DataFrame, key: str, alphabet: int = 256) -> DataFrame:
 def cluster_histograms(counts: DataFrame, key: str, most: int = 8, least_gain: float = 64.0, alphabet: int = 256) -> DataFrame:
     """(key, cluster): farthest-first seeds from the largest histogram, then each to its nearest seed.
 
-    Works on histograms, a table bounded by contexts times symbols, on the
-    driver; the counting that makes it stays in Spark.
+    A histogram is one row of at most ``alphabet`` counts.  Each round compares
+    all rows with the seeds so far (at most ``most``) where the rows are, and
+    only the farthest one reaches the driver.  Ties go to the smaller key and to
+    the earlier seed.
     """
-    rows: dict = {}
-    for r in counts.collect():
-        rows.setdefault(r[key], [0] * alphabet)[int(r["value"])] += int(r["n"])
-    keys = sorted(rows)
-    cost = {k: bit_cost(rows[k]) for k in keys}
-
-    def distance(a, b) -> float:
-        return bit_cost([x + y for x, y in zip(rows[a], rows[b], strict=True)]) - cost[a] - cost[b]
-
-    seeds = [max(keys, key=lambda k: (sum(rows[k]), -keys.index(k)))] if keys else []
-    near = {k: distance(k, seeds[0]) for k in keys} if keys else {}
-    while len(seeds) < min(most, len(keys)):
-        far = max(keys, key=lambda k: (near[k], -keys.index(k)))
-        if near[far] < least_gain:
+    rows = checkpointed(counts.groupBy(key).agg(F.sum("n").alias("total"), F.collect_list(F.struct(F.col("value").cast("int").alias("value"), "n")).alias("h")))
+    kind = dict(counts.dtypes)[key]
+
+    def dense(h) -> list[int]:
+        row = [0] * alphabet
+        for r in h:
+            row[int(r["value"])] += int(r["n"])
+        return row
+
+    def assigned(seeds: list) -> DataFrame:
+        names, own = [k for k, _ in seeds], [(h, bit_cost(h)) for _, h in seeds]
+
+        def run(frames):
+            for frame in frames:
+                near, cluster = [], []
+                for k, h in zip(frame[key], map(dense, frame["h"]), strict=True):
+                    cost = bit_cost(h)
+                    gaps = [bit_cost([x + y for x, y in zip(h, s, strict=True)]) - cost - c for s, c in own]
+                    best = names.index(k) if k in names else min(range(len(gaps)), key=gaps.__getitem__)
+                    near.append(-1.0 if k in names else float(gaps[best]))
+                    cluster.append(best)
+                yield pd.DataFrame({key: frame[key], "near": near, "cluster": cluster})
+
+        return rows.select(key, "h").mapInPandas(run, f"{key} {kind}, near double, cluster int")
+
+    first = rows.orderBy(F.desc("total"), key).first()
+    seeds = [(first[key], dense(first["h"]))] if first else []
+    while seeds and len(seeds) < most:
+        far = assigned(seeds).orderBy(F.desc("near"), key).first()
+        if far["near"] < least_gain:
             break
-        seeds.append(far)
-        for k in keys:
-            near[k] = min(near[k], distance(k, far) if k != far else -1.0)
-    own = [(k, k if k in seeds else min(seeds, key=lambda s: (distance(k, s), seeds.index(s)))) for k in keys]
-    return counts.sparkSession.createDataFrame([(k, seeds.index(s)) for k, s in own] or [], f"{key} {dict(counts.dtypes)[key]}, cluster int")
-
-
-def merge_smallest(cells: list[int], want: int) -> list[int]:
-    """Labels of cells after merging the least populated two, again and again, until ``want`` are left."""
-    n, into, order = list(cells), list(range(len(cells))), list(range(len(cells)))
-    while len(order) > want:
-        order.sort(key=lambda c: -n[c])  # stable, as ties must stay in order
-        gone, kept = order.pop(), order[-1]
+        seeds.append((far[key], dense(rows.where(F.col(key) == F.lit(far[key])).first()["h"])))
+    return assigned(seeds).select(key, "cluster")
+
+
+def merge_smallest(cells: list[int], want: int, most: int = 4096) -> list[int]:
+    """Labels of cells after merging the least populated two, again and again, until ``want`` are left.
+
+    The merges follow one another, so they are done in one place; more than
+    ``most`` cells are an error.
+    """
+    if len(cells) > most:
+        raise ValueError(f"{len(cells)} cells; at most {most} can be merged")
+    n, into = list(cells), list(range(len(cells)))
+    alive = sorted(into, key=lambda c: -n[c])
+    while len(alive) > want:
+        gone, kept = alive.pop(), alive.pop()
         n[kept] += n[gone]
         into[gone] = kept
+        insort(alive, kept, key=lambda c: -n[c])  # behind those that hold as many
     labels: dict[int, int] = {}
 
     def root(c: int) -> int:

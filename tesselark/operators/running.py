@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` in ``spark.checkpoint.dir``: a range partitioning computed twice need not cut at the same rows."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -26,7 +26,7 @@ def running(rows: DataFrame, keys: list[str], order: list[str], n: str) -> DataF
     Rows are cut into ranges of keys and order.  A window runs inside each range
     only; what the ranges before hold of a group is a sum of their totals.
     """
-    spread = _kept(rows.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    spread = checkpointed(rows.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
     at = ["__part", *keys]
     totals = spread.groupBy(*at).agg(F.sum(n).alias("__held"))
     w = Window.partitionBy(*keys)

@@ -114,27 +114,19 @@ def best_split(samples: DataFrame, properties: list[str], costs: list[str], pena
     return samples.sparkSession.createDataFrame([(*(found or (None, None)), best)], "property string, threshold long, cost long")
 
 
-def search_size(probe: Callable[[float], int], target: int, low: float, high: float, attempts: int = 12) -> tuple[float, int, int]:
-    """(setting, size, probes) whose size comes nearest below ``target``, by halving the widest interval first.
+def probe_sizes(probe: Callable[[list[float]], list[int]], low: float, high: float, attempts: int = 12) -> dict[float, int]:
+    """The size at both ends and at the middles of the widest intervals, until ``attempts`` settings are known.
 
-    ``probe`` runs one Spark job and returns a size; sizes need not be monotone.
-    A setting whose size fits is better than one that doesn't; then the nearer.
+    Which settings are tried does not hang on the sizes, so these need not be
+    monotone and ``probe`` gets all settings at once.
     """
-    seen: dict[float, int] = {}
-
-    def look(x: float) -> int:
-        if x not in seen:
-            seen[x] = probe(x)
-        return seen[x]
-
-    spans = [(low, high)]
-    look(low)
-    look(high)
-    while spans and len(seen) < attempts:
-        a, b = min(spans, key=lambda s: (s[0] - s[1], s[0]))
-        spans.remove((a, b))
-        mid = (a + b) / 2
-        look(mid)
-        spans += [s for s in ((a, mid), (mid, b)) if (seen[s[0]] <= target) != (seen[s[1]] <= target)]
-    best = min(seen, key=lambda x: (seen[x] > target, abs(seen[x] - target), x))
-    return best, seen[best], len(seen)
+    settings = [low, high]
+    while len(settings) < attempts:
+        known = sorted(settings)
+        settings.append(max(((b - a, -a, (a + b) / 2) for a, b in zip(known, known[1:], strict=False)))[2])
+    return dict(zip(settings, probe(settings), strict=True))
+
+
+def nearest_below(sizes: dict[float, int], target: int) -> float:
+    """The setting whose size is the nearest that fits; if none does, the nearest of all; then the smaller setting."""
+    return min(sizes, key=lambda x: (sizes[x] > target, abs(sizes[x] - target), x))

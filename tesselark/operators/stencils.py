@@ -184,16 +184,24 @@ def edge_maxima(plane: DataFrame, size: tuple[int, int]) -> DataFrame:
     return g.agg(F.max(F.abs(F.col("c") - F.col("l"))).alias("horizontal"), F.max(F.abs(F.col("c") - F.col("t"))).alias("vertical"))
 
 
+#: Rows of a plane that are looked at together for the neighbours above.
+STRIP = 256
+
+
 def causal(plane: DataFrame, partition: str | None = None) -> DataFrame:
     """y, x, value and the seven causal neighbours with their edge rules.
 
     left falls back to top, then 0; top to left; top_left and left_left to
-    left; top_right and top_top to top; top_right_right to top_right.  Rows and
-    columns are windows of their own, so a plane spreads over its rows.
+    left; top_right and top_top to top; top_right_right to top_right.  The plane
+    is cut into strips of rows, each with the two rows above it, so a column is
+    looked at by strips and a plane of any height spreads over tasks.
     """
     key = [partition] if partition else []
-    row, column = Window.partitionBy(*key, "y").orderBy("x"), Window.partitionBy(*key, "x").orderBy("y")
-    p = plane.withColumn("up", F.lag("value").over(column)).withColumn("up2", F.lag("value", 2).over(column))
+    own = F.expr(f"y div {STRIP}")
+    seen = F.when(F.col("y") % STRIP >= STRIP - 2, F.array(own, own + 1)).otherwise(F.array(own))
+    p = plane.select("*", F.explode(seen).alias("__strip"))
+    column, row = Window.partitionBy(*key, "__strip", "x").orderBy("y"), Window.partitionBy(*key, "y").orderBy("x")
+    p = p.withColumn("up", F.lag("value").over(column)).withColumn("up2", F.lag("value", 2).over(column)).where(F.col("__strip") == own)
     p = p.select("*", F.lag("value").over(row).alias("l"), F.lag("value", 2).over(row).alias("l2"), F.lag("up").over(row).alias("ul"), F.lead("up").over(row).alias("ur"), F.lead("up", 2).over(row).alias("ur2"))
     left = F.coalesce("l", "up", F.lit(0))
     top = F.coalesce("up", left)

@@ -25,14 +25,19 @@ def _along(rows: DataFrame, basis: DataFrame, place: str, forward: bool) -> Data
     return joined.groupBy("by", "bx", other, F.col(to).alias("new")).agg(F.sum(F.col("value") * F.col("b")).alias("value")).withColumnRenamed("new", place)
 
 
-def blocks(plane: DataFrame, n: int = 8) -> DataFrame:
-    return plane.select(F.expr(f"y div {n}").alias("by"), F.expr(f"x div {n}").alias("bx"), (F.col("y") % n).cast("int").alias("v"), (F.col("x") % n).cast("int").alias("u"), "value")
+def blocks(plane: DataFrame, n: int = 8, wide: int | None = None) -> DataFrame:
+    """Samples by block: ``n`` rows high and ``wide`` columns (``n`` if not told) wide."""
+    m = wide or n
+    return plane.select(F.expr(f"y div {n}").alias("by"), F.expr(f"x div {m}").alias("bx"), (F.col("y") % n).cast("int").alias("v"), (F.col("x") % m).cast("int").alias("u"), "value")
 
 
-def dct(rows: DataFrame, n: int = 8, forward: bool = True) -> DataFrame:
-    """Two-dimensional DCT of whole n x n blocks (by, bx, v, u, value), or its inverse.  The basis is broadcast (n * n rows)."""
-    basis = dct_basis(rows.sparkSession, n)
-    return _along(_along(rows, basis, "u", forward), basis, "v", forward)
+def dct(rows: DataFrame, n: int = 8, forward: bool = True, wide: int | None = None) -> DataFrame:
+    """Two-dimensional DCT of whole blocks (by, bx, v, u, value) of ``n`` rows and ``wide`` columns, or its inverse.
+
+    The bases are broadcast: n * n and wide * wide rows.
+    """
+    spark = rows.sparkSession
+    return _along(_along(rows, dct_basis(spark, wide or n), "u", forward), dct_basis(spark, n), "v", forward)
 
 
 def quantize(value: Column, step: Column | float, dead_zone: float = 0.58) -> Column:

@@ -87,8 +87,9 @@ def preferred_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH c AS (SELECT p_brand, p_size AS symbol, count(*) AS n FROM part GROUP BY ALL),
     s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY p_brand) AS BIGINT) AS total FROM c),
     f AS (SELECT *, greatest(1, n * 4096 // total) AS fl, n * 4096 % total AS rest FROM s),
-    k AS (SELECT *, 4096 - CAST(sum(fl) OVER (PARTITION BY p_brand) AS BIGINT) AS missing, row_number() OVER (PARTITION BY p_brand ORDER BY rest DESC, symbol) AS k, count(*) OVER (PARTITION BY p_brand) AS kinds FROM f)
-    SELECT p_brand, symbol, n, fl + missing // kinds + CASE WHEN k <= missing % kinds THEN 1 ELSE 0 END AS frequency FROM k WHERE missing >= 0
+    k AS (SELECT *, 4096 - CAST(sum(fl) OVER (PARTITION BY p_brand) AS BIGINT) AS missing, row_number() OVER (PARTITION BY p_brand ORDER BY rest DESC, symbol) AS k, count(*) OVER (PARTITION BY p_brand) AS kinds,
+          CAST(sum(fl - 1) OVER (PARTITION BY p_brand ORDER BY fl DESC, symbol ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spare FROM f)
+    SELECT p_brand, symbol, n, CASE WHEN missing >= 0 THEN fl + missing // kinds + CASE WHEN k <= missing % kinds THEN 1 ELSE 0 END ELSE fl - greatest(0, least(fl - 1, fl - 1 - missing - spare)) END AS frequency FROM k
 """)
 def largest_remainder_4096(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "part").groupBy("p_brand", F.col("p_size").alias("symbol")).agg(F.count("*").alias("n"))
@@ -170,14 +171,8 @@ def shannon_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH h AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL),
-    t AS (SELECT *, CAST(sum(n) OVER (PARTITION BY p_brand) AS BIGINT) AS total FROM h),
-    a AS (SELECT *, length(bin(total)) - length(bin(n)) AS i0, n << (length(bin(total)) - length(bin(n))) AS s0 FROM t),
-    b AS (SELECT *, CASE WHEN s0 > total THEN i0 - 1 ELSE i0 END AS i, CASE WHEN s0 > total THEN s0 >> 1 ELSE s0 END AS s FROM a),
-    z AS (SELECT *, ((total - s) << 24) // (total + s) AS z FROM b), z2 AS (SELECT *, (z * z) >> 24 AS z2 FROM z),
-    p AS (SELECT *, (z * z2) >> 24 AS p3 FROM z2), q AS (SELECT *, (p3 * z2) >> 24 AS p5 FROM p), r AS (SELECT *, (p5 * z2) >> 24 AS p7 FROM q), u AS (SELECT *, (p7 * z2) >> 24 AS p9 FROM r),
-    f AS (SELECT *, (z + p3 // 3 + p5 // 5 + p7 // 7 + p9 // 9) * 288539 // 100000 AS f FROM u)
-    SELECT p_brand, CAST(sum(n * ((CAST(i AS BIGINT) << 24) + f)) AS BIGINT) >> 24 AS bits FROM f GROUP BY p_brand
+    WITH h AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY p_brand) AS total FROM h)
+    SELECT p_brand, CAST(floor(round(sum(-n * log2(n / total)), 6)) AS BIGINT) AS bits FROM t GROUP BY p_brand
 """)
 def shannon_floor_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
@@ -205,6 +200,7 @@ def prefix_code_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histograms.prefix_costs(_sizes(spark, sf_dir), "brand")
 
 
+
 @query()
 def histogram_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histograms.cluster_histograms(_sizes(spark, sf_dir), "brand")
@@ -213,7 +209,7 @@ def histogram_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of the 25 brands' cells after merging down to nine."""
-    counts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n")).orderBy("p_brand").collect()
+    counts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n")).orderBy("p_brand").limit(4097).collect()  # merge_smallest refuses more than 4096
     labels = histograms.merge_smallest([r["n"] for r in counts], 9)
     return spark.createDataFrame([(r["p_brand"], r["n"], k) for r, k in zip(counts, labels, strict=True)], "p_brand string, n long, label int")
 
@@ -233,7 +229,8 @@ def tile_ridge_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tile_newton_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1024).alias("tile"), F.col("l_quantity").alias("luma"), (F.col("l_extendedprice") / 1000).alias("chroma"))
+    """A tile is 64 order keys, so tiles grow in number with the data, not in size."""
+    rows = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 64").alias("tile"), F.col("l_quantity").alias("luma"), (F.col("l_extendedprice") / 1000).alias("chroma"))
     return r6(selection.newton(rows, ["tile"], "luma", "chroma", 0.5), "factor")
 
 
@@ -302,13 +299,14 @@ def error_feedback_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def target_size_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quantiser step whose tokens take nearest below 60 % of the finest one's bits; a job for each probe."""
+    """The quantiser step whose tokens take nearest below 60 % of the finest one's bits; one pass for all probes."""
     p = planes.embedding_plane(spark, sf_dir)
 
-    def probe(step: float) -> int:
-        token = pw.pack_signed(F.rint(F.col("value") / step).cast("long"))
-        return int(p.agg(F.sum(1 + pw.bit_width(token))).first()[0] or 0)
+    def probe(steps: list[float]) -> list[int]:
+        bits = [F.sum(1 + pw.bit_width(pw.pack_signed(F.rint(F.col("value") / s).cast("long")))) for s in steps]
+        return [int(b or 0) for b in p.agg(*[b.alias(f"b{i}") for i, b in enumerate(bits)]).first()]
 
-    finest = probe(0.01)
-    step, size, probes = selection.search_size(probe, finest * 6 // 10, 0.01, 1.0)
-    return spark.createDataFrame([(float(step), int(size), int(finest), int(probes))], "step double, bits long, finest long, probes int")
+    sizes = selection.probe_sizes(probe, 0.01, 1.0)
+    finest = sizes[0.01]
+    step = selection.nearest_below(sizes, finest * 6 // 10)
+    return spark.createDataFrame([(float(step), sizes[step], finest, len(sizes))], "step double, bits long, finest long, probes int")

@@ -139,8 +139,63 @@ def test_newton_and_ridge_agree_where_nothing_is_gated(spark):
 
 
 def test_size_search_finds_the_nearest_fit():
-    best, size, probes = selection.search_size(lambda x: int(1000 / x), 100, 1.0, 64.0, 20)
-    assert size <= 100 and size >= 95 and probes <= 20
+    sizes = selection.probe_sizes(lambda steps: [int(1000 / x) for x in steps], 1.0, 64.0, 20)
+    assert len(sizes) == 20 and 80 <= sizes[selection.nearest_below(sizes, 100)] <= 100
+    # sizes that fit in the middle only
+    sizes = selection.probe_sizes(lambda steps: [50 if 10 < x < 14 else 500 for x in steps], 1.0, 64.0, 20)
+    best = selection.nearest_below(sizes, 100)
+    assert 10 < best < 14 and sizes[best] == 50
+    assert selection.nearest_below({1.0: 9, 2.0: 7, 3.0: 7}, 5) == 2.0
+
+
+def test_causal_neighbours_across_strips(spark, monkeypatch):
+    monkeypatch.setattr(stencils, "STRIP", 4)
+    a = np.random.default_rng(9).integers(0, 99, (19, 6))
+    for r in stencils.causal(grid(spark, a)).collect():
+        y, x = r.y, r.x
+        left = a[y, x - 1] if x else (a[y - 1, x] if y else 0)
+        top = a[y - 1, x] if y else left
+        right = a[y - 1, x + 1] if y and x + 1 < 6 else top
+        want = (left, top, a[y - 1, x - 1] if x and y else left, right, a[y, x - 2] if x > 1 else left, a[y - 2, x] if y > 1 else top, a[y - 1, x + 2] if y and x + 2 < 6 else right)
+        assert (r.left, r.top, r.top_left, r.top_right, r.left_left, r.top_top, r.top_right_right) == want
+
+
+def test_no_column_window_spans_the_plane(spark):
+    plan = stencils.causal(spark.createDataFrame([(0, 0, 1)], "y long, x long, value long"))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("__strip#" in w.split("], [")[-2 if w.count("], [") > 1 else 0] or "[y#" in w for w in windows)
+
+
+def test_rectangular_transforms_undo_themselves(spark):
+    a = np.random.default_rng(10).normal(size=(32, 32))
+    plane = grid(spark, a)
+    for n, m in ((16, 16), (8, 32), (32, 16)):
+        k = transforms.dct(transforms.blocks(plane, n, m), n, wide=m)
+        assert k.count() == 1024
+        first = {(r.by, r.bx): r.value for r in k.where("v = 0 and u = 0").collect()}
+        assert all(np.isclose(v, a[i * n : i * n + n, j * m : j * m + m].mean() * (n * m) ** 0.5) for (i, j), v in first.items())
+        back = transforms.dct(k, n, forward=False, wide=m).selectExpr(f"by * {n} + v as y", f"bx * {m} + u as x", "value")
+        assert np.allclose(array(back, a.shape), a)
+
+
+def test_merged_cells_against_a_plain_loop():
+    rng = np.random.default_rng(11)
+    for _ in range(50):
+        cells = rng.integers(0, 6, rng.integers(1, 30)).tolist()
+        n, order, into = list(cells), list(range(len(cells))), {}
+        while len(order) > 4:
+            order.sort(key=lambda c: -n[c])
+            gone = order.pop()
+            n[order[-1]] += n[gone]
+            into[gone] = order[-1]
+        roots = []
+        for c in range(len(cells)):
+            while c in into:
+                c = into[c]
+            roots.append(c)
+        assert histograms.merge_smallest(cells, 4) == [list(dict.fromkeys(roots)).index(r) for r in roots]
+    with pytest.raises(ValueError):
+        histograms.merge_smallest([1] * 5000, 4)
 
 
 def test_images_are_read_by_spark(spark, tmp_path):
@@ -228,15 +283,15 @@ def test_one_hot_group_is_ranked_and_counted_in_parts(spark, many_parts):
     codes = orderstats.lehmer(df)
     value = {g: [v for k, _, v in rows if k == g] for g in sizes}
     assert {(r.grp, r.pos): r.code for r in codes.collect()} == {(g, i): sum(w < v for w in value[g][i + 1 :]) for g in sizes for i, v in enumerate(value[g])}
-    kept = running._kept
+    kept = running.checkpointed
     held = []
     try:
-        running._kept = lambda df: held.append(kept(df)) or held[-1]
+        running.checkpointed = lambda df: held.append(kept(df)) or held[-1]
         prediction.stable_rank(df.where("grp = 0"), "grp", "pos").collect()
         prediction.offsets(df.where("grp = 0"), ["grp"], "pos", "value").collect()
         orderstats.upper_median(df.where("grp = 0"), ["grp"], "value").collect()
     finally:
-        running._kept = kept
+        running.checkpointed = kept
     for h in held:
         most = h.groupBy("grp", "__part").count().agg(F.max("count")).first()[0]
         assert most < 1500
