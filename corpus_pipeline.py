@@ -37,7 +37,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the quality network predicts as good."""
+    """Keeps documents that the quality network predicts as good.
+
+    A null text is scored as an empty one, an empty one like any other; rows
+    with a null id and repeated rows are judged one by one.  Other columns stay.
+    An empty table gives an empty one.
+    """
     net = quality.train(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
     return quality.score(whole_rows(docs), net, id_col="row").where("predicted = 1").select("row.*")
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 
 
@@ -25,3 +27,30 @@ def test_odd_documents(spark, sf_dir):
     masked = {r.doc_id: r for r in cp.mask_personal_data(spark, docs, sf_dir).collect()}
     assert masked[None].text.endswith(" <email>") and masked[None].n_chars == len(masked[None].text) and masked[1].text is None
     assert cp.pack(spark, docs.where("false"), sf_dir).count() == 0
+
+
+def test_quality_stage_keeps_rows_whole(spark, sf_dir):
+    own = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("score", F.lit("extra"))
+    odd = spark.createDataFrame([(None, None, None, None, None, "x"), (10**9, "", "en", "s", 0, "x"), (10**9, "word " * 5000, "en", "s", 0, "x")], own.schema)
+    docs = own.unionByName(odd)
+    out = cp.quality_filter(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    assert out.exceptAll(docs).count() == 0 and 0 < out.count() < docs.count()
+
+
+def test_every_stage_takes_empty_tables_and_other_columns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("row", F.lit(1)).withColumn("component_id", F.lit("x"))
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs.where("false"), sf_dir)
+        assert out.count() == 0, name
+        if name != "packing":
+            assert out.columns == docs.columns, name
+
+
+def test_run_applies_all_stages(spark, sf_dir):
+    out = cp.run(spark, sf_dir)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    docs = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = out.collect()
+    assert rows and {r.doc_id for r in rows} < docs
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
