@@ -125,13 +125,17 @@ class ByteGru:
         return loss
 
     def texts(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Pooled probabilities (text, language); zeros for a text without bytes."""
+        """Pooled probabilities (text, language); zeros for a text without bytes.
+
+        A short window is filled up to WINDOW as in training, whatever other
+        windows are read with it, so a text's result hangs on the text alone.
+        """
         start, length, owner = windows_of(data, ends)
         total = np.zeros((len(ends) - 1, len(self.languages)))
-        order = np.argsort(-length, kind="stable")  # short windows share batches, so few steps are idle
+        order = np.argsort(-length, kind="stable")  # short windows share batches, so few need a mask
         for i in range(0, len(order), TOGETHER):
             part = order[i : i + TOGETHER]
-            x, mask = gather(data, start[part], length[part], int(length[part[0]]))
+            x, mask = gather(data, start[part], length[part])
             prob = self.positions(x)
             if not mask[-1].all():
                 prob *= mask[:, :, None]

@@ -168,8 +168,14 @@ def test_document_scores_are_pooled_over_all_positions():
     ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     net = langid.ByteGru.fresh(["a", "b", "c"])
     for text, got in zip(texts, net.texts(data, ends)):
-        parts = [net.positions(np.frombuffer(text[i : i + langid.WINDOW], np.uint8)[:, None])[:, 0] for i in range(0, len(text), langid.WINDOW)]
+        parts = []
+        for i in range(0, len(text), langid.WINDOW):
+            window = text[i : i + langid.WINDOW]
+            filled = np.frombuffer(window.ljust(langid.WINDOW, b"\0"), np.uint8)
+            parts.append(net.positions(filled[:, None])[: len(window), 0])
         assert np.allclose(np.concatenate(parts).mean(0), got, atol=1e-5)
+        alone = net.texts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert np.allclose(alone[0], got, atol=1e-6)
 
 
 def test_top_k_of_repeated_ids_and_lengths(spark):
