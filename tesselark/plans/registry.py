@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselark.plans import grids, tokens
+from tesselark.plans import fields, grids, tokens
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**grids.QUERIES, **tokens.QUERIES}
-SQL: dict[str, str] = {**grids.SQL, **tokens.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**grids.QUERIES, **tokens.QUERIES, **fields.QUERIES}
+SQL: dict[str, str] = {**grids.SQL, **tokens.SQL, **fields.SQL}
