@@ -116,7 +116,7 @@ def leaf_tokens(plane: DataFrame, tree: tuple) -> DataFrame:
 
 #: Scan order family of each of the 27 transforms, and the context of each (channel row, family) (fixed values).
 ORDER_OF = (0, 1, 1, 1, 2, 3, 4, 4, 5, 5, 6, 6, 1, 1, 1, 1, 1, 1, 7, 8, 8, 9, 10, 10, 11, 12, 12)
-CONTEXT_OF = (0, 1, 2, 2, 3, 3, 4, 5, 6, 6, 6, 6, 6, 7, 8, 9, 9, 10, 11, 12, 13, 14, 14, 14, 14, 14, 7, 8, 9, 9, 10, 11, 12, 13, 14, 14, 14, 14, 14)
+CONTEXT_OF = (0, 0, 0, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, 3, 3, 3, 3, 3, 2, 2, 2, 2, 3, 3, 3, 3, 3, 3, 3, 3, 3)
 
 
 def block_context(strategy: Column, channel: Column, level: Column, thresholds: list[int], contexts: list[int]) -> Column:
