@@ -88,16 +88,25 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(rows, pages.train(rows))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselark.llm.leaks import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_language_id, op3_media_columns, op4_best_fit_packing, op5_toxicity,
         op6_exact_top_k, op7_byte_bpe, op8_personal_data, op9_quality, op10_html_text,
+        op13_decontamination,
     )
 }
 
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 SQL: dict[str, str] = {
     "op1_minhash_near_dedup": rf"""
         WITH RECURSIVE w AS MATERIALIZED (
@@ -128,4 +137,23 @@ SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op13_decontamination": rf"""
+        WITH d AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'), '{_WORD}') AS w FROM documents),
+        i AS MATERIALIZED (
+            SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'), '{_WORD}') AS w FROM benchmark WHERE item_id IS NOT NULL),
+        k AS MATERIALIZED (
+            SELECT DISTINCT item, least(10, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda a: array_to_string(w[a:a + least(10, len(w)) - 1], ' '))) AS g
+            FROM i WHERE len(w) > 0),
+        n AS (SELECT DISTINCT n FROM k),
+        s AS MATERIALIZED (
+            SELECT r, n, unnest(range(1, len(w) - n + 2)) AS a, unnest(list_transform(range(1, len(w) - n + 2), lambda a: array_to_string(w[a:a + n - 1], ' '))) AS g
+            FROM d, n WHERE len(w) >= n),
+        h AS MATERIALIZED (SELECT r, s.n, a, item FROM s JOIN k ON k.n = s.n AND k.g = s.g),
+        c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(a, a + n)) AS p FROM (SELECT DISTINCT r, n, a FROM h)) GROUP BY r),
+        t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN t ON t.r = d.r
+    """,
 }

@@ -19,6 +19,7 @@ COLUMNS = {
     "op8_personal_data": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     "op9_quality": ["doc_id", "held_out", "score", "predicted"],
     "op10_html_text": ["page_id", "url", "text", "n_chars"],
+    "op13_decontamination": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
 }
 #: Modulus and remainder of the ids that are kept from learning.
 HELD_OUT = {"op2_language_id": (4, 2), "op5_toxicity": (4, 2), "op9_quality": (5, 0)}
