@@ -88,6 +88,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(rows, pages.train(rows))
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselark.llm.clusters import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed="3:", dim=64, factor=1024)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselark.llm.tries import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"), every=20, most=3)
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselark.llm.leaks import contamination
 
@@ -99,7 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_minhash_near_dedup, op2_language_id, op3_media_columns, op4_best_fit_packing, op5_toxicity,
         op6_exact_top_k, op7_byte_bpe, op8_personal_data, op9_quality, op10_html_text,
-        op13_decontamination,
+        op11_delta_lloyd, op12_conversation_trie, op13_decontamination,
     )
 }
 
@@ -107,6 +119,35 @@ _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """The rounds one after another, as SQL has no loop that aggregates."""
+    nearest = """a{0} AS MATERIALIZED (
+            SELECT r, arg_min(c, (d, c)) AS c, CAST(min(d) AS BIGINT) AS d
+            FROM (SELECT r, c.c, list_inner_product(k.v, k.v) - 2 * list_inner_product(k.v, c.v) + list_inner_product(c.v, c.v) AS d FROM k, c{0} c) GROUP BY r),
+        """
+    moved = """c{1} AS MATERIALIZED (
+            SELECT o.c, coalesce(m.v, o.v) AS v FROM c{0} o LEFT JOIN (
+                SELECT c, list(x ORDER BY i) AS v FROM (
+                    SELECT c, i, floor(sum(x) / count(*)) AS x FROM (SELECT a.c, generate_subscripts(k.v, 1) AS i, unnest(k.v) AS x FROM k JOIN a{0} a ON a.r = k.r) GROUP BY c, i)
+                GROUP BY c) m ON m.c = o.c),
+        """
+    return f"""
+        WITH k AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (
+            SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS c, v FROM (
+                SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, v FROM k WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 8)),
+        {"".join(nearest.format(r) + moved.format(r, r + 1) for r in range(rounds))}{nearest.format(rounds)}
+        s AS (SELECT c, CAST(sum(d) AS BIGINT) AS s FROM a{rounds} GROUP BY c),
+        h AS (SELECT c, sha256(array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS h FROM c{rounds})
+        SELECT k.vec_id, a.c AS cluster, a.d AS distance, s.s AS cluster_inertia, CAST((SELECT sum(s) FROM s) AS BIGINT) AS inertia, h.h AS centroid_sha256
+        FROM k JOIN a{rounds} a ON a.r = k.r JOIN s ON s.c = a.c JOIN h ON h.c = a.c
+    """
+
+
 SQL: dict[str, str] = {
     "op1_minhash_near_dedup": rf"""
         WITH RECURSIVE w AS MATERIALIZED (
@@ -137,6 +178,31 @@ SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_delta_lloyd": _lloyd_sql(10),
+    "op12_conversation_trie": r"""
+        WITH z AS MATERIALIZED (  -- CRC-32, a byte at a time
+            SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+        o AS MATERIALIZED (
+            SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                                      ORDER BY turn NULLS FIRST, md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS s
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (
+            SELECT c, s, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                                              lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS INTEGER) AS h
+            FROM o, z),
+        r AS MATERIALIZED (
+            SELECT h.c, list_concat(list_slice(coalesce(b.s, []), 1, h.h), list_slice(h.s, h.h + 1, len(h.s))) AS s FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20),
+        p AS MATERIALIZED (SELECT c, len(s) AS n, d, list_slice(s, 1, d) AS k FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
+        m AS MATERIALIZED (
+            SELECT k, d, min(c) AS c, count(*) AS n, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '') AS e FROM p GROUP BY k, d),
+        w AS MATERIALIZED (
+            SELECT m.*, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * len(regexp_extract_all(k[d].text, '[^\x20\x09-\x0D]+')) END AS own,
+                   (SELECT count(*) FROM m x WHERE x.d = m.d + 1 AND list_slice(x.k, 1, m.d) = m.k) AS kids FROM m),
+        u AS (SELECT list_slice(k, 1, a) AS k, sum(own) AS saved, count(*) FILTER (WHERE kids = 0) AS leaves FROM (SELECT w.*, unnest(range(0, d + 1)) AS a FROM w) GROUP BY 1)
+        SELECT w.c AS conv_id, w.d AS depth, q.c AS parent_conv_id, w.n AS n_convs, w.kids AS n_children, u.leaves AS n_leaves,
+               CAST(u.saved AS BIGINT) AS saved_tokens, sha256(w.e) AS ends_sha256
+        FROM w JOIN u ON u.k = w.k LEFT JOIN w q ON q.d = w.d - 1 AND q.k = list_slice(w.k, 1, w.d - 1)
+    """,
     "op13_decontamination": rf"""
         WITH d AS MATERIALIZED (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'), '{_WORD}') AS w FROM documents),

@@ -19,6 +19,8 @@ COLUMNS = {
     "op8_personal_data": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     "op9_quality": ["doc_id", "held_out", "score", "predicted"],
     "op10_html_text": ["page_id", "url", "text", "n_chars"],
+    "op11_delta_lloyd": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
+    "op12_conversation_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
     "op13_decontamination": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
 }
 #: Modulus and remainder of the ids that are kept from learning.
@@ -37,7 +39,10 @@ def test_query_gives_its_columns_for_every_row(spark, sf_dir, name):
         ids = [r.vec_id for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
         assert sorted(r.query_id for r in rows) == sorted(i for i in ids if i % 50 == 0 for _ in range(5))
         return
-    source = spark.read.parquet(f"{sf_dir}/{'pages' if key == 'page_id' else 'documents'}.parquet")
+    if key == "conv_id":
+        assert sum(r.depth == 0 for r in rows) == 1 and all((r.parent_conv_id is None) == (r.depth == 0) for r in rows)
+        return
+    source = spark.read.parquet(f"{sf_dir}/{ {'page_id': 'pages', 'vec_id': 'embeddings'}.get(key, 'documents') }.parquet")
     ids = sorted(r[0] for r in source.select(key).collect())
     assert (sorted(set(r[key] for r in rows)) if name == "op4_best_fit_packing" else sorted(r[key] for r in rows)) == ids
     if name in HELD_OUT:
