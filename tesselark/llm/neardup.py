@@ -12,12 +12,15 @@ buckets with probability (1 - P[Bin(7, 0.2) <= 1]) ** 16, about 1e-6.
 Pairs inside a bucket are not formed.  Equal sets collapse to one
 representative first.  A bucket's hub is its smallest member; the members of
 all buckets with one hub are its group, so two texts that share a bucket share a
-group.  Groups are dealt into blocks of bounded size, each with the hub.  A
-block is compared with its hub, and what that leaves apart with the rest of the
-block through an index of shingles, which yields links alone.  Only groups of
-several blocks that the links have not made one component are looked at again:
-there the texts outside the group's largest component meet the blocks of about
-their own size.  Every link is confirmed on the full shingle sets.
+group.  A text is compared with the least of its hubs first, then with those
+hubs that its links have not joined it to.  Groups whose members are then one
+component are settled; in the others every member outside the group's largest
+component meets the members of about its own size in blocks.  In a block
+everything is counted as a difference from one of its sets: two sets of which
+one is not linked with that set can be linked only if they share a difference,
+so an index of differences finds all links and texts on one template, which
+share little else, make few candidates.  Every link is confirmed on the full
+shingle sets.
 """
 
 from __future__ import annotations
@@ -128,77 +131,113 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.repeat(at, np.diff(np.append(at, len(keys))))
 
 
-def _pairs_schema(kind: pa.DataType) -> pa.Schema:
-    return pa.schema([("key", pa.int64()), ("a", kind), ("b", kind)])
+def _packed(together: int):
+    """Blocks of texts, ascending, whose buckets are looked at together."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, together):
+                ids = batch.column(0).slice(i, together)
+                order = pc.sort_indices(ids)
+                sigs = b"".join(batch.column(1).slice(i, together).take(order).to_pylist())
+                ids = ids.take(order)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([sigs], pa.binary())], ["ids", "sigs"])
+
+    return run
 
-def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, a, null) for each bucket and its smallest member here, and (some key, hub, member) for the others.
 
-    So a bucket that many texts share leaves a task with few rows to gather.
-    """
-    for batch in batches:
-        kind = batch.schema.field(0).type
-        for i in range(0, batch.num_rows, TOGETHER):
-            ids = batch.column(0).slice(i, TOGETHER)
-            order = pc.sort_indices(ids).to_numpy()
-            ids = ids.take(pa.array(order))
-            sig = np.frombuffer(b"".join(batch.column(1).slice(i, TOGETHER).to_pylist()), np.uint8).reshape(-1, VALUES)[order]
-            keys = bucket_keys(sig).ravel()
-            owner = np.repeat(np.arange(len(ids)), VALUES)
-            by = np.argsort(keys, kind="stable")  # of equal keys the smaller id comes first
-            keys, owner = keys[by], owner[by]
-            first = _runs(keys)
-            lead = first == np.arange(len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[lead]), ids.take(pa.array(owner[lead])), pa.nulls(int(lead.sum()), kind)], schema=_pairs_schema(kind))
-            hub, member = owner[first[~lead]], owner[~lead]
-            pairs = np.unique(hub * len(ids) + member)
-            pairs = pairs[pairs // len(ids) != pairs % len(ids)]
-            hub, member = pairs // len(ids), pairs % len(ids)
-            mixed = tx.mix64(pairs.astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(mixed), ids.take(pa.array(hub)), ids.take(pa.array(member))], schema=_pairs_schema(kind))
+def _bucket_rows(leads: bool):
+    """(key, id) for each bucket of a block and its smallest member there, or (key, lead, id) for the other members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids = batch.column(0).slice(r, 1).flatten()
+                keys = bucket_keys(np.frombuffer(batch.column(1)[r].as_buffer(), np.uint8)).ravel()
+                owner = np.repeat(np.arange(len(ids)), VALUES)
+                by = np.argsort(keys, kind="stable")  # of equal keys the smaller id comes first
+                keys, owner = keys[by], owner[by]
+                first = _runs(keys)
+                lead = first == np.arange(len(keys))
+                if leads:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[lead]), ids.take(pa.array(owner[lead]))], ["key", "id"])
+                else:
+                    columns = [pa.array(keys[~lead]), ids.take(pa.array(owner[first[~lead]])), ids.take(pa.array(owner[~lead]))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "lead", "id"])
+
+    return run
 
 
 def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hub, member) from rows sorted by key and a: a bucket's rows follow one another; pairs pass."""
+    """(key, hub, lead) of leads that are not their bucket's hub, from (key, id) rows sorted by both."""
     key = hub = None
     for batch in batches:
         ids = batch.column(1)
-        whole = pc.is_null(batch.column(2)).to_numpy(zero_copy_only=False)
-        passed = batch.filter(pa.array(~whole))
-        yield pa.RecordBatch.from_arrays([passed.column(1), passed.column(2)], ["hub", "id"])
-        at = np.flatnonzero(whole)
-        if not len(at):
+        if not len(ids):
             continue
-        keys = batch.column(0).to_numpy()[at]
-        first = _runs(keys)
-        leads = ids.take(pa.array(at[first]))
+        keys = batch.column(0).to_numpy()
+        hubs = ids.take(pa.array(_runs(keys)))
         if key is not None and keys[0] == key:  # the bucket began in the batch before
             goes_on = int(np.searchsorted(keys != key, True)) if (keys != key).any() else len(keys)
-            leads = pa.concat_arrays([pa.array([hub] * goes_on, ids.type), leads.slice(goes_on)])
-        members = ids.take(pa.array(at))
-        key, hub = int(keys[-1]), leads[-1].as_py()
-        apart = pc.not_equal(leads, members)
-        yield pa.RecordBatch.from_arrays([leads.filter(apart), members.filter(apart)], ["hub", "id"])
+            hubs = pa.concat_arrays([pa.array([hub] * goes_on, ids.type), hubs.slice(goes_on)])
+        key, hub = int(keys[-1]), hubs[-1].as_py()
+        apart = pc.not_equal(hubs, ids)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(apart), hubs.filter(apart), ids.filter(apart)], ["key", "hub", "lead"])
 
 
 def _meet(sets: list[np.ndarray], percent: int, part: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links of the texts ``of`` with texts of other parts, one for each part, through an index of all shingles.
-
-    A link makes one part of two, so the parts shrink as it goes.
+    """Links of the texts ``of`` with texts of other parts, one for each part.
+
+    A link makes one part of two, so the parts shrink as it goes.  Let H be the
+    first set and a set's differences what it has beyond H and what it lacks of
+    H.  Then |a & b| is |H| less what a lacks, less what b lacks, plus the
+    differences they share; and for b not linked with H it takes at least one
+    shared difference to link a and b.  Sets linked with H are one part.  Where
+    the sets have little in common with H, all of their shingles are indexed
+    instead, as differences from an empty set.
     """
     size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
+    first = np.cumsum(size) - size
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    base = codes[: size[0]]
+    in_base = np.zeros(codes.max() + 1, bool)
+    in_base[base] = True
+    held = in_base[codes]
+    shared = np.add.reduceat(held.astype(np.int64), first)
+    lacks = np.zeros(len(sets), np.int64)
+    whole = 0
+    if (size[0] - shared).sum() < shared.sum():
+        near = np.flatnonzero((100 * shared >= percent * (size[0] + size - shared)) & (part != part[0]))
+        near = near[np.unique(part[near], return_index=True)[1]]
+        for b in near.tolist():
+            yield 0, b
+        if len(near):
+            part[np.isin(part, part[near])] = part[0]
+        lacks, whole = size[0] - shared, int(size[0])
+        tokens = []
+        for k in range(len(sets)):
+            own, has = codes[first[k] : first[k] + size[k]], held[first[k] : first[k] + size[k]]
+            gone = in_base.copy() if lacks[k] else None
+            if gone is not None:
+                gone[own] = False
+                tokens.append(np.concatenate([own[~has], np.flatnonzero(gone) if lacks[k] * 8 > len(base) else base[gone[base]]]))
+            else:
+                tokens.append(own[~has])
+        count = np.array([len(t) for t in tokens])
+        codes = np.concatenate(tokens)
+    else:
+        count = size
+    start = np.cumsum(count) - count
+    owner = np.repeat(np.arange(len(sets)), count)
     holders = owner[np.argsort(codes, kind="stable")]
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(codes))])
-    first = np.cumsum(size) - size
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=1))])
     for a in of.tolist():
-        c = codes[first[a] : first[a] + size[a]]
+        c = codes[start[a] : start[a] + count[a]]
         n = bounds[c + 1] - bounds[c]
         at = np.arange(n.sum()) + np.repeat(bounds[c] - (np.cumsum(n) - n), n)
-        common = np.bincount(holders[at], minlength=len(size))
-        hits = np.flatnonzero((100 * common >= percent * (size[a] + size - common)) & (part != part[a]))
+        met, common = np.unique(holders[at], return_counts=True)
+        common = common + (whole - lacks[a] - lacks[met] if whole else 0)
+        hits = met[(100 * common >= percent * (size[a] + size[met] - common)) & (part[met] != part[a])]
         hits = hits[np.unique(part[hits], return_index=True)[1]]
         for b in hits.tolist():
             yield a, b
@@ -301,6 +340,23 @@ def components(links: DataFrame, tables: Tables | None = None) -> DataFrame:
         at = new_at
 
 
+def _candidates(classes: DataFrame, kind: str, tables: Tables) -> tuple[DataFrame, str]:
+    """(hub, id) for each text and the smallest text of each of its buckets, once each.
+
+    Buckets are found in blocks of TOGETHER texts first.  The blocks' leads meet
+    by key; the other members follow their lead's bucket, by key and lead, so a
+    bucket that many texts share gathers a row a block and never its members.
+    """
+    packed, packed_at = tables.write(classes.select("id", "sig").mapInArrow(_packed(TOGETHER), f"ids array<{kind}>, sigs binary"))
+    leads = packed.mapInArrow(_bucket_rows(True), f"key long, id {kind}").repartition("key").sortWithinPartitions("key", "id")
+    moved, moved_at = tables.write(leads.mapInArrow(_hubs, f"key long, hub {kind}, lead {kind}"))
+    members = packed.mapInArrow(_bucket_rows(False), f"key long, lead {kind}, id {kind}")
+    follow = members.join(moved, ["key", "lead"], "left").select(F.coalesce("hub", "lead").alias("hub"), "id")
+    edges = tables.write(moved.select("hub", F.col("lead").alias("id")).unionByName(follow).where("hub <> id").distinct())
+    tables.delete(packed_at, moved_at)
+    return edges
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Class of near-duplicate texts for each row.
 
@@ -322,31 +378,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = dict(own.dtypes)["id"]
     made, _ = tables.write(own.mapInArrow(_summaries(words), f"id {kind}, n long, set_key binary, sig binary"))
     classes, _ = tables.write(made.where("n > 0 and id is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    rows = classes.select("id", "sig").mapInArrow(_bucket_rows, f"key long, a {kind}, b {kind}")
-    gathered = rows.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_hubs, f"hub {kind}, id {kind}")
-    edges, edges_at = tables.write(gathered.where("hub <> id").distinct())
-
-    # every group in blocks of bounded size, the hub in each of them
-    sizes = classes.groupBy("id").agg(F.max("n").alias("n"))
-    sized = edges.join(sizes, "id")
-    blocks, blocks_at = tables.write(sized.groupBy("hub").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks")))
-    dealt = edges.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(True).alias("member"), "id")
-    hubs = blocks.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("member"), F.col("hub").alias("id"))
+    edges, edges_at = _candidates(classes, kind, tables)
     known = own.where("id is not null")
-    texts = known.join(dealt.unionByName(hubs), "id").select("hub", "block", "member", "id", "text")
-    texts = texts.repartition("hub", "block").sortWithinPartitions("hub", "block", "member", "id")
-    links, links_at = tables.write(texts.mapInArrow(_groups(words, ["hub", "block", "member"], _around_hub(percent)), f"a {kind}, b {kind}").distinct())
-    found = components(links, tables)
-
-    # groups of several blocks that are not one component yet
-    heavy = blocks.where("blocks > 1").select("hub")
-    members = edges.join(heavy, "hub").unionByName(heavy.select("hub", F.col("hub").alias("id")))
-    members = members.join(sizes, "id").join(found, "id", "left").select("hub", "id", "n", F.coalesce("component", "id").alias("component"))
-    parts = members.groupBy("hub", "component").agg(F.count("*").alias("c"))
+    sizes = classes.groupBy("id").agg(F.max("n").alias("n"))
+
+    def around(groups: DataFrame) -> tuple[DataFrame, str]:
+        """Links of the members of (hub, id) with their hub and with one another, in blocks of bounded size with the hub in each."""
+        blocks, blocks_at = tables.write(groups.join(sizes, "id").groupBy("hub").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks")))
+        dealt = groups.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(True).alias("member"), "id")
+        hubs = blocks.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("member"), F.col("hub").alias("id"))
+        texts = known.join(dealt.unionByName(hubs), "id").select("hub", "block", "member", "id", "text")
+        texts = texts.repartition("hub", "block").sortWithinPartitions("hub", "block", "member", "id")
+        links = tables.write(texts.mapInArrow(_groups(words, ["hub", "block", "member"], _around_hub(percent)), f"a {kind}, b {kind}").distinct())
+        tables.delete(blocks_at)
+        return links
+
+    def with_components(found: DataFrame) -> DataFrame:
+        """The candidates with the component of each id."""
+        return edges.join(found, "id", "left").select("hub", "id", F.coalesce("component", "id").alias("component"))
+
+    # every text and its least hub
+    links, _ = around(edges.groupBy("id").agg(F.min("hub").alias("hub")).select("hub", "id"))
+    found, _ = tables.write(components(links, tables))
+
+    # members that no link has joined to a hub of theirs
+    of_hub = with_components(found).groupBy("hub").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    of_hub = of_hub.join(found.select(F.col("id").alias("hub"), F.col("component").alias("own")), "hub", "left").withColumn("own", F.coalesce("own", "hub"))
+    apart = with_components(found).join(of_hub.where("least <> own or most <> own").select("hub", "own"), "hub").where("component <> own").select("hub", "id")
+    apart, apart_at = tables.write(apart)
+    if not apart.isEmpty():
+        more, _ = around(apart)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found, _ = tables.write(components(links, tables))
+
+    # groups whose members are not one component yet
+    parts = with_components(found).groupBy("hub", "component").agg(F.count("*").alias("c"))
     usual = parts.groupBy("hub").agg(F.max_by("component", F.struct("c", "component")).alias("usual"), F.count("*").alias("parts")).where("parts > 1")
     # sets whose sizes differ by more than the threshold allows can't be linked, so a text meets its own step of sizes and the two beside
     step = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.lit(0)
-    left, left_at = tables.write(members.join(usual.select("hub", "usual"), "hub").select("hub", "id", "n", "component", step.alias("step"), (F.col("component") != F.col("usual")).alias("asks")))
+    members = with_components(found).join(usual.select("hub", "usual"), "hub").join(sizes, "id")
+    left, left_at = tables.write(members.select("hub", "id", "n", "component", step.alias("step"), (F.col("component") != F.col("usual")).alias("asks")))
     if not left.isEmpty():
         count = left.groupBy("hub", "step").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"), F.ceil(F.sum(F.when(F.col("asks"), F.col("n"))) / block_shingles).alias("askers"))
         spread = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n))
@@ -364,9 +436,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         late = late.repartition(*columns).sortWithinPartitions(*columns, "id", F.desc("mark.asks"))
         late, late_at = tables.write(late.mapInArrow(_groups(words, [*columns, "mark"], _between_parts(percent)), f"a {kind}, b {kind}").distinct())
         if not late.isEmpty():
-            found = components(links.unionByName(late), tables)
+            found, _ = tables.write(components(links.unionByName(late), tables))
         tables.delete(late_at)
-    tables.delete(edges_at, blocks_at, left_at, links_at)
+    tables.delete(edges_at, apart_at, left_at)
 
     of_class = classes.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     linked = made.where("n > 0 and id is not null").select("id", "n", "set_key").join(of_class, "set_key", "left")

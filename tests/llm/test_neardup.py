@@ -119,12 +119,72 @@ def test_groups_of_several_blocks_that_are_not_one_component(spark):
 def test_buckets_over_several_batches_have_one_hub():
     import pyarrow as pa
 
-    def rows(keys, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(a), pa.array(b, pa.int64())], ["key", "a", "b"])
+    def rows(keys, ids):
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], ["key", "id"])
 
-    batches = [rows([1, 1, 2], [4, 5, 1], [None, None, None]), rows([2, 2, 2, 3], [2, 9, 3, 8], [None, 7, None, None]), rows([3], [11], [None])]
-    got = sorted(p for b in neardup._hubs(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True))
-    assert got == [(1, 2), (1, 3), (4, 5), (8, 11), (9, 7)]
+    batches = [rows([1, 1, 2], [4, 5, 1]), rows([], []), rows([2, 2, 3], [2, 3, 8]), rows([3], [11]), rows([4], [1])]
+    got = [p for b in neardup._hubs(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert got == [(1, 4, 5), (2, 1, 2), (2, 1, 3), (3, 8, 11)]
+
+
+def test_every_bucket_has_one_group_over_several_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(neardup, "TOGETHER", 40)
+    rng = np.random.default_rng(2)
+    sigs = rng.integers(0, 4, (300, neardup.VALUES)).astype(np.uint8)  # few values, so buckets are shared
+    rows = [(bytes([i % 256, i // 256]), i, 1, bytearray(s.tobytes())) for i, s in enumerate(sigs)]
+    classes = spark.createDataFrame(rows, "set_key binary, id long, n long, sig binary").repartition(3)
+    edges, _ = neardup._candidates(classes, "bigint", neardup.Tables(spark))
+    got = {(r.hub, r.id) for r in edges.collect()}
+    keys = neardup.bucket_keys(sigs)
+    hub = {}
+    for i, own in enumerate(keys.tolist()):
+        for k in own:
+            hub.setdefault(k, i)
+    assert got == {(hub[k], i) for i, own in enumerate(keys.tolist()) for k in own if hub[k] != i} and len(got) > 1000
+
+
+def test_pairs_of_template_texts_in_different_blocks_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TOGETHER", 256)
+    rows, n = [], 1500
+    for p in range(n):  # two texts share 90 of 110 words, texts of two pairs 84 of 116
+        shared = [f"t{k}" for k in range(84)] + [f"p{p}_{k}" for k in range(6)]
+        rows += [(p, " ".join(shared + [f"a{p}_{k}" for k in range(10)])), (n + p, " ".join(shared + [f"b{p}_{k}" for k in range(10)]))]
+    rows.append((2 * n, " ".join(f"t{k}" for k in range(84))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6, "doc_id")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, words=1, block_shingles=30_000).collect()}
+    hub = {i: i % n for i, _ in rows} | {2 * n: 2 * n}
+    near_template = 100 * 84 >= 80 * 100  # the bare template is linked with every text
+    assert got == (dict.fromkeys(hub, 0) if near_template else hub)
+    rows.pop()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6, "doc_id")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, words=1, block_shingles=30_000).collect()}
+    assert got == {i: i % n for i, _ in rows}
+
+
+def test_links_in_a_block_by_differences_from_its_first_set():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for base in (0, 5, 40):
+        for _ in range(60):
+            core = rng.choice(60, base, replace=False)
+            sets = [np.unique(np.concatenate([rng.permutation(core)[: max(1, base - rng.integers(0, 9))], rng.integers(60, 90, rng.integers(1, 9))])).astype(np.uint64) for _ in range(25)]
+            if base == 40:
+                sets[0] = core.astype(np.uint64)
+                sets[0].sort()
+            links = list(neardup._meet(sets, 80, np.arange(25), np.arange(1, 25)))
+            near = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+            assert all(near(sets[a], sets[b]) for a, b in links)
+            roots = []
+            for pairs in (links, [(a, b) for a in range(25) for b in range(a) if near(sets[a], sets[b])]):
+                root = list(range(25))
+                for _ in range(25):
+                    for a, b in pairs:
+                        root[a] = root[b] = min(root[a], root[b])
+                roots.append(root)
+            assert roots[0] == roots[1]
 
 
 def test_span_hashes_of_texts_longer_than_a_step(monkeypatch):
