@@ -156,13 +156,14 @@ def inverse_sigma(blocks: DataFrame, key: str, order: str, scale: float, strengt
 BANDS = ((3150.0, 0.0, -0.4, -0.4, -0.4, -2.0), (560.0, 0.0, -0.3, -0.3, -0.3, -0.3), (512.0, -2.0, -1.0, 0.0, -1.0, -2.0))
 
 
-def dequant_matrix(bands: tuple[float, ...], n: int = 8) -> list[tuple[int, int, float]]:
-    """(v, u, weight): the inverse of a weight that falls with the frequency's distance from 0, between bands geometrically."""
+def dequant_matrix(bands: tuple[float, ...], n: int = 8, wide: int | None = None) -> list[tuple[int, int, float]]:
+    """(v, u, weight) of ``n`` rows and ``wide`` columns (``n`` if not told): the inverse of a weight that falls with the frequency's distance from 0, between bands geometrically."""
+    m = wide or n
     level = list(accumulate(bands, lambda b, step: b * (1 + step) if step > 0 else b / (1 - step)))
     out = []
     for v in range(n):
-        for u in range(n):
-            at = math.hypot(v, u) / (n - 1) * (len(level) - 1) / (math.sqrt(2) + 1e-6)
+        for u in range(m):
+            at = math.hypot(v / (n - 1), u / (m - 1)) * (len(level) - 1) / (math.sqrt(2) + 1e-6)
             i = int(at)
             out.append((v, u, 1 / (level[i] * (level[i + 1] / level[i]) ** (at - i))))
     return out

@@ -94,39 +94,3 @@ def coefficient_tokens(blocks: DataFrame) -> DataFrame:
 def segment(level: Column, thresholds: list[int]) -> Column:
     """How many thresholds a level is above."""
     return sum((F.when(level > t, 1).otherwise(0) for t in thresholds), F.lit(0)).cast("long")
-
-
-def weighted_residuals(plane: DataFrame) -> DataFrame:
-    """Residuals of an error-weighted mix of four predictors (y, x, prediction, token).
-
-    Each prediction depends on how the four did above and to the left, so a
-    plane is walked in raster order; planes (column ``plane``) are independent
-    and spread over tasks.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        grid = frame.pivot(index="y", columns="x", values="value").to_numpy()
-        h, w = grid.shape
-        errors = np.zeros((2, w + 2, 4), np.int64)
-        out = np.zeros((h, w), np.int64)
-        for y in range(h):
-            now, above = errors[y % 2], errors[(y + 1) % 2]
-            now[:] = 0
-            for x in range(w):
-                left = int(grid[y, x - 1]) if x else (int(grid[y - 1, x]) if y else 0)
-                top = int(grid[y - 1, x]) if y else left
-                tl = int(grid[y - 1, x - 1]) if x and y else left
-                tr = int(grid[y - 1, x + 1]) if y and x + 1 < w else top
-                guesses = (left + tr - top, top, left, left + top - tl)
-                weight = [(1 << 24) // (1 + int(now[x, k] + above[x + 1, k] + above[x + 2 if x + 1 < w else x + 1, k])) for k in range(4)]
-                p = sum(g * v for g, v in zip(guesses, weight, strict=True)) // sum(weight)
-                out[y, x] = p
-                v = int(grid[y, x])
-                now[x + 1] = [abs(v - g) for g in guesses]
-        ys, xs = np.indices((h, w))
-        r = grid - out
-        return pd.DataFrame({"plane": frame["plane"].iloc[0], "y": ys.ravel(), "x": xs.ravel(), "prediction": out.ravel(), "token": np.where(r >= 0, 2 * r, -2 * r - 1).ravel()})
-
-    return plane.groupBy("plane").applyInPandas(run, "plane long, y long, x long, prediction long, token long")

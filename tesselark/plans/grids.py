@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselark.functions import pointwise as pw
-from tesselark.operators import blocks, prediction, stencils, transforms
+from tesselark.operators import blocks, prediction, stencils, transforms, wavefronts
 from tesselark.sources import planes
 
 EMB = "p AS MATERIALIZED (SELECT vec_id AS y, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS x, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"
@@ -400,8 +400,27 @@ def best_predictor_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def weighted_predictor_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planes of 20 rows each are predicted independently."""
-    p = planes.integer_plane(planes.event_plane(spark, sf_dir)).withColumn("plane", F.expr("y div 20"))
-    return prediction.weighted_residuals(p)
+    p = planes.integer_plane(planes.event_plane(spark, sf_dir)).select(F.expr("y div 20").alias("plane"), (F.col("y") % 20).alias("y"), "x", "value")
+    found = wavefronts.weighted_residuals(p)
+    return found.select("plane", (F.col("plane") * 20 + F.col("y")).alias("y"), "x", "prediction", "token")
+
+
+@query()
+def weighted_context_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of three whole planes with the context of the predictor's error: the events' values, their sizes and their steps."""
+    v = F.col("value")
+    p = planes.integer_plane(planes.event_plane(spark, sf_dir), 20)
+    each = F.posexplode(F.array(v, v.bitwiseXOR(F.lit(85)), F.expr("value div 7") - F.col("x")))
+    return wavefronts.weighted_residuals(p.select("y", "x", each.alias("plane", "value")).withColumn("plane", F.col("plane").cast("long")))
+
+
+@query()
+def predicted_dc_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of the events' three channels, rounded towards what the gradient predicts from levels."""
+    e = planes.event_plane(spark, sf_dir).withColumn("plane", F.lit(0).cast("long"))
+    v = F.col("value")
+    rows = e.select("plane", "y", "x", (v % 7 / 2).alias("c0"), v.alias("c1"), (v + F.col("x") % 11).alias("c2"))
+    return wavefronts.predicted_levels(rows, (0.25, 1.5, 0.75))
 
 
 # ---- transforms

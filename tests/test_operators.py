@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselark.functions import pointwise as pw
-from tesselark.operators import histograms, orderstats, prediction, running, selection, stencils, transforms
+from tesselark.operators import histograms, orderstats, prediction, running, selection, stencils, transforms, wavefronts
 from tesselark.sources import planes
 from tesselark.streaming import populations
 
@@ -122,11 +122,11 @@ def test_clusters_and_merges(spark):
 def test_weighted_prediction_is_exact_on_flat_and_undone_on_any(spark):
     a = np.random.default_rng(5).integers(0, 99, (6, 7))
     df = grid(spark, a).withColumn("plane", F.lit(0).cast("long"))
-    for r in prediction.weighted_residuals(df).collect():
+    for r in wavefronts.weighted_residuals(df).collect():
         residual = r.token // 2 if r.token % 2 == 0 else -(r.token + 1) // 2
         assert r.prediction + residual == a[r.y, r.x]
     flat = grid(spark, np.full((4, 4), 7)).withColumn("plane", F.lit(1).cast("long"))
-    assert prediction.weighted_residuals(flat).where("token <> 0").count() == 1
+    assert wavefronts.weighted_residuals(flat).where("token <> 0").count() == 1
 
 
 def test_newton_and_ridge_agree_where_nothing_is_gated(spark):
