@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -93,7 +94,9 @@ class WordIds:
         """Remembers the ids of new words.
 
         A word of letters with marks behind it is the letters' ids and the
-        marks'; new words of letters are encoded together, as one line.
+        marks', if the letters' lower case is letters alone (that of a dotted
+        capital I ends in a mark, which the next marks join); new words of
+        letters are encoded together, as one line.
         """
         known = self.known
         if len(known) > REMEMBERED or self.held > REMEMBERED_BYTES:
@@ -101,7 +104,7 @@ class WordIds:
             self.held = 0
         new = [w for w in dict.fromkeys(words) if w not in known]
         cores = [w.rstrip(MARKS) for w in new]
-        split = [c.isalpha() for c in cores]
+        split = [c.isalpha() and (c.isascii() or unicodedata.normalize("NFC", c.lower()).isalpha()) for c in cores]
         letters = [c for c in dict.fromkeys(c for c, s in zip(cores, split, strict=True) if s) if c not in known]
         if letters:
             line = self.tokenizer.encode(" ".join(letters), add_special_tokens=False)
@@ -188,7 +191,11 @@ def pack(pieces: DataFrame, by: list[str], size: int = 2048, open_bins: int | No
     length by the columns ``by``, and puts each into the fullest open sequence
     that has room.  It holds ``open_bins`` sequences open, or as many as it can
     need.  An empty input gives no rows; repeated rows are placed one by one.
+    Pieces that have a column of one of the new names, or __place, are refused.
     """
+    taken = {"sequence_id", "offset", "__place"} & set(pieces.columns)
+    if taken:
+        raise ValueError(f"pieces already have {', '.join(sorted(taken))}")
     most = most_open(size, task_tokens) if open_bins is None else open_bins
     pieces = cut(pieces)
     total = pieces.agg(F.sum("length")).first()[0] or 0

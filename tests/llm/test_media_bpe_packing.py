@@ -205,3 +205,28 @@ def test_many_long_pieces_leave_their_space_to_short_ones(spark):
     pieces = spark.range(long + short).select(F.col("id"), F.when(F.col("id") < long, 1200).otherwise(400).cast("long").alias("length"))
     got = packing.pack(pieces, ["id"]).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert len(got) == long and all(r.n == 2000 for r in got)
+
+
+def test_ids_of_letters_whose_lower_case_ends_in_a_mark():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        words = packing.WordIds(f.read())
+    file = Tokenizer.from_file(path)
+    rng = random.Random(12)
+    texts = [f"{core}{m} geldi {core}{m}{m}" for m in packing.MARKS for core in ("KEDİ", "İ", "SAHİBİ", "ΟΔΟΣ")]
+    letters, marks = "abcDEFİIıßΣςéÉn" + "̧́̇ि‍", packing.MARKS + "’…`~\\^1٣̸̇"
+    for _ in range(4000):
+        texts.append(" ".join("".join(rng.choices(letters, k=rng.randint(0, 5))) + "".join(rng.choices(marks, k=rng.choice((0, 0, 1, 2)))) for _ in range(rng.randint(1, 5))))
+    for t in texts:
+        assert np.frombuffer(words.encode(t), "<u4").tolist() == file.encode(t, add_special_tokens=False).ids, t
+
+
+def test_columns_that_clash_with_a_packing_s_own(spark):
+    docs = spark.createDataFrame([(1, "a b c", 7, 8, 9), (2, None, 7, 8, 9)], "doc_id long, text string, sequence_id long, offset long, __place long")
+    rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sorted((r.doc_id, r.length, r.offset) for r in rows) == [(1, 4, 0), (2, 1, 4)]
+    pieces = spark.createDataFrame([(3, 7)], "length long, sequence_id long")
+    with pytest.raises(ValueError, match="sequence_id"):
+        packing.pack(pieces, [])
