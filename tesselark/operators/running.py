@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` in ``spark.checkpoint.dir``: a range partitioning computed twice need not cut at the same rows."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the session names, or in a local session without one a temporary one."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tesselark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` in ``spark.checkpoint.dir``: a range partitioning computed twice need not cut at the same rows."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -42,3 +49,20 @@ def ranks(rows: DataFrame, keys: list[str], order: list[str], name: str) -> Data
     """Adds the position of each row, from 0, in its group's order."""
     r = running(rows.withColumn("__one", F.lit(1).cast("long")), keys, order, "__one")
     return r.select(*rows.columns, F.col("__before").alias(name))
+
+
+class Written:
+    """Tables written as Parquet to the shared folder, read back, and deleted when told."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.made = spark, f"{checkpoint_folder(spark)}/written-{uuid.uuid4()}", 0
+
+    def write(self, df: DataFrame) -> tuple[DataFrame, str]:
+        self.made += 1
+        path = f"{self.folder}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def delete(self, path: str) -> None:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselark.operators import halo, tilings
+from tesselark.operators import adaptive, halo, tilings
 from tesselark.plans.fields import _OPSIN, _opsin
 from tesselark.plans.grids import EMB, mirrored, r6, values_of
 from tesselark.sources import planes
@@ -169,6 +169,67 @@ def placed_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tilings.place_shapes(tilings.shape_costs(*_inputs(spark, sf_dir), TARGET), TARGET)
 
 
+# ---- fields of quants
+
+
+def _field_sql() -> str:
+    """The first field step by step: differences, erosion of 4x4 cells, masks and modulations."""
+    t, a = TARGET, adaptive
+    from tesselark.functions import pointwise as pw
+    from tesselark.operators import fields as f
+    from tesselark.operators.stencils import erosion_weights
+
+    gamma = lambda v: f"(({f.GAMMA_TOP!r} * pow(greatest({v}, 0), 2) + {f.GAMMA_SMALL}) / ({f.GAMMA_CUBE!r} * pow(greatest({v}, 0), 3) + {f.GAMMA_REST + f.GAMMA_SMALL!r}))"
+    taps = [(dy, dx, a.MASK_TAPS[dy * dy + dx * dx]) for dy in range(-2, 3) for dx in range(-2, 3)]
+    total = sum(k for _, _, k in taps)
+    w = erosion_weights(t)
+    scale = a.AC_QUANT / t
+    near = values_of([(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)], "dy, dx")
+    v = f"greatest(q * {pw.MASK_SCALE!r}, 1e-3)"
+    k4, k2, k3 = pw.MASK_TERMS
+    return f"""
+        WITH {_OPSIN}, z AS (SELECT max(y) + 1 AS ph, max(x) + 1 AS pw FROM o),
+        p AS MATERIALIZED (SELECT gy AS y, gx AS x, c0, c1, c2 FROM (SELECT unnest(range((ph + 7) // 8 * 8)) AS gy, ph, pw FROM z) a, (SELECT unnest(range((pw + 7) // 8 * 8)) AS gx FROM z) b JOIN o ON o.y = least(gy, ph - 1) AND o.x = least(gx, pw - 1)),
+        s AS MATERIALIZED (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM p),
+        d AS MATERIALIZED (SELECT t.y, t.x, (any_value(t.c1) - avg(q.c1)) / {gamma(f'any_value(t.c1) + {a.DIFFERENCE_OFFSET}')} AS d
+            FROM p t CROSS JOIN s CROSS JOIN {values_of([(0, 1), (1, 0), (0, -1), (-1, 0)], 'dy, dx')} JOIN p q ON q.y = greatest(0, least(t.y + k.dy, h - 1)) AND q.x = greatest(0, least(t.x + k.dx, w - 1)) GROUP BY t.y, t.x),
+        m AS MATERIALIZED (SELECT y, x, 1 / (ln(1 + abs(d)) + {a.MASK_LEAST}) AS m FROM d),
+        b AS MATERIALIZED (SELECT t.y, t.x, sum(q.m * k.wt) / {total!r} AS mask FROM m t CROSS JOIN s CROSS JOIN {values_of(taps, 'dy, dx, wt')} JOIN m q ON q.y = {mirrored('t.y + k.dy', 's.h')} AND q.x = {mirrored('t.x + k.dx', 's.w')} GROUP BY t.y, t.x),
+        c AS MATERIALIZED (SELECT y // 4 AS y, x // 4 AS x, sum(0.25 * sqrt(least(d * d, {a.DIFFERENCE_LIMIT}) * {(pw.SQRT_SCALE * 1e8) ** 0.5!r} + {pw.SQRT_OFFSET!r})) / 4 AS v FROM d GROUP BY y // 4, x // 4),
+        er AS (SELECT t.y, t.x, list_sort(list(q.v)) AS l FROM c t CROSS JOIN s CROSS JOIN {near} JOIN c q ON q.y = greatest(0, least(t.y + k.dy, h // 4 - 1)) AND q.x = greatest(0, least(t.x + k.dx, w // 4 - 1)) GROUP BY t.y, t.x),
+        f AS (SELECT y // 2 AS "by", x // 2 AS bx, sum({' + '.join(f'l[{i + 1}] * {x!r}' for i, x in enumerate(w))}) AS q FROM er GROUP BY y // 2, x // 2),
+        n AS (SELECT *, y // 8 AS "by", x // 8 AS bx, abs(c1 - lead(c1) OVER (PARTITION BY y, x // 8 ORDER BY x)) AS r, abs(c1 - lead(c1) OVER (PARTITION BY x, y // 8 ORDER BY y)) AS l FROM p),
+        g AS (SELECT "by", bx, sum(least({f.HIGH_LIMIT}, coalesce(r, 0)) + least({f.HIGH_LIMIT}, coalesce(l, 0))) * {f.HIGH_SLOPE} + {f.HIGH_OFFSET} AS high,
+              {f.GAMMA_SLOPE!r} * log2(sum({gamma(f'c1 + {f.GAMMA_BIAS} - c0')} + {gamma(f'c1 + {f.GAMMA_BIAS} + c0')}) / 128) AS gamma, sum(greatest(0, least(c2 - c1 - {f.BLUE_OFFSET!r} - abs(c0), {f.BLUE_LIMIT!r}))) AS u FROM n GROUP BY "by", bx),
+        u AS (SELECT *, least(CASE WHEN u >= {32 * f.BLUE_LIMIT!r} THEN {64 * f.BLUE_LIMIT!r} - u ELSE u END, {f.BLUE_MOST * f.BLUE_LIMIT!r}) * {f.BLUE_SLOPE!r} AS blue FROM g JOIN f USING ("by", bx)),
+        v AS (SELECT *, {pw.MASK_BASE} + {k4!r} / (pow({v}, 2) + {0.25 * pw.MASK_OFFSET_3!r}) + {k2!r} / ({v} + {pw.MASK_OFFSET_2!r}) + {k3!r} / (pow({v}, 2) + {pw.MASK_OFFSET_3!r}) + gamma + least(high, blue) AS x FROM u)
+        SELECT b.y, b.x, round(exp(v.x) * {scale!r}, 6) + 0.0 AS quant, round(1 / (q + 0.001), 6) + 0.0 AS strategy_mask, round(mask, 6) + 0.0 AS mask FROM b JOIN v ON v."by" = b.y // 8 AND v.bx = b.x // 8"""
+
+
+@query(_field_sql())
+def first_quant_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field, strategy mask and pixel mask that the events' three channels start with, tiles of 64 rows and columns."""
+    return r6(adaptive.first_field(_inputs(spark, sf_dir)[0], TARGET, tile=64), "quant", "strategy_mask", "mask")
+
+
+@query()
+def adapted_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quants of the events' plane, each shape's, after two rounds of evaluation and change.
+
+    Shapes are searched under the first field and mask; distances are those of
+    the coded channels.
+    """
+    pixels, field = _inputs(spark, sf_dir)
+    first, _ = adaptive.Written(spark).write(adaptive.first_field(pixels, TARGET))
+    quants = first.where("y % 8 = 0 and x % 8 = 0").select(F.expr("y div 8").alias("by"), F.expr("x div 8").alias("bx"), "quant")
+    masked = pixels.drop("mask").join(first.select("y", "x", "mask"), ["y", "x"])
+    costs = tilings.shape_costs(masked, field.drop("quant").join(quants, ["by", "bx"]), TARGET)
+    tiling, _ = adaptive.Written(spark).write(tilings.place_shapes(costs, TARGET))
+    start = adaptive.adjusted(quants, tiling, TARGET)
+    found, _ = adaptive.adapt(start, adaptive.coding_distance(pixels, 90.0), TARGET, rounds=2)
+    return r6(found, "quant", "distance")
+
+
 # ---- wide stencils
 
 
