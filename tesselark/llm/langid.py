@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from tesselark.llm import nets
 from tesselark.llm import text as tx
+from tesselark.llm.shared import bounded_text
 
 UNDETERMINED = "und"
 #: Bytes in a window, windows that are read in step, and states a direction has.
@@ -175,7 +176,7 @@ def sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col
     Every language takes part.  The ids are chosen without reading a text; the
     texts are then looked up.  Of rows that share an id the one with the least
     hash of text and language counts, so the sample does not depend on the
-    order of rows.
+    order of rows.  A long text is told by pieces (:func:`bounded_text`).
     """
     ids = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
@@ -186,7 +187,7 @@ def sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.join(F.broadcast(named) if len(chosen) <= BROADCAST_IDS else named, "id")
     least = F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text", "lang"), "text", "lang")).alias("r")
-    return rows.groupBy("id").agg(least).select(F.col("id").alias(id_col), F.col("r.text").alias(text_col), F.col("r.lang").alias(lang_col)).orderBy(id_col).collect()
+    return rows.groupBy("id").agg(least).select(F.col("id").alias(id_col), bounded_text(F.col("r.text")).alias(text_col), F.col("r.lang").alias(lang_col)).orderBy(id_col).collect()
 
 
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = TEXTS_EACH) -> ByteGru:

@@ -386,7 +386,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     positive multiple of 64.  Returns id_col, n_bytes (of the text), media (the
     file), payload (read back from it), width, height, thumb_width,
     thumb_height and thumb_hash.  Equal texts give equal values; null ids and
-    repeated rows stay; other columns are ignored.
+    repeated rows stay; an empty table gives no rows; other columns are ignored.
+    A text is stored whole, however long; a task holds its file and coefficients.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 

@@ -26,6 +26,8 @@ from tesselark.llm import text as tx
 
 #: Pages in the training sample, pages drawn up, words that fill those, and most blocks of a page to train on.
 SAMPLE, DRAWN, WORDS, TRAINED_BLOCKS = 160, 320, 20_000, 400
+#: Characters of a page to train on.
+PAGE_CHARS = 1 << 18
 #: Words whose vectors are looked up at a time.
 TOGETHER = 1 << 20
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, HIDDEN, NUMBERS = 1024, 512, 12, 6, 14, 7
@@ -312,7 +314,7 @@ def drawn_page(rng: random.Random, words: list[str]) -> tuple[str, list[tuple[st
 
 
 def drawn(count: int, words: list[str], seed: int = 11) -> list[tuple[list[Block], list[int]]]:
-    """Blocks and labels of made-up pages (pages whose blocks can't be told apart are left out)."""
+    """Blocks and labels of made-up pages; equal blocks of a page count as article if one of them does."""
     rng, found = random.Random(seed), []
     for _ in range(count):
         page, truth = drawn_page(rng, words)
@@ -495,12 +497,12 @@ def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", eac
     """A labeller fitted on at most ``each`` pages, chosen by a hash of their ids, and ``made_up`` drawn ones.
 
     Of pages that share an id the one with the least hash counts; pages of more
-    than ``most_blocks`` blocks are not trained on.  The drawn pages are filled
+    than PAGE_CHARS characters or ``most_blocks`` blocks are not trained on.  The drawn pages are filled
     with at most ``words`` words of the sample, chosen by a hash.
     """
     ids = [r[0] for r in pages.where(F.col(id_col).isNotNull() & F.col(html_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(each).collect()]
     own = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-    rows = own.where(F.col("id").isin(ids)).groupBy("id").agg(F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("html")).orderBy("id").collect() if ids else []
+    rows = own.where(F.col("id").isin(ids)).groupBy("id").agg(F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("html")).where(F.length("html") <= PAGE_CHARS).orderBy("id").collect() if ids else []
     real = [b for b in (blocks_of(r[1]) for r in rows) if len(b) <= most_blocks]
     filling = sorted({w for p in real for b in p for w in b.text.split()}, key=lambda w: (zlib.crc32(w.encode()), w))[:words] or ["word", "other", "third"]
     return fit([(b, marked(b)) for b in real] + drawn(made_up, filling))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tesselark.llm import nets
 from tesselark.llm import text as tx
+from tesselark.llm.shared import bounded_text
 
 #: Bytes in a chunk and between chunk starts; filter width, filters, byte vector size.
 CHUNK, STRIDE, WIDTH, FILTERS, BYTE_DIM = 512, 448, 5, 24, 8
@@ -171,7 +172,8 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, label: str, eac
     """At most ``each`` texts of each label 0 and 1, by a hash of their ids (a bounded sample): (id, text, label).
 
     Of rows that share an id the one with the least hash of text and label
-    counts, so the sample does not depend on the order of rows.
+    counts, so the sample does not depend on the order of rows.  A long text is
+    told by pieces (:func:`bounded_text`).
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label).cast("int").alias("y"))
     ids = docs.where(usable & F.col(id_col).isNotNull()).select(id_col).join(known, id_col).distinct()
@@ -183,7 +185,7 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, label: str, eac
     texts = docs.where(F.col(id_col).isin(chosen) & usable & F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text"))
     named = known.where(F.col(id_col).isin(chosen)).distinct()  # at most two rows of an id: its labels are 0 and 1
     least = F.min_by(F.struct("text", "y"), F.struct(F.xxhash64("text", "y"), "text", "y")).alias("r")
-    return texts.join(F.broadcast(named), id_col).groupBy(id_col).agg(least).select(id_col, "r.text", "r.y").orderBy(id_col).collect()
+    return texts.join(F.broadcast(named), id_col).groupBy(id_col).agg(least).select(id_col, bounded_text(F.col("r.text")).alias("text"), "r.y").orderBy(id_col).collect()
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, each: int = TEXTS_EACH, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> ByteConv:

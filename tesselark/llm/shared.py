@@ -56,3 +56,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of the value as text, modulo ``n``."""
     return F.crc32(column.cast("string").cast("binary")) % n
+
+
+#: Characters of a text that a model is fitted on, and pieces that a longer one is told by.
+TEXT_CHARS, TEXT_PIECES = 32768, 16
+
+
+def bounded_text(text: Column) -> Column:
+    """A text for a training sample: itself, or where it is longer than TEXT_CHARS, pieces spread evenly over all of it.
+
+    So a sample of so many texts is bounded in bytes too, before it leaves the
+    tasks.  Scoring reads whole texts.
+    """
+    size = TEXT_CHARS // TEXT_PIECES
+    at = lambda k: F.floor((F.length(text) - size) * k / (TEXT_PIECES - 1)).cast("int") + 1
+    pieces = F.concat_ws(" ", *[F.substring(text, at(k), F.lit(size)) for k in range(TEXT_PIECES)])
+    return F.when(F.length(text) > TEXT_CHARS, pieces).otherwise(text)

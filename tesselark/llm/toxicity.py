@@ -92,8 +92,10 @@ def features(data: np.ndarray, ends: np.ndarray, lexicon: tuple[np.ndarray, np.n
     at_second, at_hit = np.flatnonzero(second), np.flatnonzero(hit_any)
     if len(at_second) and len(at_hit):
         i = np.searchsorted(at_second, at_hit)
-        for j in (np.maximum(i - 1, 0), np.minimum(i, len(at_second) - 1)):
-            near = (np.abs(at_second[j] - at_hit) <= NEAR) & (owner[at_second[j]] == owner[at_hit])
+        for j in (i - 1, i):  # the second-person word before, and the one from here on
+            there = (j >= 0) & (j < len(at_second))
+            j = np.where(there, j, 0)
+            near = there & (np.abs(at_second[j] - at_hit) <= NEAR) & (owner[at_second[j]] == owner[at_hit])
             out[:, 8] += np.bincount(owner[at_hit], near, n) * per
     size_of = np.maximum(np.diff(ends), 1)
 
@@ -118,6 +120,8 @@ def features(data: np.ndarray, ends: np.ndarray, lexicon: tuple[np.ndarray, np.n
         out[:, 15] = np.bincount(who, (letters >= 2) & (masked > 0) & (masked <= 3) & (letters > masked), n) / tokens
         same = np.zeros(len(data), bool)
         same[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & letter[2:]
+        for k in (0, 1):  # a run of three lies in one text
+            same[np.minimum(ends[:-1] + k, len(data) - 1)] = False
         out[:, 16] = rate(same)
     out[:, 17] = np.log1p(words)
     return out
@@ -248,8 +252,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, each: int = TEXTS_
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id_col, score (0 to 1) and predicted (1 from ``threshold`` on) of each whole text.
 
-    A null text counts as empty, and an empty one is scored like any other.
-    Null ids and repeated rows stay; other columns are ignored.
+    A null text counts as empty, and an empty one is scored like any other; a
+    text is read whole, however long: a task holds its words' hashes.  Null ids
+    and repeated rows stay; an empty table gives no rows; other columns are
+    ignored.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.trees.base, model.trees.rate, model.trees.trees, model.curve))
