@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import heapq
 from bisect import insort
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,21 +17,53 @@ from tesselark.operators.running import checkpointed
 
 
 #: Classes of the character before, from 1 on: white space, small letters, capitals, digits, others (0 is a text's start).
-CLASSES = (r"[ \n]", "[a-z]", "[A-Z]", "[0-9]", r"[^ \na-zA-Z0-9]")
+CLASSES = (" \n", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
+#: Characters that are looked at together.
+TOGETHER = 1 << 20
+
+
+def _class_table() -> np.ndarray:
+    out = np.full(129, len(CLASSES) + 1, np.int64)  # the last place stands for all beyond ASCII
+    for k, members in enumerate(CLASSES, 1):
+        out[[ord(c) for c in members]] = k
+    return out
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(context, value, n) of some texts' characters; a text of any length goes through in pieces."""
+    table = _class_table()
+
+    def counted(pieces: list[str], before: list[int]) -> pa.RecordBatch:
+        size = np.array([len(p) for p in pieces])
+        code = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4").astype(np.int64)
+        context = table[np.minimum(np.roll(code, 1), 128)]
+        context[(np.cumsum(size) - size)] = before
+        kinds, n = np.unique(context << 32 | code, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(kinds >> 32), pa.array(kinds & 0xFFFFFFFF), pa.array(n)], ["context", "value", "n"])
+
+    for batch in batches:
+        pieces, before, held = [], [], 0
+        for text in batch.column(0):
+            text = text.as_py() or ""
+            for at in range(0, len(text), TOGETHER):
+                pieces.append(text[at : at + TOGETHER])
+                before.append(int(table[min(ord(text[at - 1]), 128)]) if at else 0)
+                held += len(pieces[-1])
+                if held >= TOGETHER:
+                    yield counted(pieces, before)
+                    pieces, before, held = [], [], 0
+        if pieces:
+            yield counted(pieces, before)
 
 
 def characters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts as token streams: (context, value, n) with context the class of the character before.
 
-    The characters behind each class are taken out by one expression a class, in
-    the task that reads the text, and counted there, so only counts move.
+    A value is a code point.  Each task counts pairs where it reads the texts,
+    so only counts move.  Null and empty texts have no characters.
     """
-    text = F.col(text_col)
-    streams = [F.when(F.length(text) > 0, F.array(F.substring(text, 1, 1)))]
-    streams += [F.regexp_extract_all(text, F.lit(f"(?s)(?<={c})."), F.lit(0)) for c in CLASSES]
-    rows = docs.select(F.inline(F.array(*[F.struct(F.lit(k).cast("long").alias("context"), c.alias("c")) for k, c in enumerate(streams)])))
-    counts = rows.select("context", F.explode("c").alias("c")).groupBy("context", "c").agg(F.count("*").alias("n"))
-    return counts.groupBy("context", F.ascii("c").cast("long").alias("value")).agg(F.sum("n").alias("n"))
+    counts = docs.select(text_col).mapInArrow(_pair_counts, "context long, value long, n long")
+    return counts.groupBy("context", "value").agg(F.sum("n").alias("n"))
 
 
 def clustered(counts: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -3,26 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def dct_basis(spark: SparkSession, n: int = 8) -> DataFrame:
-    """Orthonormal DCT-II basis (k, i, b): n * n rows, a fixed table."""
-    rows = [(k, i, math.sqrt((1 if k == 0 else 2) / n) * math.cos(math.pi * k * (2 * i + 1) / (2 * n))) for k in range(n) for i in range(n)]
-    return spark.createDataFrame(rows, "k int, i int, b double")
-
-
-def _along(rows: DataFrame, basis: DataFrame, place: str, forward: bool) -> DataFrame:
-    """One pass of the transform along ``place`` (v or u within a block)."""
-    at, to = ("i", "k") if forward else ("k", "i")
-    other = "u" if place == "v" else "v"
-    joined = rows.join(F.broadcast(basis), F.col(place) == F.col(at))
-    return joined.groupBy("by", "bx", other, F.col(to).alias("new")).agg(F.sum(F.col("value") * F.col("b")).alias("value")).withColumnRenamed("new", place)
+def dct_basis(n: int = 8) -> np.ndarray:
+    """Orthonormal DCT-II basis (frequency, place)."""
+    return np.array([[math.sqrt((1 if k == 0 else 2) / n) * math.cos(math.pi * k * (2 * i + 1) / (2 * n)) for i in range(n)] for k in range(n)])
 
 
 def blocks(plane: DataFrame, n: int = 8, wide: int | None = None) -> DataFrame:
@@ -34,10 +27,37 @@ def blocks(plane: DataFrame, n: int = 8, wide: int | None = None) -> DataFrame:
 def dct(rows: DataFrame, n: int = 8, forward: bool = True, wide: int | None = None) -> DataFrame:
     """Two-dimensional DCT of whole blocks (by, bx, v, u, value) of ``n`` rows and ``wide`` columns, or its inverse.
 
-    The bases are broadcast: n * n and wide * wide rows.
+    Blocks come together in one shuffle; a task takes as many as a batch holds
+    through two matrix products.  A block that lacks samples is an error.
     """
-    spark = rows.sparkSession
-    return _along(_along(rows, dct_basis(spark, wide or n), "u", forward), dct_basis(spark, n), "v", forward)
+    m = wide or n
+    tall, flat = dct_basis(n), dct_basis(m)
+    if not forward:
+        tall, flat = tall.T, flat.T
+    place_v, place_u = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []
+        for batch in batches:
+            held = pa.Table.from_batches([*left, batch])
+            count = held.num_rows // (n * m)
+            left = held.slice(count * n * m).to_batches()
+            if not count:
+                continue
+            whole = held.slice(0, count * n * m).combine_chunks()
+            columns = {c: whole.column(c).to_numpy().reshape(count, n * m) for c in whole.column_names}
+            if (columns["v"] != place_v).any() or (columns["u"] != place_u).any():
+                raise ValueError("a block lacks samples")
+            value = tall @ columns["value"].reshape(count, n, m) @ flat.T
+            out = whole.set_column(whole.column_names.index("value"), "value", pa.array(value.ravel()))
+            yield from out.to_batches()
+        if left:
+            raise ValueError("a block lacks samples")
+
+    names = ["by", "bx", "v", "u", "value"]
+    kinds = dict(rows.dtypes)
+    whole = rows.select(*names[:4], F.col("value").cast("double").alias("value")).repartition("by", "bx").sortWithinPartitions(*names[:4])
+    return whole.mapInArrow(run, ", ".join(f"{c} {kinds[c] if c != 'value' else 'double'}" for c in names))
 
 
 def quantize(value: Column, step: Column | float, dead_zone: float = 0.58) -> Column:

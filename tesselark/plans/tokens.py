@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselark.functions import pointwise as pw
 from tesselark.operators import blocks, histograms, orderstats, prediction, running, selection
-from tesselark.plans.grids import EMB, r6
+from tesselark.plans.grids import EMB, _rect, _rect_sql, r6
 from tesselark.sources import planes
 from tesselark.sources.planes import table
 
@@ -61,15 +61,17 @@ def zero_count_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderstats.zero_count_order(blocks.zero_counts(p, ["pos"]), pinned=4)
 
 
-@query("""
-    WITH c AS (SELECT i // 32 AS y, i % 32 AS x FROM (SELECT unnest(range(512)) AS i)),
+@query(f"""
+    WITH t AS ({_rect_sql(16, 32)}), c AS (SELECT DISTINCT v AS y, u AS x FROM t),
     d AS (SELECT y, x, x + 2 * y AS d, x < 4 AND y < 2 AS low FROM c),
-    k AS (SELECT *, CASE WHEN (CASE WHEN d < 32 THEN d ELSE 62 - d END) % 2 = 0 THEN x ELSE 2 * y END AS along FROM d)
-    SELECT y, x, row_number() OVER (ORDER BY low DESC, CASE WHEN low THEN y ELSE d END, CASE WHEN low THEN x ELSE along END) - 1 AS rank FROM k
+    k AS (SELECT *, CASE WHEN (CASE WHEN d < 32 THEN d ELSE 62 - d END) % 2 = 0 THEN x ELSE 2 * y END AS along FROM d),
+    r AS (SELECT y, x, row_number() OVER (ORDER BY low DESC, CASE WHEN low THEN y ELSE d END, CASE WHEN low THEN x ELSE along END) - 1 AS rank FROM k)
+    SELECT t."by", t.bx, r.rank, t.value FROM t JOIN r ON r.y = t.v AND r.x = t.u
 """)
 def natural_scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan order of a transform four blocks wide and two high."""
-    return orderstats.natural_order(spark, 4, 2)
+    """The plane's coefficients in the scan order of a transform four blocks wide and two high."""
+    order = F.broadcast(orderstats.natural_order(spark, 4, 2).withColumnsRenamed({"y": "v", "x": "u"}))  # 512 places
+    return _rect(spark, sf_dir, 16, 32).join(order, ["v", "u"]).select("by", "bx", "rank", "value")
 
 
 @query("""

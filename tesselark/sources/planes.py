@@ -45,12 +45,18 @@ def padded(plane: DataFrame, size: tuple[int, int], n: int = 8) -> DataFrame:
 
 
 def synthetic_texture(spark: SparkSession, width: int, height: int) -> DataFrame:
-    """A closed-form linear RGB test image: y, x, c0, c1, c2."""
+    """A closed-form linear RGB test image: y, x, c0, c1, c2, between 0 and 1.
+
+    A slow wave along each diagonal, a ramp, and a chequered grain that a hash
+    of the place gives.
+    """
     i = F.col("id")
     y, x = F.expr(f"id div {width}"), i % width
-    u, v = x / F.lit(max(1, width - 1)), y / F.lit(max(1, height - 1))
-    t = ((13 * x + 17 * y + (x.bitwiseXOR(y) % 29)) % 97) / F.lit(1024.0)
-    return spark.range(width * height).select(y.alias("y"), x.alias("x"), (0.025 + 0.72 * u + t).alias("c0"), (0.020 + 0.64 * v + t).alias("c1"), (0.030 + 0.30 * u + 0.38 * v + t).alias("c2"))
+    rising, falling = F.sin((x + y) / 9.0), F.sin((x - y) / 23.0)
+    ramp = (x + 1) / F.lit(float(width + 1))
+    grain = (F.pmod(F.hash(y, x), F.lit(64)) + 8 * ((x + y) % 2)) / 720.0
+    each = {"c0": 0.4 + 0.2 * rising + 0.1 * ramp, "c1": 0.45 + 0.2 * falling + 0.1 * ramp, "c2": 0.5 + 0.15 * rising * falling}
+    return spark.range(width * height).select(y.alias("y"), x.alias("x"), *[(v + grain).alias(c) for c, v in each.items()])
 
 
 def parse_pfm(data: bytes) -> np.ndarray:

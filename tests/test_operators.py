@@ -213,7 +213,49 @@ def test_images_are_read_by_spark(spark, tmp_path):
     for bad in (b"P5\n2 2\n255\nabc", b"P5\n2 2\n255\nabcde"):
         with pytest.raises(ValueError):
             planes.parse_pnm(bad)
-    assert planes.synthetic_texture(spark, 5, 4).count() == 20
+
+
+def test_texture_is_a_function_of_the_place(spark):
+    a = {(r.y, r.x): (r.c0, r.c1, r.c2) for r in planes.synthetic_texture(spark, 9, 7).repartition(3).collect()}
+    b = {(r.y, r.x): (r.c0, r.c1, r.c2) for r in planes.synthetic_texture(spark, 9, 7).collect()}
+    assert a == b and set(a) == {(y, x) for y in range(7) for x in range(9)}
+    assert all(0 < v < 1 for c in a.values() for v in c) and len(set(a.values())) == 63
+
+
+def test_dct_of_whole_blocks_takes_one_shuffle(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(32, 48))
+    rows = transforms.blocks(grid(spark, a).withColumn("value", F.col("value").cast("double")), 16, 8).repartition(5)
+    found = transforms.dct(rows, 16, wide=8)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    basis = {n: np.array([[np.sqrt((1 if k == 0 else 2) / n) * np.cos(np.pi * k * (2 * i + 1) / (2 * n)) for i in range(n)] for k in range(n)]) for n in (8, 16)}
+    want = {(by, bx): basis[16] @ a[16 * by : 16 * by + 16, 8 * bx : 8 * bx + 8] @ basis[8].T for by in range(2) for bx in range(6)}
+    got = found.collect()
+    assert len(got) == a.size and all(abs(r.value - want[r["by"], r.bx][r.v, r.u]) < 1e-9 for r in got)
+    back = {(r["by"], r.bx, r.v, r.u): r.value for r in transforms.dct(found, 16, forward=False, wide=8).collect()}
+    assert all(abs(back[y // 16, x // 8, y % 16, x % 8] - a[y, x]) < 1e-9 for y in range(32) for x in range(48))
+    with pytest.raises(Exception, match="lacks samples"):
+        transforms.dct(rows.where("v <> 3 or u <> 2"), 16, wide=8).collect()
+    assert transforms.dct(rows.limit(0), 16, wide=8).count() == 0
+
+
+@pytest.mark.parametrize("together", [1, 3, 7, 1 << 20])
+def test_characters_of_texts_cut_into_pieces(monkeypatch, together):
+    import pyarrow as pa
+
+    monkeypatch.setattr(histograms, "TOGETHER", together)
+    texts = ["", None, "aB3 \nç😀z", "x", "no\tend " * 5]
+    want = {}
+    for t in texts:
+        before = 0
+        for c in t or "":
+            want[before, ord(c)] = want.get((before, ord(c)), 0) + 1
+            before = 1 if c in " \n" else 2 if "a" <= c <= "z" else 3 if "A" <= c <= "Z" else 4 if "0" <= c <= "9" else 5
+    got = {}
+    for b in histograms._pair_counts(iter([pa.RecordBatch.from_arrays([pa.array(texts[:3])], ["t"]), pa.RecordBatch.from_arrays([pa.array(texts[3:])], ["t"])])):
+        for c, v, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            got[c, v] = got.get((c, v), 0) + n
+    assert got == want
 
 
 def test_running_counts_of_a_stream(spark, tmp_path):
