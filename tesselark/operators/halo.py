@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselark.functions.pointwise import CLAMP_SLOPE, SUPPRESS, SUPPRESS_LEAST
+from tesselark.operators.stencils import CHANNEL_SCALE, DIAMOND, EDGE_SCALE, LEAST_SIGMA, PLUS, SIGMA_SCALE
+
 #: Rows and columns of a tile.
 TILE = 256
 
@@ -27,6 +30,7 @@ def over_tiles(plane: DataFrame, inputs: list[str], outputs: list[str], halo: in
     names; samples nearer than ``halo`` to a side that is not the plane's edge
     may be wrong.  The plane (y, x from 0) has no gaps.
     """
+
     def tiles(at: str) -> F.Column:
         """Tiles whose halo holds the place: those from the one at the place less the halo to the one at it plus the halo."""
         return F.explode(F.sequence(F.floor((F.col(at) - halo) / tile).cast("long"), F.floor((F.col(at) + halo) / tile).cast("long")))
@@ -95,7 +99,6 @@ LOW_SCALE, LOW_Y_TO_B = (33.832837186260, 14.458268100570, 49.87984651440), -0.3
 MEDIUM_REMOVED, MEDIUM_AMPLIFIED = 0.29, 0.1
 HIGH_REMOVED, HIGH_CLAMP, HIGH_SCALE, HIGH_AMPLIFIED = 1.5, 28.4691806922, 2.155, 0.132
 ULTRA_REMOVED, ULTRA_CLAMP, ULTRA_SCALE = 0.04, 5.19175294647, 2.69313763794
-CLAMP_SLOPE, SUPPRESS, SUPPRESS_LEAST = 0.724216145665, 46.0, 0.653020556257
 #: What the bands take around a sample.
 BANDS_HALO = radius(LOW) + radius(HIGH) + radius(ULTRA)
 BANDS = ("low_x", "low_y", "low_b", "medium_x", "medium_y", "medium_b", "high_x", "high_y", "ultra_x", "ultra_y")
@@ -168,3 +171,53 @@ def adapted(intensity: float) -> Callable[[list[np.ndarray]], list[np.ndarray]]:
 def adapted_colours(pixels: DataFrame, intensity: float = 80.0, tile: int = TILE) -> DataFrame:
     """(y, x, c0, c1, c2): difference and sum of the first two adapted receptors, and the third, of linear light (same columns)."""
     return over_tiles(pixels, ["c0", "c1", "c2"], ["c0", "c1", "c2"], radius(ADAPT_BLUR), adapted(intensity), tile)
+
+
+# Fixed values of the edge-preserving filter: what differences count in its first and last pass.
+FIRST_SCALE, LAST_SCALE = 0.9, 6.5
+#: Rows and columns of a block.
+BLOCK = 8
+#: Passes: neighbours that are mixed in, places that are compared, and what the block's inverse sigma is scaled by.
+PASSES = ((DIAMOND, PLUS, FIRST_SCALE), (PLUS, PLUS, 1.0), (PLUS, [(0, 0)], LAST_SCALE))
+#: Passes of a filter of one, two and three iterations.
+ITERATIONS = {1: PASSES[1:2], 2: PASSES[1:], 3: PASSES}
+
+
+def filtered(iterations: int) -> Callable[[list[np.ndarray]], list[np.ndarray]]:
+    """Channels after the filter's passes, from three channels and each sample's inverse sigma; arrays begin at a block."""
+
+    def one(channels: np.ndarray, sigma: np.ndarray, mixed: list, compared: list, scale: float) -> np.ndarray:
+        h, w = sigma.shape
+        reach = max(abs(a) + abs(b) for d in mixed for o in compared for a, b in ((d[0] + o[0], d[1] + o[1]),))
+        wide = np.pad(channels, ((0, 0), (reach, reach), (reach, reach)), mode="symmetric")
+        at = lambda dy, dx: wide[:, reach + dy : reach + dy + h, reach + dx : reach + dx + w]
+        y, x = np.arange(h) % BLOCK, np.arange(w) % BLOCK
+        edge = np.isin(y, (0, BLOCK - 1))[:, None] | np.isin(x, (0, BLOCK - 1))[None]
+        unit = sigma * SIGMA_SCALE * scale * np.where(edge, EDGE_SCALE, 1.0)
+        total, out = np.ones((h, w)), channels.copy()
+        for dy, dx in mixed:
+            if dy or dx:
+                gap = sum(np.tensordot(CHANNEL_SCALE, np.abs(at(a, b) - at(a + dy, b + dx)), 1) for a, b in compared)
+                weight = np.maximum(gap * unit + 1, 0)
+                total += weight
+                out += weight * at(dy, dx)
+        return np.where(sigma < LEAST_SIGMA, channels, out / total)
+
+    def work(arrays: list[np.ndarray]) -> list[np.ndarray]:
+        channels, sigma = np.stack(arrays[:3]), arrays[3]
+        for mixed, compared, scale in ITERATIONS[iterations]:
+            channels = one(channels, sigma, mixed, compared, scale)
+        return list(channels)
+
+    return work
+
+
+def edge_preserving(pixels: DataFrame, iterations: int = 3, tile: int = TILE) -> DataFrame:
+    """(y, x, c0, c1, c2) after one to three passes of the edge-preserving filter, in one shuffle.
+
+    ``pixels`` has y, x, three channels and sigma, the (negative) inverse sigma
+    of a sample's block.  A pass mixes a sample with its neighbours, weighted by
+    how alike their surroundings are; samples of blocks below the least sigma
+    stay.  Edges are mirrored.  ``tile`` is a multiple of 8.
+    """
+    return over_tiles(pixels, ["c0", "c1", "c2", "sigma"], ["c0", "c1", "c2"], BLOCK, filtered(iterations), tile)

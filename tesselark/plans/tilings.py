@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesselark.operators import adaptive, halo, tilings
 from tesselark.plans.fields import _OPSIN, _opsin
-from tesselark.plans.grids import EMB, mirrored, r6, values_of
+from tesselark.plans.grids import EMB, EVT, SIZE, mirrored, pulled, r6, values_of
 from tesselark.sources import planes
 
 QUERIES: dict = {}
@@ -295,3 +295,35 @@ def adapted_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adapted opponent colours of light made of the events' channels, tiles of 64 rows and columns."""
     light = _opsin(spark, sf_dir).select("y", "x", F.col("c1").alias("c0"), (F.col("c1") * 0.7 + 0.01).alias("c1"), F.abs("c2").alias("c2"))
     return r6(halo.adapted_colours(light, tile=64), "c0", "c1", "c2")
+
+
+_SIGMA = "CASE WHEN (y // 8 + x // 8) % 5 = 4 THEN -5.0::DOUBLE ELSE -0.02::DOUBLE * (1 + (y // 8 + x // 8) % 5) END"
+
+
+def _pass_sql(source: str, name: str, mixed: list, compared: list, scale: float) -> str:
+    """One pass: a sample's surroundings as columns, then weights, then means."""
+    places = sorted({(dy + a, dx + b) for dy, dx in [*mixed, (0, 0)] for a, b in [*compared, (0, 0)]})
+    p = {d: f"p{i}" for i, d in enumerate(places)}
+    others = [d for d in mixed if d != (0, 0)]
+    columns = ", ".join(f"max(q.c{c}) FILTER (t.i = {i}) AS p{i}c{c}" for i in range(len(places)) for c in range(3))
+    unit = f"sigma * {halo.SIGMA_SCALE * scale!r} * CASE WHEN y % 8 IN (0, 7) OR x % 8 IN (0, 7) THEN {halo.EDGE_SCALE!r} ELSE 1.0 END"
+    gaps = lambda d: " + ".join(f"abs({p[o]}c{c} - {p[d[0] + o[0], d[1] + o[1]]}c{c}) * {halo.CHANNEL_SCALE[c]}::DOUBLE" for c in range(3) for o in compared)
+    weights = ", ".join(f"greatest(0.0, ({gaps(d)}) * {unit} + 1.0) AS w{i}" for i, d in enumerate(others))
+    total = " + ".join(f"w{i}" for i in range(len(others)))
+    means = ", ".join(f"CASE WHEN sigma < {halo.LEAST_SIGMA!r} THEN {p[0, 0]}c{c} ELSE ({p[0, 0]}c{c} + " + " + ".join(f"w{i} * {p[d]}c{c}" for i, d in enumerate(others)) + f") / (1.0 + {total}) END AS c{c}" for c in range(3))
+    near = pulled(source, [(dy, dx, i) for i, (dy, dx) in enumerate(places)], "dy, dx, i", "mirror")
+    return f"""{name}_n AS MATERIALIZED (SELECT t.y, t.x, {columns} FROM {near} GROUP BY t.y, t.x),
+        {name}_g AS (SELECT *, {_SIGMA} AS sigma FROM {name}_n), {name}_w AS (SELECT *, {weights} FROM {name}_g), {name} AS MATERIALIZED (SELECT y, x, {means} FROM {name}_w)"""
+
+
+@query(f"""
+    WITH {EVT}, {SIZE.format(t='e')}, e3 AS MATERIALIZED (SELECT y, x, value / 1000 AS c0, value / 500 AS c1, (value % 7) / 10 AS c2 FROM e),
+    {', '.join(_pass_sql(('e3', 'f0', 'f1')[i], f'f{i}', *p) for i, p in enumerate(halo.PASSES))}
+    SELECT y, x, round(c0, 6) + 0.0 AS c0, round(c1, 6) + 0.0 AS c1, round(c2, 6) + 0.0 AS c2 FROM f2
+""")
+def edge_preserving_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three passes of the filter over the events' plane, tiles of 64 rows and columns."""
+    v, step = F.col("value"), (F.expr("y div 8") + F.expr("x div 8")) % 5
+    sigma = F.when(step == 4, -5.0).otherwise(F.lit(-0.02) * (1 + step))
+    e = planes.event_plane(spark, sf_dir).select("y", "x", (v / 1000).alias("c0"), (v / 500).alias("c1"), ((v % 7) / 10).alias("c2"), sigma.alias("sigma"))
+    return r6(halo.edge_preserving(e, tile=64), "c0", "c1", "c2")

@@ -227,3 +227,41 @@ def test_empty_tables(spark):
     field = spark.createDataFrame([], "by long, bx long, quant double, x_factor double, b_factor double")
     costs = tilings.shape_costs(pixels, field, 1.0)
     assert costs.count() == 0 and tilings.place_shapes(costs, 1.0).count() == 0 and halo.frequency_bands(pixels).count() == 0
+
+
+def plain_filter(channels, sigma, mixed, compared, scale):
+    h, w = sigma.shape
+    fold = lambda k, n: -1 - k if k < 0 else 2 * n - 1 - k if k >= n else k
+    at = lambda c, y, x: channels[c][fold(y, h), fold(x, w)]
+    out = channels.copy()
+    for y in range(h):
+        for x in range(w):
+            if sigma[y, x] < halo.LEAST_SIGMA:
+                continue
+            unit = sigma[y, x] * halo.SIGMA_SCALE * scale * (halo.EDGE_SCALE if y % 8 in (0, 7) or x % 8 in (0, 7) else 1)
+            total, sums = 1.0, [channels[c][y, x] for c in range(3)]
+            for dy, dx in mixed:
+                if (dy, dx) != (0, 0):
+                    gap = sum(halo.CHANNEL_SCALE[c] * abs(at(c, y + a, x + b) - at(c, y + dy + a, x + dx + b)) for c in range(3) for a, b in compared)
+                    weight = max(0.0, 1 + gap * unit)
+                    total += weight
+                    sums = [s + weight * at(c, y + dy, x + dx) for c, s in enumerate(sums)]
+            for c in range(3):
+                out[c, y, x] = sums[c] / total
+    return out
+
+
+@pytest.mark.parametrize("iterations", [1, 2, 3])
+def test_edge_preserving_passes(spark, iterations):
+    rng = np.random.default_rng(iterations)
+    h, w = 24, 21
+    channels = rng.normal(0, 0.01, (3, h, w)).cumsum(1)
+    blocks = rng.choice([-0.05, -0.3, -1.0, -5.0], (3, 3))
+    sigma = np.repeat(np.repeat(blocks, 8, 0), 8, 1)[:h, :w]
+    rows = [(y, x, *[float(c[y, x]) for c in channels], float(sigma[y, x])) for y in range(h) for x in range(w)]
+    pixels = spark.createDataFrame(rows, "y long, x long, c0 double, c1 double, c2 double, sigma double")
+    want = channels
+    for p in halo.ITERATIONS[iterations]:
+        want = plain_filter(want, sigma, *p)
+    for r in halo.edge_preserving(pixels, iterations, tile=8).collect():
+        assert (r.c0, r.c1, r.c2) == pytest.approx(tuple(want[:, r.y, r.x].tolist()), abs=1e-12)
