@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselark.functions import pointwise as pw
-from tesselark.operators import halo, orderstats, tilings
+from tesselark.operators import halo, metric, orderstats, tilings
 from tesselark.operators.fields import BLUE_LIMIT, BLUE_MOST, BLUE_OFFSET, BLUE_SLOPE, GAMMA_BIAS, GAMMA_CUBE, GAMMA_REST, GAMMA_SLOPE, GAMMA_SMALL, GAMMA_TOP, HIGH_LIMIT, HIGH_OFFSET, HIGH_SLOPE
 from tesselark.operators.running import Written
 from tesselark.operators.stencils import erosion_weights
@@ -188,9 +188,8 @@ def coded_tiles(pixels: DataFrame, field: DataFrame) -> DataFrame:
 
 
 def seen_error(channels: list[np.ndarray]) -> list[np.ndarray]:
-    """How far three channels and three others are apart in all bands, for each sample."""
-    gaps = [a - b for a, b in zip(halo.bands_of(channels[:3]), halo.bands_of(channels[3:]), strict=True)]
-    return [np.sqrt(sum(g * g for g in gaps))]
+    """How different three channels and three others look, for each sample."""
+    return [metric.band_difference(halo.bands_of(channels[:3]), halo.bands_of(channels[3:]))]
 
 
 def coding_distance(pixels: DataFrame, light: float, tile: int = halo.TILE) -> Callable[[DataFrame], DataFrame]:
@@ -203,7 +202,7 @@ def coding_distance(pixels: DataFrame, light: float, tile: int = halo.TILE) -> C
     def evaluate(field: DataFrame) -> DataFrame:
         rows = coded_tiles(pixels, field)
         rows = rows.select("y", "x", *[(F.col(c) * light).alias(c) for c in rows.columns[2:]])
-        error = halo.over_tiles(rows, rows.columns[2:], ["error"], halo.BANDS_HALO, seen_error, tile)
+        error = halo.over_tiles(rows, rows.columns[2:], ["error"], halo.BANDS_HALO + metric.STAGES_HALO, seen_error, tile)
         of_block = error.groupBy(F.expr(f"y div {BLOCK}").alias("by"), F.expr(f"x div {BLOCK}").alias("bx")).agg(F.avg(F.pow("error", F.lit(16.0))).alias("power"))
         of_shape = field.join(of_block, ["by", "bx"]).groupBy("ay", "ax").agg((1.2 * F.pow(F.avg("power"), F.lit(1 / 16))).alias("distance"))
         return field.join(of_shape, ["ay", "ax"]).select("by", "bx", "distance")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselark.operators import adaptive, halo, tilings
+from tesselark.operators import adaptive, halo, metric, tilings
 from tesselark.plans.fields import _OPSIN, _opsin
 from tesselark.plans.grids import EMB, EVT, SIZE, mirrored, pulled, r6, values_of
 from tesselark.sources import planes
@@ -327,3 +327,11 @@ def edge_preserving_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sigma = F.when(step == 4, -5.0).otherwise(F.lit(-0.02) * (1 + step))
     e = planes.event_plane(spark, sf_dir).select("y", "x", (v / 1000).alias("c0"), (v / 500).alias("c1"), ((v % 7) / 10).alias("c2"), sigma.alias("sigma"))
     return r6(halo.edge_preserving(e, tile=64), "c0", "c1", "c2")
+
+
+@query()
+def visible_difference_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How different light made of the events' channels and its coarse steps look, over two scales."""
+    light = _opsin(spark, sf_dir).select("y", "x", F.col("c1").alias("c0"), (F.col("c1") * 0.7 + 0.01).alias("c1"), F.abs("c2").alias("c2"))
+    both = light.select("*", *[(F.rint(F.col(f"c{i}") * 24) / 24).alias(f"r{i}") for i in range(3)])
+    return r6(metric.visible_difference(both, tile=128), "difference")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesselark.operators import adaptive, halo, tilings
+from tesselark.operators import adaptive, halo, metric, tilings
 from tesselark.operators.tilings import BY_NAME
 
 
@@ -120,7 +120,7 @@ def test_whole_evaluation_on_a_small_plane(spark):
             kept[c] = np.rint(value / step) * step + (kept[1] if c == 2 else 0)
             left[c][cell] = tilings.basis(n).T @ kept[c] @ tilings.basis(m) * math.sqrt(n * m)
     bands = [halo.bands_of([p * 90 for p in side]) for side in (planes, left)]
-    error = np.sqrt(sum((a - b) ** 2 for a, b in zip(*bands, strict=True)))
+    error = metric.band_difference(*bands)
     for y, x, name, ay, ax in rows:
         s = BY_NAME[name]
         part = error[8 * ay : 8 * (ay + s.rows), 8 * ax : 8 * (ax + s.cols)]
