@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselark.functions.pointwise import CLAMP_SLOPE, SUPPRESS, SUPPRESS_LEAST
+from tesselark.operators.fields import SIGMA_LEAST, SIGMA_UNIT
 from tesselark.operators.stencils import CHANNEL_SCALE, DIAMOND, EDGE_SCALE, LEAST_SIGMA, PLUS, SIGMA_SCALE
 
 #: Rows and columns of a tile.
@@ -221,3 +222,53 @@ def edge_preserving(pixels: DataFrame, iterations: int = 3, tile: int = TILE) ->
     stay.  Edges are mirrored.  ``tile`` is a multiple of 8.
     """
     return over_tiles(pixels, ["c0", "c1", "c2", "sigma"], ["c0", "c1", "c2"], BLOCK, filtered(iterations), tile)
+
+
+# Fixed values of the sharpness search: candidates near and far, their border, what no smoothing gains, and what errors weigh.
+SHARPNESSES, FAR_SHARPNESSES, FAR_TARGET = (0, 2, 7), (0, 4), 4.5
+PLAIN_LEAST, PLAIN_BASE, PLAIN_MOST = 0.85970338919928291, 0.98017198824148288, 5.0
+BLOCK_ERROR = (12.339445295782363, 1.0, 0.2)
+#: Sharpness where no search is worth it: below this target.
+DEFAULT_SHARPNESS, LEAST_TARGET = 4, 0.5
+
+
+def inverse_sigma(level: np.ndarray, sharpness: int, strength: float = 0.46) -> np.ndarray:
+    """The filter's inverse width at a level (positive) and a sharpness from 0 to 7."""
+    return 1 / np.minimum(SIGMA_LEAST, strength / (level * SIGMA_UNIT) * sharpness / 7)
+
+
+def sharpness_errors(candidates: tuple[int, ...], iterations: int) -> Callable[[list[np.ndarray]], list[np.ndarray]]:
+    """The weighted error of each candidate's filter, from original and restored channels, a mask and levels."""
+    work_one = filtered(iterations)
+
+    def work(arrays: list[np.ndarray]) -> list[np.ndarray]:
+        first, restored, mask, level = arrays[:3], arrays[3:6], arrays[6], arrays[7]
+        out = []
+        for s in candidates:
+            found = work_one([*restored, inverse_sigma(level, s)])
+            out.append(mask**2 * sum(w * (a - b) ** 2 for w, a, b in zip(BLOCK_ERROR, first, found, strict=True)))
+        return out
+
+    return work
+
+
+def sharpness_search(pixels: DataFrame, target: float, iterations: int = 2, tile: int = TILE) -> DataFrame:
+    """(by, bx, sharpness): for each block the filter that restores it best, all candidates in one shuffle.
+
+    ``pixels`` has y, x, original channels c0 to c2, restored ones r0 to r2, a
+    mask and the level of a sample's block.  A candidate filters the whole
+    plane; no smoothing wins unless another one is better by some margin.
+    """
+    blocks = F.expr(f"y div {BLOCK}").alias("by"), F.expr(f"x div {BLOCK}").alias("bx")
+    if target < LEAST_TARGET:
+        return pixels.select(*blocks).distinct().withColumn("sharpness", F.lit(DEFAULT_SHARPNESS))
+    candidates = FAR_SHARPNESSES if target > FAR_TARGET else SHARPNESSES
+    names = [f"e{s}" for s in candidates]
+    inputs = ["c0", "c1", "c2", "r0", "r1", "r2", "mask", "level"]
+    errors = over_tiles(pixels, inputs, names, BLOCK, sharpness_errors(candidates, iterations), tile)
+    of_block = errors.groupBy(*blocks).agg(*[F.sum(n).alias(n) for n in names])
+    plain = max(PLAIN_LEAST, PLAIN_BASE ** min(PLAIN_MOST, target))
+    best, error = F.lit(candidates[0]), F.col(names[0]) * plain
+    for s, n in zip(candidates[1:], names[1:], strict=True):
+        best, error = F.when(F.col(n) < error, s).otherwise(best), F.least(error, F.col(n))
+    return of_block.select("by", "bx", best.cast("int").alias("sharpness"))

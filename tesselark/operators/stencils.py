@@ -76,6 +76,21 @@ def gaborish(plane: DataFrame, side: float, corner: float, size: tuple[int, int]
     return convolve(plane, taps, size)
 
 
+#: Weights of the inverse smoothing by squared distance, for a multiplier of one (fixed values).
+SHARPENING = {1: -0.09495815671340026, 2: 0.013710004822696948, 4: -0.041031725066768575, 5: 0.006510206083837737, 8: -0.0014789063378272242}
+
+
+def sharpening_taps(multiplier: float) -> list[tuple]:
+    taps = {(dy, dx): SHARPENING[dy * dy + dx * dx] * multiplier if dy or dx else 1.0 for dy in range(-2, 3) for dx in range(-2, 3)}
+    total = max(sum(taps.values()), 1e-5)
+    return [(dy, dx, w / total) for (dy, dx), w in taps.items()]
+
+
+def gaborish_inverse(plane: DataFrame, multiplier: float, size: tuple[int, int]) -> DataFrame:
+    """5x5 sharpening that nearly undoes :func:`gaborish`; weights are scaled to sum to one."""
+    return convolve(plane, sharpening_taps(multiplier), size)
+
+
 def smallest_sum(plane: DataFrame, weights: list[float], size: tuple[int, int]) -> DataFrame:
     """Weighted sum of the smallest of 3x3 (edges clamped); at most nine values are gathered for a pixel."""
     taps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]

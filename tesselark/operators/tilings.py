@@ -18,7 +18,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselark.operators.fields import dequant_matrix
+from tesselark.operators import fields
 
 #: Rows and columns of a block, and of a tile in samples.
 BLOCK, TILE = 8, 64
@@ -54,11 +54,7 @@ BY_NAME = {s.name: s for s in SHAPES}
 
 # First weight and steps of the matrices' distance bands, by matrix and channel.
 BANDS = {
-    "8x8": (
-        (3150.0, 0.0, -0.4, -0.4, -0.4, -2.0),
-        (560.0, 0.0, -0.3, -0.3, -0.3, -0.3),
-        (512.0, -2.0, -1.0, 0.0, -1.0, -2.0),
-    ),
+    "8x8": fields.BANDS,
     "8x16": (
         (7240.7734393502, -0.7, -0.7, -0.2, -0.2, -0.2, -0.5),
         (1448.15468787004, -0.5, -0.5, -0.5, -0.2, -0.2, -0.2),
@@ -97,7 +93,7 @@ def basis(n: int) -> np.ndarray:
 @lru_cache
 def weights(shape: Shape, channel: int) -> np.ndarray:
     """What a level of one stands for at each frequency of a shape."""
-    rows = dequant_matrix(BANDS[shape.matrix][channel], BLOCK * shape.rows, BLOCK * shape.cols)
+    rows = fields.dequant_matrix(BANDS[shape.matrix][channel], BLOCK * shape.rows, BLOCK * shape.cols)
     return np.array([w for _, _, w in rows]).reshape(BLOCK * shape.rows, BLOCK * shape.cols)
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselark.operators import adaptive, halo, metric, tilings
+from tesselark.operators import adaptive, halo, metric, stencils, tilings
 from tesselark.plans.fields import _OPSIN, _opsin
 from tesselark.plans.grids import EMB, EVT, SIZE, mirrored, pulled, r6, values_of
 from tesselark.sources import planes
@@ -300,7 +300,7 @@ def adapted_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIGMA = "CASE WHEN (y // 8 + x // 8) % 5 = 4 THEN -5.0::DOUBLE ELSE -0.02::DOUBLE * (1 + (y // 8 + x // 8) % 5) END"
 
 
-def _pass_sql(source: str, name: str, mixed: list, compared: list, scale: float) -> str:
+def _pass_sql(source: str, name: str, mixed: list, compared: list, scale: float, sigma: str = _SIGMA) -> str:
     """One pass: a sample's surroundings as columns, then weights, then means."""
     places = sorted({(dy + a, dx + b) for dy, dx in [*mixed, (0, 0)] for a, b in [*compared, (0, 0)]})
     p = {d: f"p{i}" for i, d in enumerate(places)}
@@ -313,7 +313,7 @@ def _pass_sql(source: str, name: str, mixed: list, compared: list, scale: float)
     means = ", ".join(f"CASE WHEN sigma < {halo.LEAST_SIGMA!r} THEN {p[0, 0]}c{c} ELSE ({p[0, 0]}c{c} + " + " + ".join(f"w{i} * {p[d]}c{c}" for i, d in enumerate(others)) + f") / (1.0 + {total}) END AS c{c}" for c in range(3))
     near = pulled(source, [(dy, dx, i) for i, (dy, dx) in enumerate(places)], "dy, dx, i", "mirror")
     return f"""{name}_n AS MATERIALIZED (SELECT t.y, t.x, {columns} FROM {near} GROUP BY t.y, t.x),
-        {name}_g AS (SELECT *, {_SIGMA} AS sigma FROM {name}_n), {name}_w AS (SELECT *, {weights} FROM {name}_g), {name} AS MATERIALIZED (SELECT y, x, {means} FROM {name}_w)"""
+        {name}_g AS (SELECT *, {sigma} AS sigma FROM {name}_n), {name}_w AS (SELECT *, {weights} FROM {name}_g), {name} AS MATERIALIZED (SELECT y, x, {means} FROM {name}_w)"""
 
 
 @query(f"""
@@ -335,3 +335,32 @@ def visible_difference_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     light = _opsin(spark, sf_dir).select("y", "x", F.col("c1").alias("c0"), (F.col("c1") * 0.7 + 0.01).alias("c1"), F.abs("c2").alias("c2"))
     both = light.select("*", *[(F.rint(F.col(f"c{i}") * 24) / 24).alias(f"r{i}") for i in range(3)])
     return r6(metric.visible_difference(both, tile=128), "difference")
+
+
+_LEVEL = "(0.1::DOUBLE + ((y // 8 * 3 + x // 8) % 7) / 4.0::DOUBLE)"
+_WIDTH = f"1 / least({halo.SIGMA_LEAST!r}::DOUBLE, 0.46::DOUBLE / ({_LEVEL} * {halo.SIGMA_UNIT!r}) * {{s}} / 7)"
+_PLAIN = max(halo.PLAIN_LEAST, halo.PLAIN_BASE**1.3)
+
+
+@query(f"""
+    WITH {EVT}, {SIZE.format(t='e')}, o3 AS MATERIALIZED (SELECT y, x, value / 1000 AS c0, value / 500 AS c1, (value % 7) / 10 AS c2 FROM e),
+    e3 AS MATERIALIZED (SELECT y, x, round_even(c0 * 60, 0) / 60 AS c0, round_even(c1 * 60, 0) / 60 AS c1, round_even(c2 * 60, 0) / 60 AS c2 FROM o3),
+    {', '.join(_pass_sql('e3', f'f{s}', *halo.PASSES[1], sigma=_WIDTH.format(s=s)) for s in halo.SHARPNESSES)},
+    b AS (SELECT o.y // 8 AS "by", o.x // 8 AS bx, {', '.join(f'sum(pow(1 + (o.y + o.x) % 3, 2) * ({halo.BLOCK_ERROR[0]!r} * pow(o.c0 - f{s}.c0, 2) + pow(o.c1 - f{s}.c1, 2) + {halo.BLOCK_ERROR[2]!r} * pow(o.c2 - f{s}.c2, 2))) AS e{s}' for s in halo.SHARPNESSES)}
+          FROM o3 o {' '.join(f'JOIN f{s} ON f{s}.y = o.y AND f{s}.x = o.x' for s in halo.SHARPNESSES)} GROUP BY 1, 2)
+    SELECT "by", bx, CAST(CASE WHEN e7 < least(e0 * {_PLAIN!r}, e2) THEN 7 WHEN e2 < e0 * {_PLAIN!r} THEN 2 ELSE 0 END AS INTEGER) AS sharpness FROM b
+""")
+def sharpness_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sharpness of each block of the events' channels, coded in steps of a sixtieth, under one pass of the filter."""
+    v = F.col("value")
+    e = planes.event_plane(spark, sf_dir).select("y", "x", (v / 1000).alias("c0"), (v / 500).alias("c1"), ((v % 7) / 10).alias("c2"))
+    level = 0.1 + ((F.expr("y div 8") * 3 + F.expr("x div 8")) % 7) / F.lit(4.0)
+    rows = e.select("*", *[(F.rint(F.col(f"c{i}") * 60) / 60).alias(f"r{i}") for i in range(3)], (1 + (F.col("y") + F.col("x")) % 3 + F.lit(0.0)).alias("mask"), level.alias("level"))
+    return halo.sharpness_search(rows, 1.3, iterations=1, tile=64)
+
+
+@query(f"WITH {EVT}, {SIZE.format(t='e')} SELECT t.y, t.x, round(sum(q.value * t.wt), 6) + 0.0 AS value FROM {pulled('e', stencils.sharpening_taps(0.9), 'dy, dx, wt', 'mirror')} GROUP BY t.y, t.x")
+def sharpened_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' plane under the inverse smoothing."""
+    e = planes.event_plane(spark, sf_dir)
+    return r6(stencils.gaborish_inverse(e, 0.9, planes.extent(e)), "value")

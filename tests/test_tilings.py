@@ -265,3 +265,34 @@ def test_edge_preserving_passes(spark, iterations):
         want = plain_filter(want, sigma, *p)
     for r in halo.edge_preserving(pixels, iterations, tile=8).collect():
         assert (r.c0, r.c1, r.c2) == pytest.approx(tuple(want[:, r.y, r.x].tolist()), abs=1e-12)
+
+
+@pytest.mark.parametrize(("target", "candidates"), [(1.0, (0, 2, 7)), (6.0, (0, 4)), (0.3, None)])
+def test_sharpness_search(spark, target, candidates):
+    rng = np.random.default_rng(6)
+    h, w = 20, 17
+    first = rng.normal(0, 0.02, (3, h, w)).cumsum(2)
+    restored = first + rng.normal(0, 0.004, first.shape)
+    mask = rng.uniform(0.5, 2, (h, w))
+    level = np.repeat(np.repeat(rng.choice([0.05, 0.4, 3.0], (3, 3)), 8, 0), 8, 1)[:h, :w]
+    rows = [(y, x, *[float(a[y, x]) for a in (*first, *restored, mask, level)]) for y in range(h) for x in range(w)]
+    pixels = spark.createDataFrame(rows, "y long, x long, " + ", ".join(f"{c} double" for c in ("c0", "c1", "c2", "r0", "r1", "r2", "mask", "level")))
+    got = {(r["by"], r.bx): r.sharpness for r in halo.sharpness_search(pixels, target, tile=8).collect()}
+    assert set(got) == {(y, x) for y in range(3) for x in range(3)}
+    if candidates is None:
+        assert set(got.values()) == {4}
+        return
+    errors = {}
+    for s in candidates:
+        sigma = np.array([[1 / min(-1e-4, 0.46 / (v * -1.1715728752538099) * s / 7) for v in r] for r in level])
+        out = restored
+        for p in halo.ITERATIONS[2]:
+            out = plain_filter(out, sigma, *p)
+        errors[s] = mask**2 * (12.339445295782363 * (first[0] - out[0]) ** 2 + (first[1] - out[1]) ** 2 + 0.2 * (first[2] - out[2]) ** 2)
+    for (y, x), s in got.items():
+        e = {k: v[8 * y : 8 * y + 8, 8 * x : 8 * x + 8].sum() for k, v in errors.items()}
+        best, least = 0, e[0] * max(0.85970338919928291, 0.98017198824148288 ** min(5.0, target))
+        for k in candidates[1:]:
+            if e[k] < least:
+                best, least = k, e[k]
+        assert s == best
