@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselark.operators import deadzones, histograms, intervals, lowfrequencies, sequences, streams, tilings
+from tesselark.operators import deadzones, fields, histograms, intervals, lowfrequencies, scans, sequences, streams, tilings
 from tesselark.plans.grids import r6
 from tesselark.plans.tilings import _MIXED, _mixed
 from tesselark.plans.tokens import _CHARS
@@ -147,3 +147,37 @@ def adjusted_quants(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = tiling.where("by = ay and bx = ax").select("ay", "ax", (3 + (F.col("ay") * 3 + F.col("ax") * 7) % 20).alias("raw"))
     found = deadzones.choose(deadzones.statistics(c, field, 0.05))
     return r6(found, *[f"zone{k}" for k in range(4)])
+
+
+_PARTS = "(VALUES " + ", ".join(f"('{s.name}', {max(s.rows, s.cols)}, {min(s.rows, s.cols)}, {str(scans.turned(s)).lower()}, {s.blocks}, {s.blocks.bit_length() - 1}, {fields.ORDER_OF[scans.STRATEGY[s.name]]})" for s in tilings.SHAPES) + ") AS s(shape, wide, high, turned, blocks, shift, family)"
+_AT = lambda values, at: f"[{', '.join(map(str, values))}][CAST({at} AS BIGINT) + 1]"
+
+
+@query(f"""
+    WITH {_MIXED}, q AS MATERIALIZED (
+        SELECT k.c AS channel, d.ay, d.ax, d.shape, s.wide, s.high, s.blocks, s.shift, s.family, CASE WHEN turned THEN u ELSE v END AS y, CASE WHEN turned THEN v ELSE u END AS x, CAST(round_even(round(value, 9) * k.f, 0) AS BIGINT) AS level
+        FROM d JOIN {_PARTS} ON s.shape = d.shape CROSS JOIN (VALUES (0, 1.5::DOUBLE), (1, 6.0::DOUBLE), (2, 3.0::DOUBLE)) AS k(c, f)),
+    z AS (SELECT *, x + y * (wide // high) AS dg, x < wide AND y < high AS low FROM q),
+    w AS (SELECT *, CASE WHEN (CASE WHEN dg < 8 * wide THEN dg ELSE 16 * wide - 2 - dg END) % 2 = 0 THEN x ELSE y * (wide // high) END AS along FROM z),
+    o2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY channel, ay, ax ORDER BY low DESC, CASE WHEN low THEN y ELSE dg END, CASE WHEN low THEN x ELSE along END) - 1 AS scan FROM w),
+    c AS MATERIALIZED (SELECT channel, ay, ax, shape, any_value(blocks) AS blocks, CAST(sum((level <> 0)::INT) AS BIGINT) AS n, any_value(family) AS family, 1 + (ay * 3 + ax * 5) % 30 AS raw FROM o2 WHERE scan >= blocks GROUP BY channel, ay, ax, shape),
+    cb AS MATERIALIZED (SELECT *, {_AT(fields.CONTEXT_OF, '(CASE channel WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END) * 13 + family')} * 2 + (raw > 12)::INT AS block FROM c),
+    bl AS (SELECT DISTINCT "by", bx, "by" - "by" % r AS ay, bx - bx % c AS ax FROM s),
+    m AS (SELECT bl."by", bl.bx, cb.*, (n + blocks - 1) // blocks AS share FROM bl JOIN cb ON cb.ay = bl.ay AND cb.ax = bl.ax),
+    l AS (SELECT *, lag(share) OVER (PARTITION BY channel, "by" // 32, bx // 32, "by" ORDER BY bx) AS lf, lag(share) OVER (PARTITION BY channel, "by" // 32, bx // 32, bx ORDER BY "by") AS tp FROM m),
+    gg AS (SELECT *, coalesce((lf + tp + 1) // 2, lf, tp, 32) AS guess FROM l WHERE "by" = ay AND bx = ax),
+    tt AS (SELECT o2.*, cb.n, cb.block, cb.n - coalesce(sum((level <> 0)::INT) OVER (PARTITION BY o2.channel, o2.ay, o2.ax ORDER BY scan ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining,
+          coalesce(lag((level <> 0)::INT) OVER (PARTITION BY o2.channel, o2.ay, o2.ax ORDER BY scan), (cb.n <= o2.blocks * 4)::INT) AS previous
+          FROM o2 JOIN cb ON cb.channel = o2.channel AND cb.ay = o2.ay AND cb.ax = o2.ax WHERE scan >= o2.blocks)
+    SELECT channel, ay, ax, -1 AS scan, CAST(CASE WHEN guess < 8 THEN guess WHEN guess >= 64 THEN 36 ELSE 4 + guess // 2 END * 8 + block AS BIGINT) AS context, n AS token FROM gg
+    UNION ALL SELECT channel, ay, ax, scan, CAST(8 * 37 + 458 * block + ({_AT(scans.LEFT_CONTEXT, '(CAST(remaining AS BIGINT) + blocks - 1) >> shift')} + {_AT(scans.PLACE_CONTEXT, 'scan >> shift')}) * 2 + previous AS BIGINT),
+           CASE WHEN level >= 0 THEN 2 * level ELSE -2 * level - 1 END FROM tt WHERE remaining > 0
+""")
+def scan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and levels of the mixed tiling's shapes, in scan order with their contexts."""
+    plane, tiling = _mixed(spark, sf_dir)
+    c = tilings.tiled_dct(plane, tiling).withColumn("value", F.round("value", 9))
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("channel"), F.lit(f).alias("f")) for k, f in enumerate((1.5, 6.0, 3.0))]))
+    levels = c.withColumn("e", each).select("e.channel", "ay", "ax", "shape", "v", "u", F.rint(F.col("value") * F.col("e.f")).cast("long").alias("level"))
+    field = tiling.where("by = ay and bx = ax").select("ay", "ax", (1 + (F.col("ay") * 3 + F.col("ax") * 5) % 30).alias("raw"))
+    return scans.scan_tokens(levels, tiling, field, [12], [k * 2 + s for k in fields.CONTEXT_OF for s in (0, 1)])
