@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from tesselark.llm.shared import cut
 TASK_TOKENS = 16 << 20
 #: Distinct words whose ids a worker remembers before it starts afresh, and bytes of words and ids.
 REMEMBERED, REMEMBERED_BYTES = 800_000, 64 << 20
+#: Words of letters that are encoded as one line, bytes of texts whose words are told apart together, and texts that get their ids at once.
+LINE_WORDS, STEP_BYTES, TEXTS_DEALT = 4096, 16 << 20, 256
 #: Marks that may follow a word of letters; the tokenizer parts them from it.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
 
@@ -70,75 +74,147 @@ class OpenBins:
         return at, self.size - space
 
 
+def _lookup(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """The place of each word among others, -1 for none."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy().astype(np.int64)
+
+
 class WordIds:
     """Ids of texts by a tokenizers file that never joins words across white space.
 
-    A text that holds one of the file's added tokens goes to the tokenizer whole.
+    Words that were met are kept as one Arrow array, their ids as one numpy
+    array with the places where each word's end.  A text that holds one of the
+    file's added tokens goes to the tokenizer whole.
     """
 
     def __init__(self, definition: str):
+        import json
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        # str.split() also parts at U+001C-U+001F, which the tokenizer doesn't
-        self.odd = re.compile("[\x1c-\x1f]")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.held = 0
-
-    def _learn(self, words: list[str]) -> None:
+        # where a model marks the last token of a word, the ids alone tell words apart
+        self.last, suffix = None, json.loads(definition)["model"].get("end_of_word_suffix")
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.ids, self.ends = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    @property
+    def known(self) -> dict[str, bytes]:
+        """The words that are remembered, with their ids."""
+        return {w: self.ids[i:j].tobytes() for w, i, j in zip(self.words.to_pylist(), self.ends[:-1], self.ends[1:], strict=True)}
+
+    def _keep(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids = np.concatenate([self.ids, ids.astype("<u4")])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
+
+    def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each) of the remembered words at these places, one after another."""
+        sizes = self.ends[at + 1] - self.ends[at]
+        stops = np.cumsum(sizes)
+        place = np.repeat(self.ends[at] - stops + sizes, sizes)
+        place += np.arange(len(place))
+        return self.ids[place], sizes
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where different words are remembered; new ones are learned."""
+        if len(self.words) > REMEMBERED or self.words.nbytes + self.ids.nbytes > REMEMBERED_BYTES:
+            self._forget()
+        at = _lookup(words, self.words)
+        if (at < 0).any():
+            self._learn(words.filter(pa.array(at < 0)))
+            at = _lookup(words, self.words)
+        return at
+
+    def _learn(self, words: pa.Array) -> None:
         """Remembers the ids of new words.
 
         A word of letters with marks behind it is the letters' ids and the
         marks', if the letters' lower case is letters alone (that of a dotted
         capital I ends in a mark, which the next marks join); new words of
-        letters are encoded together, as one line.
+        letters are encoded together, in lines.
         """
-        known = self.known
-        if len(known) > REMEMBERED or self.held > REMEMBERED_BYTES:
-            known.clear()
-            self.held = 0
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        cores = [w.rstrip(MARKS) for w in new]
-        split = [c.isalpha() and (c.isascii() or unicodedata.normalize("NFC", c.lower()).isalpha()) for c in cores]
-        letters = [c for c in dict.fromkeys(c for c, s in zip(cores, split, strict=True) if s) if c not in known]
-        if letters:
-            line = self.tokenizer.encode(" ".join(letters), add_special_tokens=False)
-            at = np.array(line.word_ids, np.int64)
-            ids = np.array(line.ids, "<u4")
-            if len(at) and at[-1] + 1 == len(letters):
-                ends = np.append(np.flatnonzero(np.diff(at)) + 1, len(at)).tolist()
-                raw, first = ids.tobytes(), 0
-                for c, end in zip(letters, ends, strict=True):
-                    known[c] = raw[4 * first : 4 * end]
-                    first = end
+        cores = pc.utf8_rtrim(words, characters=MARKS)
+        told = cores.dictionary_encode()
+        plain = [c.isalpha() and (c.isascii() or unicodedata.normalize("NFC", c.lower()).isalpha()) for c in told.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        letters = pc.take(pa.array(plain, pa.bool_()), told.indices)
+        marked = pc.and_(letters, pc.not_equal(cores, words))
+        both, heads = words.filter(marked), cores.filter(marked)
+        tails = pc.replace_substring_regex(both, pattern="^[^" + re.escape(MARKS) + "]+", replacement="")
+        lines = cores.filter(letters).unique()
+        others = pa.concat_arrays([words.filter(pc.invert(letters)), tails]).unique()
+        unknown = _lookup(pa.concat_arrays([lines, others]), self.words) < 0
+        self._lines(lines.filter(pa.array(unknown[: len(lines)])))
+        self._each(others.filter(pa.array(unknown[len(lines) :])))
+        if len(both):
+            at = _lookup(pa.concat_arrays([heads, tails]), self.words).reshape(2, -1)
+            ids, sizes = self._gathered(at.T.ravel())
+            self._keep(both, ids, sizes.reshape(-1, 2).sum(1))
+
+    def _lines(self, words: pa.Array) -> None:
+        """Remembers the ids of words of letters, each of them one word to the tokenizer too."""
+        kept, odd = [], []
+        for i in range(0, len(words), LINE_WORDS):
+            part = words.slice(i, LINE_WORDS)
+            line = " ".join(part.to_numpy(zero_copy_only=False).tolist())
+            if self.last is not None:
+                ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+                stops = np.flatnonzero(self.last[ids]) + 1
+            else:
+                encoded = self.tokenizer.encode(line, add_special_tokens=False)
+                ids, at = np.array(encoded.ids, "<u4"), np.array(encoded.word_ids, np.int64)
+                stops = np.append(np.flatnonzero(np.diff(at)) + 1, len(at)) if len(at) and at[-1] + 1 == len(part) else at[:0]
+            if len(stops) == len(part):
+                kept.append((part, ids, np.diff(stops, prepend=0)))
             else:  # a letter's lower case is no single letter
-                self._each(letters)
-        tails = [w[len(c) :] for w, c in zip(new, cores, strict=True)]
-        self._each([x for x in dict.fromkeys([t for t, s in zip(tails, split, strict=True) if s and t] + [w for w, s in zip(new, split, strict=True) if not s]) if x not in known])
-        for w, c, t, s in zip(new, cores, tails, split, strict=True):
-            if s and t:
-                known[w] = known[c] + known[t]
-        self.held += sum(len(w) + len(known[w]) for w in new)
-
-    def _each(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+                odd.append(part)
+        if kept:
+            parts, ids, sizes = zip(*kept, strict=True)
+            self._keep(pa.concat_arrays(parts), np.concatenate(ids), np.concatenate(sizes))
+        for part in odd:
+            self._each(part)
+
+    def _each(self, words: pa.Array) -> None:
+        """Remembers the ids of words, encoded one by one."""
+        for i in range(0, len(words), LINE_WORDS):
+            part = words.slice(i, LINE_WORDS)
+            got = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
+            self._keep(part, np.concatenate(got), np.array([len(x) for x in got], np.int64))
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (large binary) as little-endian unsigned 32-bit values.
+
+        A step's distinct words are looked up once.  Parting at fewer kinds of
+        white space than the tokenizer knows is no loss: a word may hold others.
+        """
+        texts = texts.cast(pa.large_string())
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        at, known = words.indices.to_numpy(), self._places(words.dictionary)
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        out = []
+        for i in range(0, len(texts), TEXTS_DEALT):
+            cuts = offsets[i : i + TEXTS_DEALT + 1]
+            ids, sizes = self._gathered(known[at[cuts[0] : cuts[-1]]])
+            cuts = np.append(0, np.cumsum(sizes))[cuts - cuts[0]].tolist()
+            out += [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for token in self.added:
+            for k in np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist():
+                out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit values."""
-        words = text.split()
-        if self.odd.search(text) or any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            return b"".join(map(self.known.__getitem__, words))
+        return self.encode_all(pa.array([text.encode()], pa.large_binary()))[0]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -160,10 +236,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         words = WordIds(sent.value)
         for batch in batches:
             texts = tx.texts_of(batch.column(1))
-            for i, j in tx.steps(texts):
+            for i, j in tx.steps(texts, STEP_BYTES):
                 rows, pieces, raws = [], [], []
-                for k, t in enumerate(texts.slice(i, j - i).to_pylist(), i):
-                    ids = words.encode(t.decode()) + end
+                for k, encoded in enumerate(words.encode_all(texts.slice(i, j - i)), i):
+                    ids = encoded + end
                     for p, at in enumerate(range(0, len(ids), 4 * size)):
                         raw = ids[at : at + 4 * size]
                         rows.append(k)

@@ -128,6 +128,29 @@ def test_memory_of_words_is_bounded_in_bytes(monkeypatch):
     assert sum(len(k) + len(v) for k, v in w.known.items()) < 40_000
 
 
+def test_new_words_of_many_texts_go_to_the_tokenizer_together(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    w, want, calls = packing.WordIds(open(path).read()), Tokenizer.from_file(path), []
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(want, name)
+
+    w.tokenizer = Counted()
+    monkeypatch.setattr(packing, "LINE_WORDS", 1000)
+    monkeypatch.setattr(packing, "TEXTS_DEALT", 7)
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcéßЖ1.,!\u00a0\u2028\x1c", weights=[9] * 6 + [1] * 7, k=rng.randint(1, 9))) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    texts += ["", "  a  b ", "a<|endoftext|>b c", "\t\n"]
+    got = w.encode_all(pa.array([None] + [t.encode() for t in texts], pa.large_binary()).slice(1))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [want.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) < 20  # not a few for each of the texts
+
+
 def test_equal_rows_are_dealt_over_tasks(spark):
     pieces = spark.createDataFrame([(None, 0, 0, 1, 7)] * 4000, "doc_id long, piece int, start long, length long, ids_crc32 long")
     got = packing.pack(pieces, ["doc_id"], size=100, task_tokens=1000).collect()
