@@ -344,3 +344,16 @@ def test_target_size_search_takes_all_its_probes(spark, sf_dir):
 
     r = tokens.target_size_search(spark, sf_dir).first()
     assert r.probes == 12 and 0.6 * r.finest - r.bits >= 0
+
+
+def test_lehmer_moves_each_row_twice_and_counts_over_chunks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(orderstats, "CHUNK", 50)
+    rng = random.Random(8)
+    rows = [(g, 5 * i + 3, rng.randrange(w) - 9) for g, n, w in (("a", 700, 10**9), ("b", 3, 5), (None, 260, 40), ("c", 1, 1), ("d", 300, 1)) for i in range(n)]
+    rng.shuffle(rows)
+    got = orderstats.lehmer(spark.createDataFrame(rows, "grp string, pos long, value long"))
+    want = {(g, p): sum(h == g and q > p and w < v for h, q, w in rows) for g, p, v in rows}
+    assert {(r.grp, r.pos): r.code for r in got.collect()} == want and got.count() == len(rows)
+    assert orderstats.lehmer(spark.createDataFrame([], "grp long, pos long, value long")).count() == 0
