@@ -21,7 +21,7 @@ TASK_TOKENS = 16 << 20
 #: Distinct words whose ids a worker remembers before it starts afresh, and bytes of words and ids.
 REMEMBERED, REMEMBERED_BYTES = 800_000, 64 << 20
 #: Words of letters that are encoded as one line, bytes of texts whose words are told apart together, and texts that get their ids at once.
-LINE_WORDS, STEP_BYTES, TEXTS_DEALT = 4096, 16 << 20, 256
+LINE_WORDS, STEP_BYTES, TEXTS_DEALT = 4096, 8 << 20, 256
 #: Marks that may follow a word of letters; the tokenizer parts them from it.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
 
