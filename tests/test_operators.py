@@ -357,3 +357,14 @@ def test_lehmer_moves_each_row_twice_and_counts_over_chunks(spark, monkeypatch):
     want = {(g, p): sum(h == g and q > p and w < v for h, q, w in rows) for g, p, v in rows}
     assert {(r.grp, r.pos): r.code for r in got.collect()} == want and got.count() == len(rows)
     assert orderstats.lehmer(spark.createDataFrame([], "grp long, pos long, value long")).count() == 0
+
+
+def test_lehmer_holds_a_row_once_however_long_its_group(spark, monkeypatch):
+    held, kept = [], running.checkpointed
+    for module in (running, orderstats):
+        monkeypatch.setattr(module, "checkpointed", lambda df: held.append(kept(df)) or held[-1], raising=False)
+    value = {g: [i * 613 % n for i in range(n)] for g, n in ((0, 1000), (1, 70), (2, 1))}
+    rows = [(g, i, v) for g, vs in value.items() for i, v in enumerate(vs)]
+    got = orderstats.lehmer(spark.createDataFrame(rows, "grp long, pos long, value long")).collect()
+    assert {(r.grp, r.pos): r.code for r in got} == {(g, i): sum(w < v for w in value[g][i + 1 :]) for g, i, v in rows}
+    assert sum(h.count() for h in held) == len(rows)
